@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.storage import materialise
 
 BLOCK = 4096
+#: The column that tells rows apart.
+ROW = "_row"
 #: A block is hot if more than 1 in so many rows have it.
 HOT_SHARE = 500
 #: Runs of separators other than a single blank; a single blank is normal already.
@@ -38,14 +40,14 @@ def _named(keys: DataFrame, *by: str) -> DataFrame:
 def identities(docs: DataFrame, column: str = "text", block: int = BLOCK) -> DataFrame:
     """row, doc_id, n_bytes, name, text_sha256: rows have equal texts if n_bytes and name are equal.
 
-    docs needs a column `row`, different in each row.
+    docs needs a column ROW, different in each row.
     """
     text = F.encode(normalised(column), "utf-8")
-    whole = docs.select("row", "doc_id", text.alias("t"))
+    whole = docs.select(ROW, "doc_id", text.alias("t"))
     n = F.length("t")
     last = F.greatest(F.ceil(n / F.lit(block)).cast("int") - 1, F.lit(0))
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(F.col("t"), i * block + 1, F.lit(block)))
-    blocks = whole.select("row", "doc_id", n.alias("n_bytes"), F.sha2("t", 256).alias("sha"), F.posexplode(cut).alias("i", "block")).withColumn("sha", F.when(F.col("i") == 0, F.col("sha")))
+    blocks = whole.select(ROW, "doc_id", n.alias("n_bytes"), F.sha2("t", 256).alias("sha"), F.posexplode(cut).alias("i", "block")).withColumn("sha", F.when(F.col("i") == 0, F.col("sha")))
     lean = whole.select(F.explode(cut).alias("block"))
     counts = lean.groupBy(F.xxhash64("block").alias("h")).count()
     total = docs.count()
@@ -58,32 +60,32 @@ def identities(docs: DataFrame, column: str = "text", block: int = BLOCK) -> Dat
         level = cold.unionByName(blocks.where(is_hot).join(F.broadcast(hot_names), "block"))
     else:
         level = blocks.join(_named(lean, "block"), "block")
-    base = materialise(level.select("row", "doc_id", "n_bytes", "sha", "i", "name"), "block-names")
+    base = materialise(level.select(ROW, "doc_id", "n_bytes", "sha", "i", "name"), "block-names")
     top = base.agg(F.max("i")).first()[0] or 0
-    names = base.where(F.col("n_bytes") <= block).select("row", "name")
+    names = base.where(F.col("n_bytes") <= block).select(ROW, "name")
     if top:
-        current = base.where(F.col("n_bytes") > block).select("row", "i", "name")
+        current = base.where(F.col("n_bytes") > block).select(ROW, "i", "name")
         while top:
-            pairs = current.groupBy("row", F.shiftright("i", 1).alias("i")).agg(
+            pairs = current.groupBy(ROW, F.shiftright("i", 1).alias("i")).agg(
                 F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("left"), F.max(F.when(F.col("i") % 2 == 1, F.col("name"))).alias("right")
             )
             pairs = materialise(pairs, "pairs")
             table = materialise(_named(pairs.select("left", "right"), "left", "right"), "pair-names")
-            joined = pairs.alias("p").join(table.alias("t"), (F.col("p.left") == F.col("t.left")) & F.col("p.right").eqNullSafe(F.col("t.right"))).select("p.row", "p.i", "t.name")
+            joined = pairs.alias("p").join(table.alias("t"), (F.col("p.left") == F.col("t.left")) & F.col("p.right").eqNullSafe(F.col("t.right"))).select(f"p.{ROW}", "p.i", "t.name")
             current = materialise(joined, "level")
             top >>= 1
-        names = names.unionByName(current.select("row", "name"))
-    return base.where("i = 0").select("row", "doc_id", "n_bytes", F.col("sha").alias("text_sha256")).join(names, "row")
+        names = names.unionByName(current.select(ROW, "name"))
+    return base.where("i = 0").select(ROW, "doc_id", "n_bytes", F.col("sha").alias("text_sha256")).join(names, ROW)
 
 
 def decide(docs: DataFrame, column: str = "text", block: int = BLOCK) -> DataFrame:
     """row, doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs."""
     rows = materialise(identities(docs, column, block), "identities")
-    groups = materialise(rows.groupBy("n_bytes", "name").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    groups = materialise(rows.groupBy("n_bytes", "name").agg(F.min(F.struct("doc_id", ROW)).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = rows.join(groups, ["n_bytes", "name"])
-    return out.select("row", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
+    return out.select(ROW, "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"first.{ROW}")).alias("kept"), "text_sha256")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """docs with the column `row` that decide() needs: the same numbers each time the same files are read."""
-    return docs.withColumn("row", F.monotonically_increasing_id())
+    """docs with the column ROW that decide() needs: the same numbers each time the same files are read."""
+    return docs.withColumn(ROW, F.monotonically_increasing_id())
