@@ -1,8 +1,69 @@
-"""Stages over documents; filled in below."""
+"""The corpus pipeline: quality, exact dedup, near duplicates, mixing, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm import bpe, exact_dedup, jaccard_join, mixing, quality
+from panelspark.llm.storage import materialise
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose score is at least 0.5."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.score(docs, model, out="_score").where(F.col("_score") >= 0.5).select(*docs.columns)
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first row of each group of equal texts."""
+    rows = exact_dedup.numbered(docs)
+    kept = exact_dedup.decide(rows).where("kept").select(exact_dedup.ROW)
+    return rows.join(kept, exact_dedup.ROW, "left_semi").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each component of 5-word shingles at a similarity of 0.8 or more."""
+    found = jaccard_join.jaccard_components(docs, k=5, percent=80)
+    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes its words, in whole copies: the rest of the share is drawn by a hash of doc_id."""
+    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    share = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(0.0)
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("mixture")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = (F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)).cast("int")
+    wanted = taken.select("doc_id", copies.alias("_copies")).where("_copies > 0")
+    return docs.join(wanted, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents, the ids of each text and the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, out="token_ids")
+    return bpe.decode(encoded, path, column="token_ids", out="decoded_text").drop("text")
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("exact dedup", exact_duplicates),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mixture),
+    ("byte-level BPE", tokens),
+]
+
+#: A fitted model, hash draws and a tokenizer: not in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
