@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "feature_panel"
+from panelspark.plans import catalog, evaluation
+
+FLAGSHIP = "w7_w13_market_signals"
 
 
 def queries() -> dict:
-    return {}
+    return {**catalog.QUERIES, **evaluation.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**catalog.SQL, **evaluation.SQL}
