@@ -161,10 +161,10 @@ def pf1_pf6_backtest(spark, d):
     return backtest(spark, d)
 
 
-@query("model n_periods:i log_wealth:r volatility:r sharpe:r max_drawdown:r best:r worst:r hit_rate:r avg_turnover:r total_cost:r", v.PREDS + ", " + HELD + ", wl AS (SELECT *, product(1 + net_return) OVER (PARTITION BY model ORDER BY split_id, date) AS w FROM bt2), dd AS (SELECT *, w / max(w) OVER (PARTITION BY model ORDER BY split_id, date) - 1 AS d FROM wl)",
-       "SELECT model, count(*) AS n_periods, ln(product(1 + net_return)) AS log_wealth, stddev_samp(net_return) * sqrt(13) AS volatility, avg(net_return) / stddev_samp(net_return) * sqrt(13) AS sharpe, min(d) AS max_drawdown, max(net_return) AS best, min(net_return) AS worst, avg(CASE WHEN net_return > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate, avg(turnover) AS avg_turnover, sum(cost) AS total_cost FROM dd GROUP BY model")
+@query("model n_periods:i volatility:r sharpe:r max_drawdown:r best:r worst:r hit_rate:r avg_turnover:r total_cost:r", v.PREDS + ", " + HELD + ", wl AS (SELECT *, product(1 + net_return) OVER (PARTITION BY model ORDER BY split_id, date) AS w FROM bt2), dd AS (SELECT *, w / max(w) OVER (PARTITION BY model ORDER BY split_id, date) - 1 AS d FROM wl)",
+       "SELECT model, count(*) AS n_periods, stddev_samp(net_return) * sqrt(13) AS volatility, avg(net_return) / stddev_samp(net_return) * sqrt(13) AS sharpe, min(d) AS max_drawdown, max(net_return) AS best, min(net_return) AS worst, avg(CASE WHEN net_return > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate, avg(turnover) AS avg_turnover, sum(cost) AS total_cost FROM dd GROUP BY model")
 def pf7_risk(spark, d):
-    return portfolio.risk(backtest(spark, d), 13.0, split=False).withColumn("log_wealth", F.ln(1 + F.col("cumulative_return")))
+    return portfolio.risk(backtest(spark, d), 13.0, split=False)
 
 
 @query("model period:i symbol weight:r", v.PREDS + ", " + HELD.split("held AS")[0] + "sel AS (SELECT p.*, period, row_number() OVER (PARTITION BY model, split_id, date, sector ORDER BY y_score DESC, symbol) AS rn, greatest(1, ceil(count(*) OVER (PARTITION BY model, split_id, date, sector) * 0.2::DOUBLE)) AS k FROM preds p JOIN cal USING (model, date, split_id)), hs AS (SELECT * FROM sel WHERE rn <= k), ns AS (SELECT model, period, count(DISTINCT sector) AS s FROM hs GROUP BY 1, 2)",
