@@ -40,14 +40,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes whose prefix sums are held at once.
+SLICE = 1 << 20
+
+
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    p, q = powers(len(buf) + 1, base)
-    c = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * p[: len(buf)], out=c[1:])
-    return mix((c[ends] - c[starts]) * q[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+    """A 64-bit hash of each byte span; spans in order, without overlap."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        low = int(starts[a])
+        b = max(a + 1, int(np.searchsorted(ends, low + SLICE, "right")))
+        part = buf[low : ends[b - 1]]
+        p, q = powers(len(part) + 1, base)
+        c = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=c[1:])
+        s, e = starts[a:b] - low, ends[a:b] - low
+        out[a:b] = mix((c[e] - c[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        a = b
+    return out
 
 
 def window_hash(values: np.ndarray, k: int, base: int = 0) -> np.ndarray:
