@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 128
+#: Parts of a source whose running totals are taken apart: a fixed number, so that results don't follow session settings.
+BUCKETS = 1024
 #: Slots of an output shard.
 SHARD_SLOTS = 8192
 WORD = r"[^\x20\x09-\x0D]+"
@@ -73,9 +75,8 @@ def targets(sources: DataFrame, share: float, weights: tuple[float, ...], most:
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document."""
     spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(4 * partitions)).cast("int"))
+    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)).cast("int"))
     # running totals: in buckets, so that one large source isn't one task
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
