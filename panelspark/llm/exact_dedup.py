@@ -6,7 +6,7 @@ pairs named in the same way, until each document has one name. Names are compare
 every level, so with the length they are an identity without collisions.
 
 Blocks that many rows share (found by counting hashes) are joined apart, by a table whose size is
-bounded by rows / HOT_SHARE: one hot text doesn't end in one task.
+bounded by MOST_HOT blocks: one hot text doesn't end in one task.
 
 Edge cases: a null text counts as empty, empty texts equal each other; repeated rows are copies of
 each other, of rows with the same smallest doc_id one stays; an empty table gives an empty result.
@@ -22,8 +22,8 @@ from panelspark.llm.storage import materialise
 BLOCK = 4096
 #: The column that tells rows apart.
 ROW = "_row"
-#: A block is hot if more than 1 in so many rows have it.
-HOT_SHARE = 500
+#: A block is hot if more than 1 in so many rows have it; the hottest so many are joined apart (4 MB of blocks at most).
+HOT_SHARE, MOST_HOT = 500, 1000
 #: Runs of separators other than a single blank; a single blank is normal already.
 RUN = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -51,7 +51,7 @@ def identities(docs: DataFrame, column: str = "text", block: int = BLOCK) -> Dat
     lean = whole.select(F.explode(cut).alias("block"))
     counts = lean.groupBy(F.xxhash64("block").alias("h")).count()
     total = docs.count()
-    hot = [r["h"] for r in counts.where(F.col("count") > max(total // HOT_SHARE, 64)).limit(64 * HOT_SHARE).collect()]  # bounded: each has 1/HOT_SHARE of the blocks
+    hot = [r["h"] for r in counts.where(F.col("count") > max(total // HOT_SHARE, 64)).orderBy(F.col("count").desc(), "h").limit(MOST_HOT).collect()]
     if hot:
         is_hot = F.xxhash64("block").isin(hot)
         names = _named(lean.where(~is_hot), "block")
