@@ -245,7 +245,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     stars = sent.withColumn("low", smallest).select(F.col("doc").alias("u"), F.when(F.col("key") < 0, F.col("other")).otherwise(F.col("low")).alias("v"), F.when(F.col("key") < 0, 0).otherwise(1).alias("own"))
     candidates = materialise(stars.where("u <> v").select("u", "v").distinct(), "candidates")
     clusters = materialise(components(candidates), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = materialise(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")  # written, so that Spark can split a large cluster's rows in the join
     tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
     placed = clusters.join(sizes, "component").select("node", "component", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
     # a document of tile i goes to every pair that i is in
