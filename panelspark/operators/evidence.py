@@ -72,3 +72,28 @@ def run_stability(history: DataFrame) -> DataFrame:
     out = rows.groupBy("run").agg(F.stddev_pop("_c").alias("change_sd"), F.max("_c").alias("worst_rise"), F.min_by("loss", "step").alias("first_loss"), F.max_by("loss", "step").alias("last_loss"), F.count(F.lit(1)).alias("n_steps"))
     modes = F.array_compact(F.array(F.when(F.col("last_loss") >= F.col("first_loss"), "no_progress"), F.when(F.col("worst_rise") > F.abs("first_loss"), "spike"), F.when(F.col("n_steps") < 3, "short")))
     return out.withColumn("failure_modes", F.array_join(modes, ","))
+
+
+def against_naive(metrics: DataFrame, naive: Sequence[str], value: str, margin: float = 0.0) -> DataFrame:
+    """Each model's mean against the best naive model's, with a verdict."""
+    means = metrics.groupBy("model").agg(F.avg(value).alias("mean_value"))
+    best = means.where(F.col("model").isin(list(naive))).agg(F.max_by("model", F.struct(F.round("mean_value", 9), "model")).alias("best_naive"), F.max("mean_value").alias("naive_value"))
+    out = means.where(~F.col("model").isin(list(naive))).crossJoin(F.broadcast(best)).withColumn("margin", F.col("mean_value") - F.col("naive_value"))
+    return out.withColumn("verdict", F.when(F.col("margin") > margin, "beats_naive").otherwise("no_evidence"))
+
+
+def compare_ensembles(metrics: DataFrame, ensembles: Sequence[str], value: str) -> DataFrame:
+    """Each ensemble against the best single model: mean difference and share of splits won."""
+    singles = metrics.where(~F.col("model").isin(list(ensembles)))
+    best = singles.groupBy("model").agg(F.avg(value).alias("m")).agg(F.max_by("model", F.struct(F.round("m", 9), "model")).alias("best_single"))
+    base = singles.join(F.broadcast(best), F.col("model") == F.col("best_single")).select("split_id", "best_single", F.col(value).alias("single_value"))
+    rows = metrics.where(F.col("model").isin(list(ensembles))).join(base, "split_id")
+    out = rows.groupBy("model", "best_single").agg(F.avg(F.col(value) - F.col("single_value")).alias("mean_difference"), F.avg((F.col(value) > F.col("single_value")).cast("double")).alias("win_share"))
+    return out.withColumn("verdict", F.when((F.col("mean_difference") > 0) & (F.col("win_share") > 0.5), "improves").otherwise("no_improvement"))
+
+
+def baseline_comparison(summary: DataFrame, expected: Sequence[tuple[str, str]]) -> DataFrame:
+    """Expected models with their family and figures; missing ones are marked."""
+    table = summary.sparkSession.createDataFrame(list(expected), "model string, family string")
+    out = table.join(summary, "model", "left")
+    return out.withColumn("is_missing", F.coalesce(*[F.col(c).cast("string") for c in summary.columns if c != "model"]).isNull())

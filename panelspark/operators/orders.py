@@ -90,3 +90,40 @@ def fold_events(events: DataFrame) -> DataFrame:
     end = F.min(F.when(F.col("status").isin(*ENDED), F.struct("seq", "status")))
     out = rows.groupBy("order_id").agg(end.alias("end"), F.max(F.struct("rank", "status")).alias("furthest"), F.count(F.lit(1)).alias("n_events"))
     return out.select("order_id", F.coalesce("end.status", "furthest.status").alias("status"), F.col("end").isNotNull().alias("is_ended"), "n_events")
+
+
+def check_signals(signals: DataFrame, as_of, stale_days: int) -> DataFrame:
+    """A row per check of the signal contract: one date, fresh, unique symbols, probabilities, prices."""
+    row = signals.agg(
+        (F.countDistinct("date") - 1).alias("one_date"),
+        F.count_if(F.datediff(as_of, F.col("date")) > stale_days).alias("fresh"),
+        (F.count(F.lit(1)) - F.countDistinct("symbol")).alias("unique_symbols"),
+        F.count_if(~F.coalesce(F.col("score").between(0, 1), F.lit(False))).alias("probability"),
+        F.count_if(~F.coalesce(F.col("price") > 0, F.lit(False))).alias("positive_price"),
+    )
+    each = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("affected_rows")) for c in row.columns])
+    return row.select(F.explode(each).alias("x")).select("x.*").withColumn("passed", F.col("affected_rows") == 0)
+
+
+def unique_orders(orders: DataFrame) -> DataFrame:
+    """The latest row of each order id."""
+    by = Window.partitionBy("order_id").orderBy(F.col("updated_at").desc(), F.col("seq").desc())
+    return orders.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+
+
+def match_observed(observed: DataFrame, planned: DataFrame) -> DataFrame:
+    """Observed orders that a plan asked for, by id."""
+    return observed.join(planned.select("order_id").distinct(), "order_id", "left_semi")
+
+
+def shadow_records(intents: DataFrame) -> DataFrame:
+    """A document per account: its trades sorted by symbol, with a digest."""
+    trades = F.array_sort(F.collect_list(F.struct("symbol", "side", F.round("notional", 2).alias("notional"))))
+    out = intents.where("side <> 'hold'").groupBy("account_id").agg(trades.alias("trades"))
+    return out.withColumn("digest", F.sha2(F.to_json("trades"), 256))
+
+
+def stage_metrics(records: DataFrame) -> DataFrame:
+    """Counts over the trades of shadow records."""
+    rows = records.select("account_id", F.explode("trades").alias("t"))
+    return rows.agg(F.countDistinct("account_id").alias("n_accounts"), F.count(F.lit(1)).alias("n_trades"), F.count_if(F.col("t.side") == "buy").alias("n_buys"), F.sum("t.notional").alias("notional"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from panelspark.plans import catalog, evaluation
+from panelspark.plans import catalog, datasets, evaluation
 
 FLAGSHIP = "w7_w13_market_signals"
 
 
 def queries() -> dict:
-    return {**catalog.QUERIES, **evaluation.QUERIES}
+    return {**catalog.QUERIES, **evaluation.QUERIES, **datasets.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**catalog.SQL, **evaluation.SQL}
+    return {**catalog.SQL, **evaluation.SQL, **datasets.SQL}
