@@ -30,7 +30,7 @@ from panelspark.llm.text import gather, pieces
 class Transducer:
     """Maps bytes to ids by ranks. States are built when first reached, at most `most` of them are kept."""
 
-    def __init__(self, ranks: dict[bytes, int], most: int = 100_000):
+    def __init__(self, ranks: dict[bytes, int], most: int = 50_000):
         self.ranks, self.most = ranks, most
         self.entry = {i: t for t, i in ranks.items()}
         self.next: list[dict[int, int]] = [{}]
@@ -135,7 +135,7 @@ class Transducer:
     def encode(self, text: bytes) -> list[int]:
         if len(self.states) > self.most:
             self.reset()
-        if len(self.apart) > 10 * self.most:
+        if len(self.apart) > 6 * self.most:
             self.apart.clear()
         out: list[int] = []
         state, moves = 0, self.moves
@@ -275,6 +275,14 @@ def decode(docs: DataFrame, path: str, column: str = "ids", out: str = "decoded"
     return docs.mapInArrow(lambda it: decode_batches(it, path, column, out), schema)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, column: str = "text", out: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and decode() in one pass through one Python worker: adds the ids and the text decoded from them."""
+    if {out, decoded} & set(docs.columns):
+        raise ValueError(f"{out} or {decoded} is a column already")
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    return docs.mapInArrow(lambda it: decode_batches(encode_batches(it, path, pattern, column, out), path, out, decoded), schema)
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Per document: count and SHA-256 of its ids, SHA-256 of the bytes decoded from them."""
 
