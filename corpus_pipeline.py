@@ -20,8 +20,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row of each group of equal texts."""
-    rows = exact_dedup.numbered(docs)
+    """Keeps the first row of each group of equal texts.
+
+    The numbered rows are written: numbers given twice could differ after an executor is lost.
+    """
+    rows = materialise(exact_dedup.numbered(docs), "numbered")
     kept = exact_dedup.decide(rows).where("kept").select(exact_dedup.ROW)
     return rows.join(kept, exact_dedup.ROW, "left_semi").select(*docs.columns)
 
@@ -45,8 +48,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, the ids of each text and the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs, path, public_tokenizers.PATTERN, out="token_ids")
-    return bpe.decode(encoded, path, column="token_ids", out="decoded_text").drop("text")
+    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, out="token_ids", decoded="decoded_text").drop("text")
 
 
 STAGES = [
