@@ -12,12 +12,13 @@ D = floor(2 b (1 - t) / (1 + t)) shingles. Hash space is cut into D + 1 + S bloc
 blocks then hold the same shingles in both. Each document drops its S smallest blocks (by size, then
 number); the largest shared block survives in both, so an equal block is always found among those
 left, and none of these is small enough to be shared by chance. Documents with an equal block are
-candidates; components of candidates are dealt over tiles, large ones over pairs of tiles. A tile
-emits links that span its connected documents, never all pairs.
+candidates. A component of candidates is dealt over pairs of tiles of at most TILE documents; of one with
+more than MOST_TILES tiles, the documents of each equal block are dealt in this way instead. A tile emits
+links that span its connected documents, never all pairs.
 
 Edge cases: texts without words have the empty set and are linked with nothing; texts with fewer
-words than a shingle have one shingle, the whole sequence; repeated rows are of one class; an empty
-table gives an empty result.
+words than a shingle have one shingle, the whole sequence; repeated rows are of one class; a null doc_id
+gets a size but no links, and doc_ids aren't negative; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ from panelspark.llm.text import LOWER, column_bytes, mix, pieces, span_hash, win
 
 GROUPS = 64
 LEAF, FANOUT = 16, 16
-#: Documents of a tile.
-TILE = 1024
-SLACK = 0.3
+#: Documents of a tile, and tiles whose pairs a component is dealt over.
+TILE, MOST_TILES = 4096, 8
+SLACK = 0.15
 RATIO = 1.5
 
 
@@ -95,40 +96,36 @@ class Bands:
         return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
-    bands = Bands(percent)
+def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The size of each document's set and 128 bits that tell sets apart."""
     for batch in pieces(batches, "text"):
         buf, at = column_bytes(batch.column(1))
         sets = [shingles(buf[a:b], k) for a, b in zip(at, at[1:])]
         p = [np.add.reduce(mix(s)) if len(s) else np.uint64(0) for s in sets]
         q = [np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else np.uint64(0) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(s) for s in sets], pa.int64()),
-                pa.array(np.array(p, np.uint64).view(np.int64)),
-                pa.array(np.array(q, np.uint64).view(np.int64)),
-                pa.array([bands.keys(s) for s in sets], pa.list_(pa.int64())),
-            ],
-            names=["doc_id", "n", "p", "q", "keys"],
-        )
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Combines before the shuffle: of documents with one key, the smallest is sent, the others are tied to it."""
-    for batch in batches:
-        lists = batch.column(1)
-        keys = lists.flatten().to_numpy(zero_copy_only=False)
-        docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.asarray(lists.value_lengths().fill_null(0)))
-        order = np.lexsort((docs, keys))
-        keys, docs = keys[order], docs[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        first = docs[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else docs
-        tied = ~new & (docs != first)
-        # a tie travels under a key of its own, below zero
-        out = [np.concatenate([keys[new], -1 - docs[tied]]), np.concatenate([docs[new], docs[tied]]), np.concatenate([docs[new], first[tied]])]
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["key", "doc", "other"])
+        sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (p, q)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *sums], names=["doc_id", "n", "p", "q"])
+
+
+def _keys(batches: Iterator[pa.RecordBatch], k: int, percent: int, combine: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each document and key. combine: of documents with one key, the smallest is sent and the
+    others are tied to it before the shuffle; a tie travels as (-1 - document, smallest)."""
+    bands = Bands(percent)
+    for batch in pieces(batches, "text", 4 << 20):
+        buf, at = column_bytes(batch.column(1))
+        found = [bands.keys(shingles(buf[a:b], k)) for a, b in zip(at, at[1:])]
+        keys = np.concatenate(found) if found else np.zeros(0, np.int64)
+        docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+        if combine:
+            order = np.lexsort((docs, keys))
+            keys, docs = keys[order], docs[order]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            first = docs[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else docs
+            tied = ~new & (docs != first)
+            ties = np.unique(np.stack([docs[tied], first[tied]], 1), axis=0) if tied.any() else np.zeros((0, 2), np.int64)
+            keys, docs = np.concatenate([keys[new], -1 - ties[:, 0]]), np.concatenate([docs[new], ties[:, 1]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64())], names=["key", "doc"])
 
 
 class RTree:
@@ -211,14 +208,21 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n (shingles), rep (the smallest doc_id with the same set; of empty sets, itself) and keys."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    described = materialise(texts.mapInArrow(lambda it: _describe(it, k, percent), "doc_id long, n long, p long, q long, keys array<long>"), "shingles")
+def classes(texts: DataFrame, k: int) -> DataFrame:
+    """doc_id, n (shingles), rep (the smallest doc_id with the same set; of empty sets, itself)."""
+    described = materialise(texts.mapInArrow(lambda it: _describe(it, k), "doc_id long, n long, p long, q long"), "shingles")
     reps = materialise(described.where("n > 0").groupBy("n", "p", "q").agg(F.min("doc_id").alias("rep")), "classes")
-    lean = described.select("doc_id", "n", "p", "q")
-    member = lean.where("n > 0").join(reps, ["n", "p", "q"]).select("doc_id", "n", "rep").unionByName(lean.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep")))
-    return materialise(member, "members"), described.select("doc_id", "keys").join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    same = described.where("n > 0").join(reps, ["n", "p", "q"]).select("doc_id", "n", "rep")
+    return materialise(same.unionByName(described.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "members")
+
+
+def _by_key(texts: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
+    """Tiles for large components: the documents of one key, which hold any linked pair. Keys with the same documents are one tile."""
+    chosen = texts.join(large.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    rows = materialise(chosen.mapInArrow(lambda it: _keys(it, k, percent, False), "key long, doc long").distinct(), "large-keys")
+    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members")).where("size > 1")
+    same = materialise(groups.select("key", "size", F.xxhash64("size", "members", F.lit("tile")).alias("cluster")), "key-groups")
+    return rows.join(same, "key").select(F.col("doc").alias("node"), "cluster", "size").distinct()
 
 
 def _tile(table: pa.Table, k: int, percent: int) -> pa.Table:
@@ -239,21 +243,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    member, keyed = classes(docs, k, percent)
-    sent = keyed.mapInArrow(_stars, "key long, doc long, other long")
-    smallest = F.min("doc").over(Window.partitionBy("key"))
-    stars = sent.withColumn("low", smallest).select(F.col("doc").alias("u"), F.when(F.col("key") < 0, F.col("other")).otherwise(F.col("low")).alias("v"), F.when(F.col("key") < 0, 0).otherwise(1).alias("own"))
-    candidates = materialise(stars.where("u <> v").select("u", "v").distinct(), "candidates")
-    clusters = materialise(components(candidates), "clusters")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
+    member = classes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), k)
+    sent = texts.mapInArrow(lambda it: _keys(it, k, percent, True), "key long, doc long")
+    low = F.min("doc").over(Window.partitionBy("key"))
+    tie = F.col("key") < 0
+    stars = sent.withColumn("low", low).select(F.when(tie, -1 - F.col("key")).otherwise(F.col("doc")).alias("u"), F.when(tie, F.col("doc")).otherwise(F.col("low")).alias("v"))
+    candidates = materialise(stars.where("u <> v").distinct(), "candidates")
+    # copies of a set share its keys, so its representative is in their component
+    reps = member.where("doc_id = rep").select(F.col("doc_id").alias("node")).distinct()
+    clusters = materialise(components(candidates).join(reps, "node", "left_semi"), "clusters")
     sizes = materialise(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")  # written, so that Spark can split a large cluster's rows in the join
+    sized = materialise(clusters.join(sizes.where("size > 1"), "component"), "sized-clusters")
+    tiled = sized.where(F.col("size") <= TILE * MOST_TILES).select("node", F.col("component").alias("cluster"), "size")
+    large = sized.where(F.col("size") > TILE * MOST_TILES)
+    if not large.isEmpty():
+        tiled = tiled.unionByName(_by_key(texts, large, k, percent))
     tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    placed = clusters.join(sizes, "component").select("node", "component", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
+    placed = tiled.select("node", "cluster", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
     # a document of tile i goes to every pair that i is in
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("tile")).alias("i"), F.greatest(o, F.col("tile")).alias("j")))).alias("pair")
-    placed = materialise(placed.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"), "tile", pair).select("doc_id", "cluster", "pair.i", "pair.j", F.when(F.col("tile") == F.col("pair.i"), 0).otherwise(1).alias("side")), "tiles")
+    placed = materialise(placed.select(F.col("node").alias("doc_id"), "cluster", "tile", pair).select("doc_id", "cluster", "pair.i", "pair.j", F.when(F.col("tile") == F.col("pair.i"), 0).otherwise(1).alias("side")), "tiles")
     buckets = max(2 * partitions, placed.count() // TILE)
-    texts = docs.select("doc_id", "text").join(placed, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(buckets)).cast("int"))
-    verified = materialise(texts.groupBy("bucket").applyInArrow(lambda t: _tile(t, k, percent), "u long, v long"), "links")
+    dealt = texts.join(placed, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(buckets)).cast("int"))
+    verified = materialise(dealt.groupBy("bucket").applyInArrow(lambda t: _tile(t, k, percent), "u long, v long"), "links")
     linked = components(verified)
     out = member.join(linked, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
