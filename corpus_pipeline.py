@@ -1,17 +1,49 @@
 """The corpus pipeline: quality, exact dedup, near duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+
+A row with a null doc_id is a document of its own: stages 3 and 4 give it an id beyond all others while
+they run (in the order of the files) and return it with a null doc_id again.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from panelspark.llm.storage import materialise
 
+#: Tells rows without a doc_id from others while they have one.
+NAMELESS = "_nameless"
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """docs with NAMELESS, true where doc_id was null; there doc_id is the largest id plus 1, 2, ...
+
+    The numbered rows are written, so that all reads agree; tables without such rows are not.
+    An id beyond the longs is an error.
+    """
+    named = docs.where("doc_id IS NOT NULL").withColumn(NAMELESS, F.lit(False))
+    nameless = docs.where("doc_id IS NULL")
+    if nameless.isEmpty():
+        return named
+    # the number holds its partition in the upper bits: made dense by the counts of the partitions before
+    rows = materialise(nameless.withColumn("_number", F.monotonically_increasing_id()), "nameless")
+    part = F.shiftright("_number", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    last = named.agg(F.coalesce(F.max("doc_id"), F.lit(0)).cast("long")).first()[0]
+    dense = F.lit(last) + 1 + F.col("_base") + F.col("_number").bitwiseAND(F.lit((1 << 33) - 1))
+    given = rows.withColumn("_part", part).join(F.broadcast(bases), "_part").withColumn("doc_id", dense).withColumn(NAMELESS, F.lit(True))
+    return named.unionByName(given.select(*named.columns))
+
+
+def without_ids(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns, with doc_id null again where with_ids() gave one."""
+    return docs.withColumn("doc_id", F.when(~F.col(NAMELESS), F.col("doc_id"))).select(*columns)
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose score is at least 0.5."""
@@ -30,19 +62,27 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of 5-word shingles at a similarity of 0.8 or more."""
-    found = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    return docs.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    """Keeps the smallest doc_id of each component of 5-word shingles at a similarity of 0.8 or more.
+
+    Rows with a null doc_id come after all others: one stays where its component has no id and no earlier row.
+    """
+    rows = with_ids(docs)
+    found = jaccard_join.jaccard_components(rows, k=5, percent=80)
+    return without_ids(rows.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi"), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, in whole copies: the rest of the share is drawn by a hash of doc_id."""
-    taken = mixing.mix(docs).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    """Each document as often as the mix takes its words, in whole copies: the rest of the share is drawn by a hash of doc_id.
+
+    A row with a null doc_id is mixed by the id that it has for this stage. Rows without words take none and go.
+    """
+    rows = with_ids(docs)
+    taken = mixing.mix(rows).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     share = F.when(F.col("_size") > 0, F.col("_taken") / F.col("_size")).otherwise(0.0)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mixture")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = (F.floor(share) + F.when(draw < share - F.floor(share), 1).otherwise(0)).cast("int")
     wanted = taken.select("doc_id", copies.alias("_copies")).where("_copies > 0")
-    return docs.join(wanted, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return without_ids(rows.join(wanted, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

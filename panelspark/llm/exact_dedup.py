@@ -9,7 +9,8 @@ Blocks that many rows share (found by counting hashes) are joined apart, by a ta
 bounded by MOST_HOT blocks: one hot text doesn't end in one task.
 
 Edge cases: a null text counts as empty, empty texts equal each other; repeated rows are copies of
-each other, of rows with the same smallest doc_id one stays; an empty table gives an empty result.
+each other, of rows with the same smallest doc_id one stays; a row with a null doc_id comes after all
+rows with one, so it stays only where no copy has an id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,7 +82,7 @@ def identities(docs: DataFrame, column: str = "text", block: int = BLOCK) -> Dat
 def decide(docs: DataFrame, column: str = "text", block: int = BLOCK) -> DataFrame:
     """row, doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs."""
     rows = materialise(identities(docs, column, block), "identities")
-    groups = materialise(rows.groupBy("n_bytes", "name").agg(F.min(F.struct("doc_id", ROW)).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    groups = materialise(rows.groupBy("n_bytes", "name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", ROW)).alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
     out = rows.join(groups, ["n_bytes", "name"])
     return out.select(ROW, "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col(ROW) == F.col(f"first.{ROW}")).alias("kept"), "text_sha256")
 

@@ -46,3 +46,36 @@ def test_awkward_rows_pass_all_stages(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_rows_without_an_id_pass_all_stages(spark):
+    long, other, third = (" ".join(f"{w}{i}" for i in range(400)) for w in ("alpha", "beta", "gamma"))
+    near = long.replace("alpha7 ", "changed ")
+    rows = [(None, other, "en", "a", 1), (7, other, "en", "a", 2), (None, third, "en", "a", 3), (None, third, "en", "a", 4), (5, long, "en", "a", 5), (None, near, "en", "a", 6), (None, third.replace("gamma9 ", "changed "), "en", "a", 7), (3, "delta " * 300, "en", "a", 8), (None, None, "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs = corpus_pipeline.materialise(docs, "test")
+
+    def ids_and_texts(df):
+        return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+    exact = corpus_pipeline.materialise(corpus_pipeline.exact_duplicates(spark, docs, DATA), "test")
+    changed = third.replace("gamma9 ", "changed ")
+    want = [(7, other), (None, third), (5, long), (None, near), (None, changed), (3, "delta " * 300), (None, None)]
+    assert ids_and_texts(exact) == sorted(want, key=str)
+    # the copy with an id wins over the near copy without one; of two near copies without an id one stays
+    unique = corpus_pipeline.materialise(corpus_pipeline.near_duplicates(spark, exact, DATA), "test")
+    got = ids_and_texts(unique)
+    stays = [t for i, t in got if i is None and t]
+    assert len(stays) == 1 and stays[0] in (third, changed)
+    assert got == sorted([(7, other), (None, stays[0]), (5, long), (3, "delta " * 300), (None, None)], key=str)
+    # the source takes 1.5 times its words, so each text is there once or twice; a row without words takes none
+    mixed = corpus_pipeline.mixture(spark, unique, DATA)
+    assert mixed.columns == docs.columns
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} == {(i, t) for i, t in got if t}
+
+
+def test_ids_for_rows_without_one_are_dense_and_beyond_all_others(spark):
+    docs = spark.createDataFrame([(i if i % 3 else None, str(i)) for i in range(60)], "doc_id long, text string").repartition(4)
+    rows = corpus_pipeline.with_ids(docs).collect()
+    assert sorted(r["doc_id"] for r in rows if r["_nameless"]) == list(range(60, 80))
+    assert {r["doc_id"] for r in rows if not r["_nameless"]} == {i for i in range(60) if i % 3}
