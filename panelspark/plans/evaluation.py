@@ -122,7 +122,14 @@ def m15_v1_paired_comparison(spark, d):
 @query("cells:i off_diagonal_mean:r off_diagonal_sd:r effective_rank:r label_alignment:r", "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 100), k AS (SELECT a.vec_id = b.vec_id AS same, CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0 END AS agree, pow(list_cosine_similarity(a.e, b.e), 2) AS k FROM v a, v b)",
        "SELECT count(*) AS cells, avg(CASE WHEN NOT same THEN k END) AS off_diagonal_mean, stddev_pop(CASE WHEN NOT same THEN k END) AS off_diagonal_sd, pow(sum(CASE WHEN same THEN k END), 2) / sum(k * k) AS effective_rank, sum(k * agree) / sqrt(sum(k * k) * sum(agree)) AS label_alignment FROM k")
 def m19_gram_diagnostics(spark, d):
-    return metrics.gram_diagnostics(v.table(spark, d, "embeddings"), 100)
+    """Of the first 100 vectors, as its SQL has it; m19_gram_diagnostics_all takes the table."""
+    return metrics.gram_diagnostics(v.table(spark, d, "embeddings").orderBy("vec_id").limit(100))
+
+
+@query("cells:i off_diagonal_mean:r off_diagonal_sd:r effective_rank:r label_alignment:r", "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT a.vec_id = b.vec_id AS same, CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0 END AS agree, pow(list_cosine_similarity(a.e, b.e), 2) AS k FROM v a, v b)",
+       "SELECT count(*) AS cells, avg(CASE WHEN NOT same THEN k END) AS off_diagonal_mean, stddev_pop(CASE WHEN NOT same THEN k END) AS off_diagonal_sd, pow(sum(CASE WHEN same THEN k END), 2) / sum(k * k) AS effective_rank, sum(k * agree) / sqrt(sum(k * k) * sum(agree)) AS label_alignment FROM k")
+def m19_gram_diagnostics_all(spark, d):
+    return metrics.gram_diagnostics(v.table(spark, d, "embeddings"))
 
 
 @query("model momentum_mean:r random_mean:r".replace("model ", "split_id:i "), SPLIT_IC, "SELECT split_id, max(CASE WHEN model = 'momentum' THEN rank_ic END) AS momentum_mean, max(CASE WHEN model = 'random' THEN rank_ic END) AS random_mean FROM split_ic GROUP BY 1")

@@ -303,3 +303,21 @@ def test_splits(spark):
     fit = splits.fit_preprocessor(df, ["x"]).first()
     assert fit["median"] == 3.0 and abs(fit["mean"] - 3.75) < 1e-12
     assert abs(splits.transform(df, splits.fit_preprocessor(df, ["x"]), ["x"]).agg(F.avg("x")).first()[0]) < 1e-12
+
+
+def test_gram_diagnostics_of_all_vectors(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(metrics, "GRAM_CELLS", 30)  # several passes
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(150, 4))
+    label = draw.integers(0, 3, 150)
+    rows = [(i, x[i].tolist(), int(label[i])) for i in range(150)] + [(150, [0.0] * 4, 1), (151, None, 2)]
+    got = metrics.gram_diagnostics(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)).first()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    k = (u @ u.T) ** 2
+    off = k[~np.eye(150, dtype=bool)]
+    every = np.append(label, [1, 2])
+    agree = (every[:, None] == every).sum()
+    want = (152 * 152, off.mean(), off.std(), 150**2 / (k * k).sum(), (k * (label[:, None] == label)).sum() / np.sqrt((k * k).sum() * agree))
+    assert np.allclose(tuple(got), want, rtol=1e-9)
