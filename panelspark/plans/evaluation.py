@@ -391,7 +391,17 @@ def d5s_n15_filing_events(spark, d):
 
 @query("symbol date close:r volume:i")
 def n1_bar_pages(spark, d):
-    p = v.panel(spark, d).where(F.year("date") == 1997)
+    """Of 1997, as its SQL has it; n1_bar_pages_all takes every year."""
+    return bar_pages(v.panel(spark, d).where(F.year("date") == 1997))
+
+
+@query("symbol date close:r volume:i", v.PANEL, "SELECT upper(symbol) AS symbol, date, close, volume FROM panel")
+def n1_bar_pages_all(spark, d):
+    return bar_pages(v.panel(spark, d))
+
+
+def bar_pages(p):
+    """A page a date, built from the panel and parsed."""
     bars = p.groupBy("date").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("symbol", F.array(F.struct(F.date_format("date", "yyyy-MM-dd'T'00:00:00'Z'").alias("t"), F.col("close").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"), F.col("volume").cast("long").alias("v")))))).alias("bars"))).alias("payload"))
     return ingest.bar_pages(bars)
 
