@@ -280,14 +280,18 @@ def r3_c11_random_rank_sector_neutral(spark, d):
 
 @query("model n_rows:i y_score:r")
 def r5_r15_walk_forward_models(spark, d):
-    """Two years of training for each later year: logistic, ridge, boosting."""
+    """All earlier years train for each later year of the data: logistic, ridge, elastic net, Huber, forest, boosting."""
     p = v.preds(spark, d)
-    rows = p.groupBy("symbol", "date", "split_id", "y_true", "forward_return").pivot("model", ["momentum", "sign", "random"]).agg(F.first("y_score")).na.drop()
-    years = [(1997, 1998), (1999, 2000)]
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("fold"), F.when(F.col("split_id") < last, "train").when(F.col("split_id") == last, "validation").alias("role")) for i, (_, last) in enumerate(years)])).alias("x")
-    rows = rows.select("symbol", "date", "y_true", "forward_return", "momentum", "sign", "random", each).select("*", F.col("x.fold").alias("split_id"), F.col("x.role").alias("role")).drop("x").where("role IS NOT NULL")
-    chosen = {"logistic": models.fit_logistic, "ridge": models.fit_ridge, "boosting": lambda t, f, y: models.fit_boosting(t, f, y, rounds=5, depth=3)}
-    return models.walk_forward(rows, ["momentum", "sign", "random"], "y_true", chosen, [0, 1]).groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y_score").alias("y_score"))
+    rows = p.groupBy("symbol", "date", "y_true", "forward_return").pivot("model", ["momentum", "sign", "random"]).agg(F.first("y_score")).na.drop()
+    return walk_forward_scores(rows).groupBy("model").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y_score").alias("y_score"))
+
+
+def walk_forward_scores(rows):
+    """Predictions for each year of rows after the first, by the learners of r5_r15 with their own parameters."""
+    folds = splits.yearly(rows)
+    ids = sorted(r["split_id"] for r in folds.select("split_id").collect())
+    chosen = {"logistic": models.fit_logistic, "ridge": models.fit_ridge, "elastic_net": models.fit_elastic_net, "huber": models.fit_huber, "forest": models.fit_forest, "boosting": models.fit_boosting}
+    return models.walk_forward(joins.assign_roles(rows, folds), ["momentum", "sign", "random"], "y_true", chosen, ids)
 
 
 # --- audit

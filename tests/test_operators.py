@@ -321,3 +321,12 @@ def test_gram_diagnostics_of_all_vectors(spark, monkeypatch):
     agree = (every[:, None] == every).sum()
     want = (152 * 152, off.mean(), off.std(), 150**2 / (k * k).sum(), (k * (label[:, None] == label)).sum() / np.sqrt((k * k).sum() * agree))
     assert np.allclose(tuple(got), want, rtol=1e-9)
+
+
+def test_walk_forward_predicts_each_later_year(spark):
+    from panelspark.plans import evaluation
+
+    rows = [(f"S{s}", dt.date(y, m, 1), (s + m) % 2, 0.01 * s, float((s * m) % 5), float((s + m) % 2), float(s)) for y in (2010, 2011, 2012) for m in (1, 5, 9) for s in range(16)]
+    out = evaluation.walk_forward_scores(spark.createDataFrame(rows, "symbol string, date date, y_true int, forward_return double, momentum double, sign double, random double"))
+    got = {(r["model"], r["y"]): r["n"] for r in out.groupBy("model", F.year("date").alias("y")).agg(F.count("y_score").alias("n")).collect()}
+    assert got == {(m, y): 48 for m in ("logistic", "ridge", "elastic_net", "huber", "forest", "boosting") for y in (2011, 2012)}
