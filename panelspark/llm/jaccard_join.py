@@ -1,131 +1,130 @@
 """N-gram Jaccard join: count-vector R-trees over tiles of documents that can be alike.
 
 A document is the set of its word shingles, as 64-bit hashes; equal sets form one class, and only
-class representatives are compared. Shingles are hashed into GROUPS groups, the counts per group
-are a point; two points bound the overlap of their sets by the sum of coordinate minima. Points of a
-tile are bulk-loaded into an R-tree whose nodes keep the largest count of each coordinate and the
-range of sizes: a search descends only where the bound reaches the overlap that the threshold asks
-for, and what is left is verified on the sets.
-
-Which documents share a tile. At threshold t, sets of sizes a <= b differ in at most
-D = floor(2 b (1 - t) / (1 + t)) shingles. Hash space is cut into D + 1 + S blocks: at least S + 1
-blocks then hold the same shingles in both. Each document drops its S smallest blocks (by size, then
-number); the largest shared block survives in both, so an equal block is always found among those
-left, and none of these is small enough to be shared by chance. Documents with an equal block are
-candidates. A component of candidates is dealt over pairs of tiles of at most TILE documents; of one with
-more than MOST_TILES tiles, the documents of each equal block are dealt in this way instead. A tile emits
-links that span its connected documents, never all pairs.
+class representatives are compared. Shingles are hashed into groups, the counts per group are a
+point; two points bound the overlap of their sets by the sum of coordinate minima. Points of a tile
+are bulk-loaded into an R-tree whose nodes keep the largest count of each coordinate and the range of
+sizes: a search descends only where the bound reaches the overlap that the threshold asks for, and
+what is left is verified on the sets.
+
+Which documents share a tile. An R-tree over all documents would be one index that every task needs;
+two filters that lose no link come first.
+
+1. A set of n shingles of which u stand in no other set overlaps none in more than n - u, so it is linked
+   only if n - u >= t n. Shingles of a fixed share of hash space are counted; sets that this rules out go.
+2. Among what is left, shingles are put in order of their exact frequency, rarest first. Two linked
+   sets share one of their first n - ceil(t n) + 1 shingles; sets that share one are joined in a graph.
+
+Components of that graph are tiles. One that weighs more than TILE is cut into leaves in order of size, as
+an R-tree packs its leaves: first each leaf is searched by itself, together with one document of the component.
+What links of the first step leave outside the component's largest part is then searched against every
+leaf whose bounding box (range of sizes, largest count of each group) can hold a partner. A tile
+emits links that span its connected documents, never all pairs.
 
 Edge cases: texts without words have the empty set and are linked with nothing; texts with fewer
-words than a shingle have one shingle, the whole sequence; repeated rows are of one class; a null doc_id
-gets a size but no links, and doc_ids aren't negative; an empty table gives an empty result.
+words than a shingle have one shingle, the whole sequence; repeated rows are of one class, rows with one
+doc_id and different texts are compared by their own texts; a row with a null doc_id gets a size, and
+the component of a row with an id and the same set, else null; an empty table gives an empty result; columns
+other than doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.components import components
-from panelspark.llm.storage import materialise
-from panelspark.llm.text import LOWER, column_bytes, mix, pieces, span_hash, window_hash, words
+from panelspark.llm.storage import Scratch
+from panelspark.llm.text import LOWER, column_bytes, doc_words, mix, pieces, sorted_set, span_hash, window_hash
 
+#: Groups of a bounding box between tiles; trees inside tiles take more for larger sets.
 GROUPS = 64
 LEAF, FANOUT = 16, 16
-#: Documents of a tile, and tiles whose pairs a component is dealt over.
-TILE, MOST_TILES = 4096, 8
-SLACK = 0.15
-RATIO = 1.5
-
-
-def shingles(text: np.ndarray, k: int) -> np.ndarray:
-    """The sorted distinct k-word shingles of a text's bytes, A-Z lower-cased, as hashes."""
-    text = LOWER[text]
-    starts, ends = words(text)
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    hashes = span_hash(text, starts, ends)
-    return np.unique(window_hash(hashes, min(k, len(hashes))))
-
-
-class Bands:
-    """Bands of sizes with the number of blocks that documents in them are cut into."""
-
-    def __init__(self, percent: int):
-        t = Fraction(percent, 100)
-        self.apart = 2 * (1 - t) / (1 + t)
-        self.reach = 1 / t
-        self.lows, self.blocks, self.drop = [], [], []
-        low = 1
-        while low < 1 << 40:
-            high = max(low, int(low * RATIO) - 1)
-            d = int(self.apart * high)
-            s = int(np.ceil(SLACK * (d + 1))) if d else 0
-            self.lows.append(low)
-            self.blocks.append(d + 1 + s if d else 0)
-            self.drop.append(s)
-            low = high + 1
-
-    def of(self, n: int) -> range:
-        """The bands in which a set of n shingles can have a partner of at least its size."""
-        first = int(np.searchsorted(self.lows, n, "right")) - 1
-        last = int(np.searchsorted(self.lows, int(n * self.reach), "right")) - 1
-        return range(first, last + 1)
-
-    def keys(self, found: np.ndarray) -> np.ndarray:
-        """A key for each block that is left, of each band."""
-        out = []
-        low, high = (found & np.uint64(0xFFFFFFFF)).astype(np.float64), (found >> np.uint64(32)).astype(np.float64)
-        for band in self.of(len(found)) if len(found) else ():
-            k = self.blocks[band]
-            if not k:
-                continue
-            block = ((found >> np.uint64(17)) % np.uint64(k)).astype(np.int64)
-            size = np.bincount(block, minlength=k)
-            # sums of 32-bit halves are exact in doubles up to two million shingles a block
-            a = np.bincount(block, weights=low, minlength=k).astype(np.uint64)
-            b = np.bincount(block, weights=high, minlength=k).astype(np.uint64)
-            left = np.lexsort((np.arange(k), size))[self.drop[band] :].astype(np.uint64)
-            mixed = mix(a[left] + mix(b[left] + np.uint64(band * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF) + left)) + size[left].astype(np.uint64)
-            out.append(mix(mixed) >> np.uint64(1))
-        return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+#: The weight of a tile; a document weighs 1, and 1 more for each so many shingles.
+TILE, HEAVY = 256, 2000
+_CLASS = np.uint64(0x5851F42D4C957F2D)
+
+
+def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct k-word shingles of each text, A-Z lower-cased, as hashes."""
+    buf, at = column_bytes(column)
+    buf = LOWER[buf]
+    starts, ends, docs = doc_words(buf, at)
+    hashes = span_hash(buf, starts, ends)
+    runs = window_hash(hashes, k)
+    out = []
+    for a, b in zip(docs.tolist(), docs[1:].tolist()):
+        if b - a >= k:
+            out.append(sorted_set(runs[a : b - k + 1]))
+        else:
+            out.append(window_hash(hashes[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    return out
+
+
+def identity(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart."""
+    return tuple(int(np.add.reduce(mix(found ^ x)).astype(np.int64)) if len(found) else 0 for x in (np.uint64(0), _CLASS))
+
+
+def _long(values: list[np.ndarray]) -> pa.Array:
+    return pa.array((np.concatenate(values) if values else np.zeros(0, np.uint64)).view(np.int64), pa.int64())
 
 
 def _describe(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The size of each document's set and 128 bits that tell sets apart."""
+    """The size and identity of each document's set."""
+    for batch in pieces(batches, "text"):
+        sets = shingle_sets(batch.column(1), k)
+        marks = [identity(s) for s in sets]
+        arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n", "p", "q"])
+
+
+def counted_share(percent: int) -> float:
+    """The share of hash space whose shingles are counted: somewhat more than what a set that is ruled out needs."""
+    return min(1.0, 1.3 * (100 - percent) / 100 + 0.03)
+
+
+def _sample_tokens(batches: Iterator[pa.RecordBatch], k: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """The counted shingles of each class of a batch, with the class's first mark."""
+    most = np.uint64(int(counted_share(percent) * ((1 << 32) - 1)))
+    for batch in pieces(batches, "text", 4 << 20):
+        own = {identity(s)[0]: s for s in shingle_sets(batch.column(0), k) if len(s)}
+        # the low half: the high bits choose a shingle's group
+        left = [s[(s & np.uint64(0xFFFFFFFF)) <= most] for s in own.values()]
+        mark = np.repeat(np.array(list(own), np.int64), [len(s) for s in left])
+        yield pa.RecordBatch.from_arrays([_long(left), pa.array(mark, pa.int64())], names=["token", "mark"])
+
+
+def _same_class(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The rows whose text has the set that their class names: others have the same doc_id only."""
     for batch in pieces(batches, "text"):
-        buf, at = column_bytes(batch.column(1))
-        sets = [shingles(buf[a:b], k) for a, b in zip(at, at[1:])]
-        p = [np.add.reduce(mix(s)) if len(s) else np.uint64(0) for s in sets]
-        q = [np.add.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D))) if len(s) else np.uint64(0) for s in sets]
-        sums = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (p, q)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), *sums], names=["doc_id", "n", "p", "q"])
-
-
-def _keys(batches: Iterator[pa.RecordBatch], k: int, percent: int, combine: bool) -> Iterator[pa.RecordBatch]:
-    """A row for each document and key. combine: of documents with one key, the smallest is sent and the
-    others are tied to it before the shuffle; a tie travels as (-1 - document, smallest)."""
-    bands = Bands(percent)
+        marks = batch.column(batch.schema.get_field_index("p")).to_pylist(), batch.column(batch.schema.get_field_index("q")).to_pylist()
+        keep = [identity(s) == (p, q) for s, p, q in zip(shingle_sets(batch.column(batch.schema.get_field_index("text")), k), *marks)]
+        yield batch.select(["node", "n", "text"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each node."""
     for batch in pieces(batches, "text", 4 << 20):
-        buf, at = column_bytes(batch.column(1))
-        found = [bands.keys(shingles(buf[a:b], k)) for a, b in zip(at, at[1:])]
-        keys = np.concatenate(found) if found else np.zeros(0, np.int64)
-        docs = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
-        if combine:
-            order = np.lexsort((docs, keys))
-            keys, docs = keys[order], docs[order]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            first = docs[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else docs
-            tied = ~new & (docs != first)
-            ties = np.unique(np.stack([docs[tied], first[tied]], 1), axis=0) if tied.any() else np.zeros((0, 2), np.int64)
-            keys, docs = np.concatenate([keys[new], -1 - ties[:, 0]]), np.concatenate([docs[new], ties[:, 1]])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64())], names=["key", "doc"])
+        sets = shingle_sets(batch.column(1), k)
+        nodes = np.repeat(batch.column(0).to_numpy(), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([_long(sets), pa.array(nodes, pa.int64())], names=["token", "node"])
+
+
+def group_counts(found: np.ndarray, groups: int) -> np.ndarray:
+    """The point of a set: how many of its shingles each group has; groups is a power of two."""
+    shift = np.uint64(64 - int(groups).bit_length() + 1)
+    return np.bincount((found >> shift).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def _points(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        points = [group_counts(s, GROUPS) for s in shingle_sets(batch.column(1), k)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(points, pa.list_(pa.int32()))], names=["node", "point"])
 
 
 class RTree:
@@ -166,8 +165,9 @@ class RTree:
         return points[fits(self.counts[points], self.sizes[points], self.sizes[points])]
 
 
-def links(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect all sets which links connect. left: with it, only pairs of a left and another one count."""
+def links(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets which links connect. left: with it, only pairs of a left and another one
+    count. parts: sets with the same number are known to be connected."""
     parent = list(range(len(sets)))
 
     def root(x: int) -> int:
@@ -176,13 +176,17 @@ def links(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None)
             x = parent[x]
         return x
 
+    if parts is not None:
+        first: dict[int, int] = {}
+        for i, part in enumerate(parts.tolist()):
+            parent[i] = first.setdefault(part, i)
     sizes = np.array([len(s) for s in sets], np.int64)
     out: list[tuple[int, int]] = []
 
     def verify(a: int, b: int) -> None:
         x, y = root(a), root(b)
         if x != y:
-            both = np.isin(sets[a], sets[b], assume_unique=True).sum() if sizes[a] + sizes[b] < 64 else _overlap(sets[a], sets[b])
+            both = _overlap(sets[a], sets[b]) if sizes[a] <= sizes[b] else _overlap(sets[b], sets[a])
             if 100 * both >= percent * (sizes[a] + sizes[b] - both):
                 parent[max(x, y)] = min(x, y)
                 out.append((a, b))
@@ -190,7 +194,8 @@ def links(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None)
     if len(sets) == 2:
         verify(0, 1)
         return out
-    counts = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    groups = 1 << int(np.clip(int(sizes.mean()) // 4, GROUPS, 1024) - 1).bit_length()
+    counts = np.stack([group_counts(s, groups) for s in sets])
     base = np.arange(len(sets)) if left is None else np.flatnonzero(~left)
     if not len(base):
         return out
@@ -208,65 +213,124 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def classes(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, n (shingles), rep (the smallest doc_id with the same set; of empty sets, itself)."""
-    described = materialise(texts.mapInArrow(lambda it: _describe(it, k), "doc_id long, n long, p long, q long"), "shingles")
-    reps = materialise(described.where("n > 0").groupBy("n", "p", "q").agg(F.min("doc_id").alias("rep")), "classes")
-    same = described.where("n > 0").join(reps, ["n", "p", "q"]).select("doc_id", "n", "rep")
-    return materialise(same.unionByName(described.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep"))), "members")
-
-
-def _by_key(texts: DataFrame, large: DataFrame, k: int, percent: int) -> DataFrame:
-    """Tiles for large components: the documents of one key, which hold any linked pair. Keys with the same documents are one tile."""
-    chosen = texts.join(large.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    rows = materialise(chosen.mapInArrow(lambda it: _keys(it, k, percent, False), "key long, doc long").distinct(), "large-keys")
-    groups = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("members")).where("size > 1")
-    same = materialise(groups.select("key", "size", F.xxhash64("size", "members", F.lit("tile")).alias("cluster")), "key-groups")
-    return rows.join(same, "key").select(F.col("doc").alias("node"), "cluster", "size").distinct()
-
-
 def _tile(table: pa.Table, k: int, percent: int) -> pa.Table:
-    rows = table.select(["cluster", "i", "j", "side", "doc_id"]).to_pandas()
-    buf, at = column_bytes(table.column("text"))
+    """The links in each cluster of a tile."""
+    sets = shingle_sets(table.column("text"), k)
+    rows = table.select(["cluster", "side", "node", "part"]).to_pandas()
     ends: tuple[list, list] = ([], [])
-    for (_, i, j), own in rows.groupby(["cluster", "i", "j"], sort=False):
-        own = own.sort_values("doc_id").drop_duplicates("doc_id")
-        sets = [shingles(buf[at[r] : at[r + 1]], k) for r in own.index]
-        ids = own["doc_id"].to_numpy()
-        for a, b in links(sets, percent, None if i == j else (own["side"] == 0).to_numpy()):
+    for _, own in rows.groupby("cluster", sort=False):
+        own = own.sort_values(["node", "side"]).drop_duplicates("node")
+        ids, side = own["node"].to_numpy(), own["side"].to_numpy()
+        # side 2: all pairs; else those of a 0 and a 1
+        for a, b in links([sets[r] for r in own.index], percent, None if side[0] == 2 else side == 0, own["part"].to_numpy()):
             ends[0].append(int(ids[a]))
             ends[1].append(int(ids[b]))
     return pa.table([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64())], names=["u", "v"])
 
 
+def survivors(texts: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """node, n, text of the classes that step 1 leaves, one row each."""
+    tokens = texts.select("text").mapInArrow(lambda it: _sample_tokens(it, k, percent), "token long, mark long")
+    alone = tokens.groupBy("token").agg(F.min("mark").alias("p"), F.max("mark").alias("other")).where("p = other")
+    lone = scratch.keep(alone.groupBy("p").agg(F.count(F.lit(1)).alias("u")), "lone")
+    left = classes.join(lone, "p", "left").where(F.lit(100) * (F.col("n") - F.coalesce("u", F.lit(0))) >= F.lit(percent) * F.col("n"))
+    left = scratch.keep(left.select("node", "n", "p", "q", "doc"), "left")
+    rows = texts.join(left.withColumnRenamed("doc", "doc_id"), "doc_id").select("node", "n", "p", "q", "text").mapInArrow(lambda it: _same_class(it, k), "node long, n long, text string")
+    return scratch.keep(rows.dropDuplicates(["node"]), "survivors")
+
+
+def candidates(rows: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges u, v of step 2: each node tied to the smallest one with the same early shingle."""
+    tokens = rows.select("node", "text").mapInArrow(lambda it: _tokens(it, k), "token long, node long")
+    frequent = scratch.keep(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequent")
+    shared = tokens.join(frequent, "token").join(rows.select("node", "n"), "node")
+    # of a node's shingles those without a partner come first, so only the others need a place
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))
+    shared = shared.withColumns({"place": place, "lone": F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("node"))})
+    prefix = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / F.lit(100)) + 1
+    early = scratch.keep(shared.where(F.col("place") <= prefix - F.col("lone")).select("token", "node"), "early")
+    lowest = scratch.keep(early.groupBy("token").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("df")).where("df > 1").select("token", "v"), "lowest-early")
+    return scratch.keep(early.join(lowest, "token").where("node <> v").select(F.col("node").alias("u"), "v").distinct(), "candidates")
+
+
+def leaves(rows: DataFrame) -> DataFrame:
+    """node, cluster, n with `leaf`: each cluster in order of size, cut by weight. Works on one row a size of each cluster."""
+    weight = F.col("n") / HEAVY + 1
+    sizes = rows.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("same")).withColumn("all", F.col("same") * weight)
+    before = F.coalesce(F.sum("all").over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    placed = rows.join(sizes.withColumn("before", before), ["cluster", "n"])
+    inside = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
+    return placed.select("node", "cluster", "n", F.floor((F.col("before") + inside * F.col("all")) / TILE).alias("leaf"))
+
+
+def _boxes(rows: DataFrame, name: str) -> DataFrame:
+    """A bounding box of each leaf (cluster, name): range of sizes, largest count of each group."""
+    tops = [F.max(F.col("point")[i]) for i in range(GROUPS)]
+    return rows.groupBy("cluster", name).agg(F.min("n").alias(f"low_{name}"), F.max("n").alias(f"high_{name}"), F.array(*tops).alias(f"top_{name}"))
+
+
+def _can_meet(percent: int) -> Column:
+    """Whether boxes a and b can hold a linked pair: sizes within the ratio, enough overlap by coordinate minima."""
+    bound = F.aggregate(F.zip_with("top_a", "top_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    sizes = (F.lit(percent) * F.col("low_a") <= 100 * F.col("high_b")) & (F.lit(percent) * F.col("low_b") <= 100 * F.col("high_a"))
+    return sizes & (bound * (100 + percent) >= F.lit(percent) * (F.col("low_a") + F.col("low_b")))
+
+
+def verified(rows: DataFrame, clusters: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """u, v: links that connect the nodes which links connect. rows: node, n, text; clusters: node, component."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = scratch.keep(clusters.join(rows.select("node", "n"), "node").withColumnRenamed("component", "cluster"), "sized")
+    weights = scratch.keep(sized.groupBy("cluster").agg(F.sum(F.col("n") / HEAVY + 1).alias("weight")), "weights")
+    whole = sized.join(weights, "cluster")
+    small = whole.where(F.col("weight") <= TILE)
+    buckets = max(partitions, int((weights.where(F.col("weight") <= TILE).agg(F.sum("weight")).first()[0] or 0) // TILE))
+    placed = small.select("node", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).alias("tile"), F.lit(2).alias("side"), F.col("node").alias("part"))
+    large = scratch.keep(leaves(whole.where(F.col("weight") > TILE).select("node", "cluster", "n")), "large")
+    tile = F.xxhash64("cluster", "leaf")
+    own = large.select("node", "cluster", tile.alias("tile"), F.lit(2).alias("side"), F.col("node").alias("part"))
+    lead = large.groupBy("cluster").agg(F.min("node").alias("node"))
+    led = large.select("cluster", "leaf").distinct().join(lead, "cluster").select("node", "cluster", tile.alias("tile"), F.lit(2).alias("side"), F.col("node").alias("part"))
+
+    def search(tiles: DataFrame, name: str) -> DataFrame:
+        dealt = rows.select("node", "text").join(tiles, "node")
+        return scratch.keep(dealt.groupBy("tile").applyInArrow(lambda t: _tile(t, k, percent), "u long, v long"), name)
+
+    found = search(placed.unionByName(own).unionByName(led.join(own.select("node", "tile"), ["node", "tile"], "left_anti")), "links")
+    if large.isEmpty():
+        return found
+    parts = components(found.join(large.select(F.col("node").alias("u")), "u", "left_semi"))
+    parts = scratch.keep(large.join(parts, "node", "left").select("node", "cluster", "n", "leaf", F.coalesce("component", "node").alias("part")), "parts")
+    counted = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("rows"))
+    largest = counted.groupBy("cluster").agg(F.max(F.struct("rows", "part")).alias("most")).select("cluster", F.col("most.part").alias("most"))
+    outside = parts.join(largest, "cluster").where("part <> most").select("node", "cluster", "n")
+    points = rows.select("node", "text").join(large.select("node"), "node", "left_semi").mapInArrow(lambda it: _points(it, k), "node long, point array<int>")
+    points = scratch.keep(points, "points")
+    right = scratch.keep(parts.join(points, "node").withColumnRenamed("leaf", "b"), "right")
+    left = scratch.keep(leaves(outside).withColumnRenamed("leaf", "a").join(parts.select("node", "part"), "node").join(points, "node"), "left-out")
+    pairs = scratch.keep(_boxes(left, "a").join(_boxes(right, "b"), "cluster").where(_can_meet(percent)).select("cluster", "a", "b"), "box-pairs")
+    both = F.xxhash64("cluster", "a", "b")
+    tiles = left.join(pairs, ["cluster", "a"]).select("node", "cluster", both.alias("tile"), F.lit(0).alias("side"), "part")
+    tiles = tiles.unionByName(left.select("node", "cluster", F.xxhash64("cluster", "a", F.lit("itself")).alias("tile"), F.lit(2).alias("side"), "part"))
+    tiles = tiles.unionByName(right.join(pairs, ["cluster", "b"]).select("node", "cluster", both.alias("tile"), F.lit(1).alias("side"), "part"))
+    return found.unionByName(search(tiles, "links-across"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included)."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    member = classes(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), k)
-    sent = texts.mapInArrow(lambda it: _keys(it, k, percent, True), "key long, doc long")
-    low = F.min("doc").over(Window.partitionBy("key"))
-    tie = F.col("key") < 0
-    stars = sent.withColumn("low", low).select(F.when(tie, -1 - F.col("key")).otherwise(F.col("doc")).alias("u"), F.when(tie, F.col("doc")).otherwise(F.col("low")).alias("v"))
-    candidates = materialise(stars.where("u <> v").distinct(), "candidates")
-    # copies of a set share its keys, so its representative is in their component
-    reps = member.where("doc_id = rep").select(F.col("doc_id").alias("node")).distinct()
-    clusters = materialise(components(candidates).join(reps, "node", "left_semi"), "clusters")
-    sizes = materialise(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")  # written, so that Spark can split a large cluster's rows in the join
-    sized = materialise(clusters.join(sizes.where("size > 1"), "component"), "sized-clusters")
-    tiled = sized.where(F.col("size") <= TILE * MOST_TILES).select("node", F.col("component").alias("cluster"), "size")
-    large = sized.where(F.col("size") > TILE * MOST_TILES)
-    if not large.isEmpty():
-        tiled = tiled.unionByName(_by_key(texts, large, k, percent))
-    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int")
-    placed = tiled.select("node", "cluster", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
-    # a document of tile i goes to every pair that i is in
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least(o, F.col("tile")).alias("i"), F.greatest(o, F.col("tile")).alias("j")))).alias("pair")
-    placed = materialise(placed.select(F.col("node").alias("doc_id"), "cluster", "tile", pair).select("doc_id", "cluster", "pair.i", "pair.j", F.when(F.col("tile") == F.col("pair.i"), 0).otherwise(1).alias("side")), "tiles")
-    buckets = max(2 * partitions, placed.count() // TILE)
-    dealt = texts.join(placed, "doc_id").withColumn("bucket", F.pmod(F.xxhash64("cluster", "i", "j"), F.lit(buckets)).cast("int"))
-    verified = materialise(dealt.groupBy("bucket").applyInArrow(lambda t: _tile(t, k, percent), "u long, v long"), "links")
-    linked = components(verified)
-    out = member.join(linked, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included; of empty sets, itself)."""
+    scratch = Scratch(docs.sparkSession)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    described = scratch.keep(texts.mapInArrow(lambda it: _describe(it, k), "doc_id long, n long, p long, q long"), "described")
+    classes = described.where("n > 0").groupBy("n", "p", "q").agg(F.min("doc_id").alias("doc"))
+    classes = scratch.keep(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    named = classes.where("doc IS NOT NULL")  # a class without an id can't be reached by one: it is its own component
+    rows = survivors(texts.where("doc_id IS NOT NULL"), named, k, percent, scratch)
+    edges = candidates(rows, k, percent, scratch)
+    scratch.drop("lone", "left", "frequent", "early", "lowest-early")
+    found = scratch.keep(components(verified(rows, components(edges), k, percent, scratch)), "labels")
+    scratch.drop(*(x for x in list(scratch.paths) if x not in ("described", "classes", "labels")))
+    ids = found.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
+    labelled = classes.join(found, "node", "left").join(ids, "component", "left")
+    labelled = scratch.keep(labelled.select("n", "p", "q", F.coalesce("component_id", "doc").alias("component_id")), "classes-labelled")
+    scratch.drop("classes", "labels")
+    full = described.where("n > 0").join(labelled, ["n", "p", "q"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return full.unionByName(described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

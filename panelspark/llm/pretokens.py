@@ -9,10 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import regex
 
-from panelspark.llm.text import gather, span_hash
+from panelspark.llm.text import distinct_spans, gather
 
 #: Code points whose class no Unicode version disputes.
 _PLAIN_TOP = 0x0530
@@ -82,15 +81,16 @@ def starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 class Memo:
-    """Ids of pieces seen so far, looked up by a 64-bit hash of the piece; memory is bounded by `most` pieces."""
+    """Ids of pieces seen so far, found by the pieces' bytes; memory is bounded by `most` pieces and by `most` times 8 bytes of them."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], pattern: str, most: int = 2_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], pattern: str, most: int = 1_000_000):
         self.encode, self.pattern, self.most = encode, regex.compile(pattern), most
         self.specials: tuple[str, ...] = ()
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.place: dict[bytes, int] = {}
+        self.held = 0
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
@@ -99,28 +99,23 @@ class Memo:
         """Ids of the pieces buf[lo:hi] in order, and how many each has."""
         if not len(lo):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        codes, keys = pd.factorize(span_hash(buf, lo, hi))
-        if len(self.keys) > self.most:
+        codes, found = distinct_spans(buf, lo, hi)
+        found = found.to_pylist()
+        if len(self.place) > self.most or self.held > 8 * self.most:
             self.clear()
-        where = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = where < len(self.keys)
-        new[inside] = self.keys[where[inside]] != keys[inside]
-        if new.any():
-            first = np.empty(len(keys), np.int64)
-            first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            own = first[new]
-            whole = buf.tobytes()
-            got = self.encode([whole[a:b] for a, b in zip(lo[own].tolist(), hi[own].tolist())])
+        where = np.array([self.place.get(x, -1) for x in found], np.int64)
+        new = np.flatnonzero(where < 0)
+        if len(new):
+            own = [found[i] for i in new.tolist()]
+            got = self.encode(own)
             size = np.fromiter(map(len, got), np.int64, len(got))
             at = len(self.ids) + np.cumsum(size) - size
+            where[new] = first = len(self.at) + np.arange(len(own))
+            self.place.update(zip(own, first.tolist()))
+            self.held += sum(map(len, own))
             self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
-            keys_all = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(keys_all, kind="stable")
-            self.keys = keys_all[order]
-            self.at = np.concatenate([self.at, at])[order]
-            self.size = np.concatenate([self.size, size])[order]
-            where = np.searchsorted(self.keys, keys)
+            self.at = np.concatenate([self.at, at])
+            self.size = np.concatenate([self.size, size])
         where = where[codes]
         size = self.size[where]
         return gather(self.ids, self.at[where], size), size

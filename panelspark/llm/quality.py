@@ -23,8 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.substring_dedup import doc_words
-from panelspark.llm.text import column_bytes, mix, pieces, span_hash
+from panelspark.llm.text import column_bytes, doc_words, mix, pieces, span_hash
 
 PASSAGE = 64
 MAX_TRAIN = 4000

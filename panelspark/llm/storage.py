@@ -9,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder takes its place, in local sessions only (one machine, as in
+    tests); on a cluster it is an error.
+    """
     own = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not own:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", own)
     return own.rstrip("/")
@@ -27,3 +34,24 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables that can be deleted once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """As materialise(); a later table of the same name doesn't replace the first, drop() deletes both."""
+        path = fresh_path(self.spark, name)
+        self.paths.setdefault(name, []).append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names; only for tables whose readers have all been written themselves."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

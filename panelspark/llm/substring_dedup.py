@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.text import SPACE, column_bytes, gather, span_hash, window_hash
+from panelspark.llm.text import column_bytes, doc_words, gather, span_hash, window_hash
 
 WINDOW = 35
 #: Bytes of text of a chunk; larger in large tables, so that a chunk still sends each part enough at once.
@@ -34,18 +34,6 @@ _SENT = "part int, chunk int, n int, first binary, second binary, many binary, a
 _BACK = "chunk int, kind int, part int, n int, bits binary"
 
 
-def doc_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the number of words before each document (and in all)."""
-    word = ~SPACE[buf]
-    edge = np.zeros(len(buf) + 1, bool)
-    edge[offsets] = True
-    begin, end = word.copy(), word.copy()
-    begin[1:] &= ~word[:-1] | edge[1:-1]
-    end[:-1] &= ~word[1:] | edge[1:-1]
-    starts = np.flatnonzero(begin)
-    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
-
-
 class _Chunk:
     """The words of a chunk with their hashes."""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -14,25 +15,13 @@ SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2**64, and of its inverse."""
-    if base not in _powers or len(_powers[base][0]) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        both = []
-        for b in (_BASES[base], pow(_BASES[base], -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        _powers[base] = tuple(both)
-    p, q = _powers[base]
-    return p[:n], q[:n]
+#: Odd multipliers of the mixing steps.
+_ODD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_KEY = b"word hash"
 
 
 def mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that changes about half of the bits when one changes."""
     h = h ^ (h >> np.uint64(30))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
     h = h ^ (h >> np.uint64(27))
@@ -40,44 +29,63 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-#: Bytes whose prefix sums are held at once.
-SLICE = 1 << 20
-
-
-def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans in order, without overlap."""
-    out = np.empty(len(starts), np.uint64)
-    a = 0
-    while a < len(starts):
-        low = int(starts[a])
-        b = max(a + 1, int(np.searchsorted(ends, low + SLICE, "right")))
-        part = buf[low : ends[b - 1]]
-        p, q = powers(len(part) + 1, base)
-        c = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * p[: len(part)], out=c[1:])
-        s, e = starts[a:b] - low, ends[a:b] - low
-        out[a:b] = mix((c[e] - c[s]) * q[s] + (e - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-        a = b
-    return out
-
-
-def window_hash(values: np.ndarray, k: int, base: int = 0) -> np.ndarray:
-    """A 64-bit hash of each run of k consecutive values."""
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The place of each span among the distinct ones, and these; spans in order, without overlap. Bytes are compared."""
+    lengths = ends - starts
+    if len(starts) and (starts[1:] == ends[:-1]).all():
+        flat = buf[starts[0] : ends[-1]]
+    else:
+        flat = gather(buf, starts, lengths)
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+    found = column.dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary
+
+
+def join_hashes(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
+    """A hash of the ordered pairs (a, b)."""
+    return mix(a * np.uint64(_ODD[lane]) + mix(b ^ np.uint64(_ODD[1 - lane])))
+
+
+#: Bytes of a span that are hashed as two numbers; longer spans go through a library hash.
+SHORT = 16
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """64 bits of hash for each span (lanes=2: two rows of 64); spans in order, without overlap.
+
+    Up to SHORT bytes the two numbers and the length that are mixed are the span itself; of a longer
+    span they are its keyed BLAKE2 hash.
+    """
+    size = (ends - starts).astype(np.int64)
+    padded = np.concatenate([buf, np.zeros(SHORT, np.uint8)])
+    at = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    low = at[starts] & _MASKS[np.minimum(size, 8)]
+    high = at[np.minimum(starts + 8, len(at) - 1)] & _MASKS[np.clip(size - 8, 0, 8)]
+    long = np.flatnonzero(size > SHORT)
+    if len(long):
+        codes, found = distinct_spans(buf, starts[long], ends[long])
+        raw = b"".join([blake2b(x, digest_size=16, key=_KEY).digest() for x in found.to_pylist()])
+        low[long], high[long] = np.frombuffer(raw, "<u8").reshape(-1, 2)[codes].T
+    size = size.astype(np.uint64)
+    first = join_hashes(join_hashes(low, high), size)
+    return first if lanes == 1 else np.stack([first, join_hashes(join_hashes(low, high, 1), size, 1)])
+
+
+def window_hash(values: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of k consecutive hashes: runs of 1, 2, 4, ... values are joined in pairs, the last two may overlap."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    p, q = powers(len(values) + 1, base)
-    c = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * p[: len(values)], out=c[1:])
-    return mix((c[k:] - c[:n]) * q[:n])
-
-
-def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each maximal run of bytes that aren't separators."""
-    edge = np.ones(len(buf) + 2, np.int8)
-    edge[1:-1] = SPACE[buf]
-    at = np.flatnonzero(np.diff(edge))
-    return at[::2], at[1::2]
+    width, runs = 1, values
+    while 2 * width <= k:
+        runs = join_hashes(runs[:-width], runs[width:], lane)
+        width *= 2
+    if width < k:
+        runs = join_hashes(runs[: len(runs) - (k - width)], runs[k - width :], lane)
+    return runs
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,3 +128,23 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     at = np.arange(total, dtype=np.int64)
     at += np.repeat(starts.astype(np.int64) - (ends - lengths), lengths)
     return flat[at]
+
+
+def doc_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the number of words before each document (and in all)."""
+    word = ~SPACE[buf]
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[offsets] = True
+    begin, end = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1] | edge[1:-1]
+    end[:-1] &= ~word[1:] | edge[1:-1]
+    starts = np.flatnonzero(begin)
+    return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
+
+
+def sorted_set(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]

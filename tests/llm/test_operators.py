@@ -15,6 +15,7 @@ import pytest
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from panelspark.llm import audio, bpe, exact_dedup, jaccard_join, mixing, quality, sharding, substring_dedup, token_files, url_filters  # noqa: E402
+from panelspark.llm import text as text_module  # noqa: E402
 
 RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -176,20 +177,91 @@ def test_tree_finds_all_links_of_near_sets():
         assert classes(found) == classes([(a, b) for a, b in pairs if linked(a, b)])
 
 
-def test_blocks_meet_for_every_pair_above_the_threshold():
-    r = np.random.default_rng(8)
-    for percent in (80, 90):
-        bands = jaccard_join.Bands(percent)
-        for _ in range(400):
-            n = int(r.integers(9, 400))
-            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-            t = percent / 100
-            apart = int(2 * len(a) * (1 - t) / (1 + t))
-            cut = int(r.integers(0, apart + 1))
-            b = np.unique(np.concatenate([a[r.permutation(len(a))[: len(a) - cut]], r.integers(0, 1 << 63, max(apart - cut, 0)).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if both and 100 * both >= percent * (len(a) + len(b) - both) and both < len(a) + len(b) - both:
-                assert set(bands.keys(a).tolist()) & set(bands.keys(b).tolist()), (percent, len(a), len(b), both)
+@pytest.mark.parametrize(("tile", "k", "percent"), [(256, 3, 90), (6, 5, 80)])
+def test_jaccard_of_large_components_and_hot_groups(spark, monkeypatch, tile, k, percent):
+    """Chains, near copies of several sizes and a passage in most documents; tile 6 cuts components into leaves."""
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    r = random.Random(12)
+    word = lambda: "w%d" % r.randrange(100_000)
+    passage = [word() for _ in range(50)]
+    rows = []
+    for _ in range(3):
+        text = [word() for _ in range(90)]
+        for _ in range(25):  # a chain: neighbours are linked, its ends aren't
+            text = list(text)
+            text[r.randrange(len(text))] = word()
+            rows.append(list(text))
+    for size in (60, 80, 100):
+        base = [word() for _ in range(size)]
+        for _ in range(25):
+            own = list(base)
+            for _ in range(r.randint(0, 5)):
+                own[r.randrange(size)] = word()
+            rows.append(own + (passage if r.random() < 0.5 else []))
+    rows += [[word() for _ in range(r.randint(5, 60))] + passage for _ in range(60)]
+    r.shuffle(rows)
+    data = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    sets = [frozenset(tuple(w[p : p + k]) for p in range(len(w) - k + 1)) for w in rows]
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(data, "doc_id long, text string"), k, percent).collect()
+    assert sorted(tuple(x) for x in got) == [(i, len(sets[i]), root(i)) for i in range(len(rows))]
+
+
+def alike_words(n: int) -> tuple[str, str]:
+    """Two different words of n letters whose polynomial hashes modulo 2 ** 64 agree whatever the base: Thue and Morse's and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_alike_words_are_told_apart(spark, n, tmp_path):
+    tiktoken = pytest.importorskip("tiktoken")
+    from tokenizers import Tokenizer
+
+    rows = [(i, " ".join([w] * 40)) for i, w in enumerate(alike_words(n))]
+    rows += [(i + 2, " ".join(f"{w} tail{j}" for j in range(40))) for i, w in enumerate(alike_words(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(RANKS), special_tokens={})
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode(docs, RANKS, PATTERN).collect()} == {i: library.encode_ordinary(t) for i, t in rows}
+    # in documents 0 and 1 windows repeat in the document itself; 2 and 3 share none
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(docs.where("doc_id >= 2")).collect()} == {2: 0, 3: 0}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, 3, 90).collect()} == {i: i for i in range(4)}
+    exact = Tokenizer.from_file(JSON)
+    token_files.write(docs, str(tmp_path / "a"), JSON, PATTERN, 2)
+    sums = {i: zlib.crc32(np.array(exact.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes()) for i, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_files.read(spark, str(tmp_path / "a")).collect()} == sums
+
+
+def test_words_of_windows_in_patterns_are_told_apart():
+    """Windows of the same words in Thue and Morse's order and its complement, and in reverse."""
+    r = np.random.default_rng(0)
+    for n in (32, 35, 64, 1024):
+        bits = np.array([bin(i).count("1") % 2 for i in range(n)])
+        two = r.integers(0, 1 << 63, 2).astype(np.uint64)
+        found = {int(text_module.window_hash(v, n, lane)[0]) for lane in (0, 1) for v in (two[bits], two[1 - bits], two[bits][::-1].copy(), np.sort(two[bits]))}
+        assert len(found) == 2 * len({tuple(v) for v in (two[bits], two[1 - bits], two[bits][::-1], np.sort(two[bits]))})
+
+
+def test_span_hash_tells_all_short_and_long_spans_apart():
+    r = random.Random(9)
+    spans = sorted({bytes(r.choice(b"\x00ab") for _ in range(r.randint(1, 40))) for _ in range(5000)})
+    buf = np.frombuffer(b" ".join(spans), np.uint8)
+    size = np.array([len(x) for x in spans])
+    start = np.cumsum(size + 1) - size - 1
+    both = text_module.span_hash(buf, start, start + size, 2)
+    assert all(len(set(lane.tolist())) == len(spans) for lane in both)
+    assert (text_module.span_hash(buf, start, start + size) == both[0]).all()
 
 
 def test_token_files_read_back(spark, docs, empty, tmp_path):
