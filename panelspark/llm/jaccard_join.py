@@ -17,9 +17,9 @@ two filters that lose no link come first.
 
 Components of that graph are tiles. One that weighs more than TILE is cut into leaves in order of size, as
 an R-tree packs its leaves: first each leaf is searched by itself, together with one document of the component.
-What links of the first step leave outside the component's largest part is then searched against every
+What links leave outside the component's largest part is then searched against every
 leaf whose bounding box (range of sizes, largest count of each group) can hold a partner. A tile
-emits links that span its connected documents, never all pairs.
+keeps links that span its connected documents, never all pairs.
 
 Edge cases: texts without words have the empty set and are linked with nothing; texts with fewer
 words than a shingle have one shingle, the whole sequence; repeated rows are of one class, rows with one
@@ -213,19 +213,43 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _tile(table: pa.Table, k: int, percent: int) -> pa.Table:
-    """The links in each cluster of a tile."""
+def _clusters(table: pa.Table, k: int) -> Iterator[tuple]:
+    """For each cluster of a tile: its rows (one a node) and their sets."""
     sets = shingle_sets(table.column("text"), k)
-    rows = table.select(["cluster", "side", "node", "part"]).to_pandas()
-    ends: tuple[list, list] = ([], [])
-    for _, own in rows.groupby("cluster", sort=False):
+    for _, own in table.drop_columns(["text"]).to_pandas().groupby("cluster", sort=False):
         own = own.sort_values(["node", "side"]).drop_duplicates("node")
-        ids, side = own["node"].to_numpy(), own["side"].to_numpy()
-        # side 2: all pairs; else those of a 0 and a 1
-        for a, b in links([sets[r] for r in own.index], percent, None if side[0] == 2 else side == 0, own["part"].to_numpy()):
-            ends[0].append(int(ids[a]))
-            ends[1].append(int(ids[b]))
-    return pa.table([pa.array(ends[0], pa.int64()), pa.array(ends[1], pa.int64())], names=["u", "v"])
+        yield own, [sets[r] for r in own.index]
+
+
+def _inside(table: pa.Table, k: int, percent: int) -> pa.Table:
+    """node, cluster, part: the smallest node that links connect it with inside the tile, or the cluster's leader if that is one."""
+    nodes, clusters, parts = [], [], []
+    for own, sets in _clusters(table, k):
+        ids = own["node"].to_numpy()
+        part = np.arange(len(ids))
+        for a, b in links(sets, percent):
+            x, y = part[a], part[b]
+            part[part == max(x, y)] = min(x, y)
+        leader = int(own["lead"].iloc[0])
+        at = np.flatnonzero(ids == leader)
+        name = ids[part]
+        if len(at):
+            name = np.where(part == part[at[0]], leader, name)
+        nodes.append(ids)
+        parts.append(name)
+        clusters.append(own["cluster"].to_numpy())
+    return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in (nodes, clusters, parts)], names=["node", "cluster", "part"])
+
+
+def _between(table: pa.Table, k: int, percent: int) -> pa.Table:
+    """u, v: links between parts. side 2: of all pairs of the tile; else of those of a 0 and a 1."""
+    ends: tuple[list, list] = ([], [])
+    for own, sets in _clusters(table, k):
+        part, side = own["part"].to_numpy(), own["side"].to_numpy()
+        for a, b in links(sets, percent, None if side[0] == 2 else side == 0, part):
+            ends[0].append(int(part[a]))
+            ends[1].append(int(part[b]))
+    return pa.table([pa.array(x, pa.int64()) for x in ends], names=["u", "v"])
 
 
 def survivors(texts: DataFrame, classes: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -254,13 +278,13 @@ def candidates(rows: DataFrame, k: int, percent: int, scratch: Scratch) -> DataF
 
 
 def leaves(rows: DataFrame) -> DataFrame:
-    """node, cluster, n with `leaf`: each cluster in order of size, cut by weight. Works on one row a size of each cluster."""
+    """rows (node, cluster, n, more) with `leaf`: each cluster in order of size, cut by weight. Its window holds one row a size of each cluster."""
     weight = F.col("n") / HEAVY + 1
     sizes = rows.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("same")).withColumn("all", F.col("same") * weight)
     before = F.coalesce(F.sum("all").over(Window.partitionBy("cluster").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     placed = rows.join(sizes.withColumn("before", before), ["cluster", "n"])
     inside = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
-    return placed.select("node", "cluster", "n", F.floor((F.col("before") + inside * F.col("all")) / TILE).alias("leaf"))
+    return placed.withColumn("leaf", F.floor((F.col("before") + inside * F.col("all")) / TILE)).select(*rows.columns, "leaf")
 
 
 def _boxes(rows: DataFrame, name: str) -> DataFrame:
@@ -276,43 +300,51 @@ def _can_meet(percent: int) -> Column:
     return sizes & (bound * (100 + percent) >= F.lit(percent) * (F.col("low_a") + F.col("low_b")))
 
 
-def verified(rows: DataFrame, clusters: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """u, v: links that connect the nodes which links connect. rows: node, n, text; clusters: node, component."""
+def connected(rows: DataFrame, clusters: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """node, component: the nodes that links connect share one. rows: node, n, text; clusters: node, component of candidates."""
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = scratch.keep(clusters.join(rows.select("node", "n"), "node").withColumnRenamed("component", "cluster"), "sized")
-    weights = scratch.keep(sized.groupBy("cluster").agg(F.sum(F.col("n") / HEAVY + 1).alias("weight")), "weights")
+    weights = scratch.keep(sized.groupBy("cluster").agg(F.sum(F.col("n") / HEAVY + 1).alias("weight"), F.min("node").alias("lead")), "weights")
     whole = sized.join(weights, "cluster")
     small = whole.where(F.col("weight") <= TILE)
-    buckets = max(partitions, int((weights.where(F.col("weight") <= TILE).agg(F.sum("weight")).first()[0] or 0) // TILE))
-    placed = small.select("node", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).alias("tile"), F.lit(2).alias("side"), F.col("node").alias("part"))
-    large = scratch.keep(leaves(whole.where(F.col("weight") > TILE).select("node", "cluster", "n")), "large")
-    tile = F.xxhash64("cluster", "leaf")
-    own = large.select("node", "cluster", tile.alias("tile"), F.lit(2).alias("side"), F.col("node").alias("part"))
-    lead = large.groupBy("cluster").agg(F.min("node").alias("node"))
-    led = large.select("cluster", "leaf").distinct().join(lead, "cluster").select("node", "cluster", tile.alias("tile"), F.lit(2).alias("side"), F.col("node").alias("part"))
-
-    def search(tiles: DataFrame, name: str) -> DataFrame:
+    light, heavy = weights.agg(F.sum(F.when(F.col("weight") <= TILE, F.col("weight"))), F.max("weight")).first()
+    buckets = max(partitions, int((light or 0) // TILE))
+    two = F.lit(2).alias("side")
+    tiles = small.select("node", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(buckets)).alias("tile"), two, F.lit(-1).cast("long").alias("lead"))
+    if (heavy or 0) > TILE:
+        large = scratch.keep(leaves(whole.where(F.col("weight") > TILE)), "large")
+        own = large.select("node", "cluster", F.xxhash64("cluster", "leaf").alias("tile"), two, "lead")
+        # the leader is in each leaf: parts of different leaves meet in it
+        led = own.select("cluster", "tile", "lead").distinct().select(F.col("lead").alias("node"), "cluster", "tile", two, "lead")
+        tiles = tiles.unionByName(own.where("node <> lead")).unionByName(led)
+
+    def search(tiles: DataFrame, find, schema: str, name: str) -> DataFrame:
         dealt = rows.select("node", "text").join(tiles, "node")
-        return scratch.keep(dealt.groupBy("tile").applyInArrow(lambda t: _tile(t, k, percent), "u long, v long"), name)
+        return scratch.keep(dealt.groupBy("tile").applyInArrow(lambda t: find(t, k, percent), schema), name)
 
-    found = search(placed.unionByName(own).unionByName(led.join(own.select("node", "tile"), ["node", "tile"], "left_anti")), "links")
-    if large.isEmpty():
-        return found
-    parts = components(found.join(large.select(F.col("node").alias("u")), "u", "left_semi"))
-    parts = scratch.keep(large.join(parts, "node", "left").select("node", "cluster", "n", "leaf", F.coalesce("component", "node").alias("part")), "parts")
+    found = search(tiles, _inside, "node long, cluster long, part long", "inside")
+    if (heavy or 0) <= TILE:
+        return found.select("node", F.col("part").alias("component"))
+    parts = scratch.keep(large.join(found.select("node", "part").distinct(), "node").select("node", "cluster", "n", "leaf", "part"), "parts")
     counted = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("rows"))
     largest = counted.groupBy("cluster").agg(F.max(F.struct("rows", "part")).alias("most")).select("cluster", F.col("most.part").alias("most"))
-    outside = parts.join(largest, "cluster").where("part <> most").select("node", "cluster", "n")
+    outside = scratch.keep(parts.join(largest, "cluster").where("part <> most").select("node", "cluster", "n", "part"), "outside")
+    every = found.select("node", F.col("part").alias("component")).distinct()
+    if outside.isEmpty():
+        return every
     points = rows.select("node", "text").join(large.select("node"), "node", "left_semi").mapInArrow(lambda it: _points(it, k), "node long, point array<int>")
-    points = scratch.keep(points, "points")
     right = scratch.keep(parts.join(points, "node").withColumnRenamed("leaf", "b"), "right")
-    left = scratch.keep(leaves(outside).withColumnRenamed("leaf", "a").join(parts.select("node", "part"), "node").join(points, "node"), "left-out")
+    left = scratch.keep(leaves(outside).withColumnRenamed("leaf", "a").join(right.select("node", "point"), "node"), "left-out")
     pairs = scratch.keep(_boxes(left, "a").join(_boxes(right, "b"), "cluster").where(_can_meet(percent)).select("cluster", "a", "b"), "box-pairs")
     both = F.xxhash64("cluster", "a", "b")
     tiles = left.join(pairs, ["cluster", "a"]).select("node", "cluster", both.alias("tile"), F.lit(0).alias("side"), "part")
-    tiles = tiles.unionByName(left.select("node", "cluster", F.xxhash64("cluster", "a", F.lit("itself")).alias("tile"), F.lit(2).alias("side"), "part"))
+    tiles = tiles.unionByName(left.select("node", "cluster", F.xxhash64("cluster", "a", F.lit("itself")).alias("tile"), two, "part"))
     tiles = tiles.unionByName(right.join(pairs, ["cluster", "b"]).select("node", "cluster", both.alias("tile"), F.lit(1).alias("side"), "part"))
-    return found.unionByName(search(tiles, "links-across"))
+    across = search(tiles, _between, "u long, v long", "across")
+    if across.isEmpty():
+        return every
+    joined = components(across).withColumnRenamed("node", "part").withColumnRenamed("component", "whole")
+    return every.withColumnRenamed("component", "part").join(joined, "part", "left").select("node", F.coalesce("whole", "part").alias("component"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -326,7 +358,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = survivors(texts.where("doc_id IS NOT NULL"), named, k, percent, scratch)
     edges = candidates(rows, k, percent, scratch)
     scratch.drop("lone", "left", "frequent", "early", "lowest-early")
-    found = scratch.keep(components(verified(rows, components(edges), k, percent, scratch)), "labels")
+    found = scratch.keep(connected(rows, components(edges), k, percent, scratch), "labels")
     scratch.drop(*(x for x in list(scratch.paths) if x not in ("described", "classes", "labels")))
     ids = found.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
     labelled = classes.join(found, "node", "left").join(ids, "component", "left")
