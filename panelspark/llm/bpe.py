@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.pretokens import Memo, long_parts
+from panelspark.llm.pretokens import Memo
 from panelspark.llm.text import gather, pieces
 
 
@@ -227,13 +227,7 @@ def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, c
     memo = _memo(path, pattern)
     for batch in pieces(batches, column):
         texts = [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-        parts = [long_parts(t) if len(t) > 1 << 21 else [t] for t in texts]
-        if all(len(p) == 1 for p in parts):
-            ids, n = memo.texts(texts)
-        else:
-            got = [[memo.texts([x])[0] for x in p] for p in parts]
-            ids = np.concatenate([x for g in got for x in g])
-            n = np.array([sum(map(len, g)) for g in got], np.int64)
+        ids, n = memo.in_parts(texts)
         edge = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(edge), pa.array(ids.view(np.int32)))
         yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, out])

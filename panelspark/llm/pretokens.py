@@ -156,6 +156,13 @@ class Memo:
         ids = self.odd(texts[0])
         return ids, np.array([len(ids)])
 
+    def in_parts(self, texts: list[str], limit: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+        """texts(), with very long ones taken in parts."""
+        if all(len(t) <= limit for t in texts):
+            return self.texts(texts)
+        got = [[self.texts([x])[0] for x in long_parts(t, limit)] for t in texts]
+        return np.concatenate([x for g in got for x in g]), np.array([sum(map(len, g)) for g in got], np.int64)
+
     def odd(self, text: str) -> np.ndarray:
         found = [m.encode() for m in self.pattern.findall(text)]
         buf = np.frombuffer(b"".join(found), np.uint8)

@@ -1,14 +1,17 @@
 """Token-id shards compressed by Re-Pair grammars, with random access to each document.
 
 Documents are range-partitioned by doc_id and sorted; a partition is a shard, written in blocks of
-bounded size. In a block, frequent pairs of neighbouring symbols are replaced by nonterminals,
-round after round; a pair never spans two documents. A block stores its rules, the symbols, where
-each document starts among them, and the expansion length of each document, so that one document
-can be decoded alone. Blocks are rows of a Parquet table: Spark commits them whole or not at all.
+bounded size, which bounds the memory of a task whatever the shard's. In a block, frequent pairs of
+neighbouring symbols are replaced by nonterminals, round after round, until no pair is frequent; a
+pair never spans two documents. A block stores its rules with the length that each expands to, the
+symbols, where each document starts among them, and the number of ids of each document, so that one
+document, or a span of it, is decoded alone. Blocks are rows of a Parquet table: Spark commits them
+whole or not at all.
 
 Edge cases: a null or empty text has the end id alone; of rows with one doc_id the text breaks the
 tie; repeated rows are written each; an empty table gives an empty file set. Texts that hold the
-vocabulary's special strings are encoded as the library does by default.
+vocabulary's special strings are encoded as the library does by default; a very long text is encoded in
+parts. A null doc_id comes first. Columns other than doc_id and text aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ from panelspark.llm.text import gather, pieces
 
 #: Ids of a block, about.
 BLOCK_IDS = 1 << 20
-ROUNDS, PAIRS_A_ROUND, LEAST_USES = 4, 4096, 8
-FILE_SCHEMA = "shard int, block int, docs array<long>, lengths binary, starts binary, rules binary, symbols binary, terminals int, n_ids long"
+#: Uses from which a pair is replaced.
+LEAST_USES = 8
+FILE_SCHEMA = "shard int, block int, docs array<long>, lengths binary, starts binary, rules binary, sizes binary, symbols binary, terminals int, n_ids long"
 
 
 class _LibraryMemo(Memo):
@@ -54,53 +58,72 @@ def _memo(path: str, pattern: str) -> _LibraryMemo:
     return _LibraryMemo(path, pattern)
 
 
-def compress(ids: np.ndarray, lengths: np.ndarray, rounds: int = ROUNDS) -> dict[str, np.ndarray | int]:
-    """A Re-Pair grammar of ids; lengths: ids of each document."""
+def compress(ids: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray | int]:
+    """A Re-Pair grammar of ids; lengths: ids of each document.
+
+    A round replaces every pair with at least LEAST_USES uses, the more frequent ones first where two
+    overlap, until no such pair is left. After the first round only pairs with a new symbol, or
+    frequent before, can be frequent, so only these are counted.
+    """
     symbols = ids.astype(np.int64)
     terminals = int(symbols.max()) + 1 if len(symbols) else 0
     ends = np.zeros(len(symbols), bool)
     ends[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
-    top = terminals
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        pair = (symbols[:-1] << 32) | symbols[1:]
-        codes, found = pd.factorize(pair)
-        uses = np.bincount(codes[~ends[:-1]], minlength=len(found))
-        chosen = np.flatnonzero(uses >= LEAST_USES)
-        if not len(chosen):
+    top, fresh = terminals, 0
+    again = np.zeros((0, 2), np.int64)
+    while len(symbols) > 1:
+        open_, left, right = ~ends[:-1], symbols[:-1], symbols[1:]
+        if fresh:
+            first, second = np.zeros(top, bool), np.zeros(top, bool)
+            first[again[:, 0]] = second[again[:, 1]] = True
+            open_ &= (left >= fresh) | (right >= fresh) | (first[left] & second[right])
+        at = np.flatnonzero(open_)
+        pair = (left[at] << 32) | right[at]
+        found = np.sort(pair)
+        edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        uses = np.diff(np.append(edge, len(found)))
+        found, uses = found[edge][uses >= LEAST_USES], uses[uses >= LEAST_USES]
+        if not len(found):
             break
-        chosen = chosen[np.lexsort((found[chosen], -uses[chosen]))][:PAIRS_A_ROUND]
-        rank = np.full(len(found) + 1, PAIRS_A_ROUND, np.int32)
-        rank[chosen] = np.arange(len(chosen))
-        here = np.full(len(pair) + 2, PAIRS_A_ROUND, np.int32)
-        here[1:-1] = np.where(ends[:-1], PAIRS_A_ROUND, rank[codes])
-        mid = here[1:-1]
-        wins = (mid < PAIRS_A_ROUND) & (mid < here[:-2]) & (mid <= here[2:])
-        real = np.bincount(mid[wins], minlength=PAIRS_A_ROUND + 1)
-        order = np.full(PAIRS_A_ROUND + 1, -1, np.int64)
+        none = len(found)
+        rank = np.empty(none, np.int64)
+        rank[np.lexsort((found, -uses))] = np.arange(none)
+        place = pd.Index(found).get_indexer(pair)
+        match = place >= 0
+        at, mine = at[match], rank[place[match]]
+        joined = at[1:] == at[:-1] + 1
+        before = np.concatenate([[none], np.where(joined, mine[:-1], none)])
+        after = np.append(np.where(joined, mine[1:], none), none)
+        # of a run of one pair (a a a a) every second place
+        number = np.arange(len(at))
+        inside = number - np.maximum.accumulate(np.where(mine != before, number, 0))
+        win = (inside % 2 == 0) & ((inside > 0) | (mine < before)) & (mine <= after)
+        real = np.bincount(mine[win], minlength=none)
         kept = np.flatnonzero(real >= 2)
-        kept = kept[kept < len(chosen)]
+        order = np.full(none, -1, np.int64)
         order[kept] = np.arange(len(kept))
-        at = np.flatnonzero(wins)
-        at = at[order[mid[at]] >= 0]
-        if not len(at):
+        win &= order[mine] >= 0
+        wins, name = at[win], order[mine[win]]
+        if not len(wins):
             break
         symbols = symbols.copy()
-        symbols[at] = top + order[mid[at]]
-        ends[at] = ends[at + 1]
+        symbols[wins] = top + name
+        ends[wins] = ends[wins + 1]
         keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
+        keep[wins + 1] = False
         symbols, ends = symbols[keep], ends[keep]
-        both = found[chosen[kept]]
-        rules.append(np.stack([both >> 32, both & 0xFFFFFFFF], 1))
-        top += len(kept)
+        by_rank = np.empty(none, np.int64)
+        by_rank[rank] = found
+        rules.append(np.stack([by_rank[kept] >> 32, by_rank[kept] & 0xFFFFFFFF], 1))
+        again = np.stack([found >> 32, found & 0xFFFFFFFF], 1)
+        fresh, top = top, top + len(kept)
     stops = np.flatnonzero(ends) + 1
     starts = np.zeros(len(lengths) + 1, np.int64)
     starts[1:][lengths > 0] = stops
     starts = np.maximum.accumulate(starts)
-    return {"terminals": terminals, "rules": np.concatenate(rules) if rules else np.zeros((0, 2), np.int64), "symbols": symbols, "starts": starts}
+    rules_ = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return {"terminals": terminals, "rules": rules_, "sizes": expansions(terminals, rules_)[2][terminals:], "symbols": symbols, "starts": starts}
 
 
 def expansions(terminals: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,15 +171,16 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id:
             "lengths": [n.astype("<i4").tobytes()],
             "starts": [g["starts"].astype("<i4").tobytes()],
             "rules": [g["rules"].astype("<i4").tobytes()],
+            "sizes": [g["sizes"].astype("<i4").tobytes()],
             "symbols": [g["symbols"].astype("<i4").tobytes()],
             "terminals": [g["terminals"]],
             "n_ids": [len(whole)],
         }
-        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int32(), pa.int64()]
+        kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int32(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row.values(), kinds)], names=list(row))
 
     for batch in pieces(batches, column):
-        got, n = memo.texts([t or "" for t in batch.column(1).to_pylist()])
+        got, n = memo.in_parts([t or "" for t in batch.column(1).to_pylist()])
         ends = np.cumsum(n)
         ids.append(np.insert(got, ends, end_id))
         lengths.append(n + 1)
@@ -203,11 +227,30 @@ def read(spark: SparkSession, target: str) -> DataFrame:
     return rows.join(places, ["shard", "block"]).select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def decode_block(row: dict, doc: int | None = None) -> np.ndarray:
-    """The ids of a block, or of its doc-th document alone."""
+def decode_block(row: dict, doc: int | None = None, begin: int = 0, end: int | None = None) -> np.ndarray:
+    """The ids of a block, or the ids begin..end of its doc-th document alone.
+
+    For a document only the symbols that the stored expansion lengths place in the span are expanded, by
+    the rules that they need.
+    """
     rules = np.frombuffer(row["rules"], "<i4").reshape(-1, 2).astype(np.int64)
     symbols = np.frombuffer(row["symbols"], "<i4").astype(np.int64)
-    if doc is not None:
-        starts = np.frombuffer(row["starts"], "<i4")
-        symbols = symbols[starts[doc] : starts[doc + 1]]
-    return expand(row["terminals"], rules, symbols)
+    terminals = row["terminals"]
+    if doc is None:
+        return expand(terminals, rules, symbols)
+    starts = np.frombuffer(row["starts"], "<i4")
+    symbols = symbols[starts[doc] : starts[doc + 1]]
+    sizes = np.concatenate([np.ones(terminals, np.int64), np.frombuffer(row["sizes"], "<i4")])
+    upto = np.cumsum(sizes[symbols])
+    end = int(upto[-1]) if end is None and len(upto) else min(end or 0, int(upto[-1]) if len(upto) else 0)
+    if begin >= end:
+        return np.zeros(0, np.uint32)
+    a, b = int(np.searchsorted(upto, begin, "right")), int(np.searchsorted(upto, end, "left")) + 1
+    skipped = int(upto[a] - sizes[symbols[a]])
+    symbols = symbols[a:b]
+    while (high := symbols >= terminals).any():
+        sides = np.repeat(symbols, 1 + high)
+        at = np.cumsum(1 + high)[high]
+        sides[at - 2], sides[at - 1] = rules[symbols[high] - terminals].T
+        symbols = sides
+    return symbols[begin - skipped : end - skipped].astype(np.uint32)
