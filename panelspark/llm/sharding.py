@@ -1,37 +1,73 @@
 """Shards by sampled splitters: size-weighted key samples give quantile boundaries, records are
-range-partitioned by them, and ranges that one key overfills are subdivided.
+range-partitioned by them, and overfull ranges are subdivided.
 
-The key is a hash of the text, then doc_id, so equal texts lie side by side. Exact sums per range
-then place each record by its share of all bytes: shards have near equal sizes, in law ``bytes``.
+The key is a hash of the text, then doc_id, so equal texts lie side by side. The sampled quantiles are
+the shards' boundaries as long as each range between them measures at most OVERFULL of the mean. A range
+that measures more is joined with its neighbours until their mean is within it (a key that several
+boundaries fall on has its ranges joined from the start), and what is joined is subdivided by measured
+sizes. Shards have near equal sizes, in law ``bytes``: within OVERFULL of the mean and one record.
+A cut through a group of equal texts leaves its rows in two or more shards.
 
 Edge cases: a null text counts as empty; repeated rows each get a slot of their own; an empty table
-gives an empty result. Only the columns named below are returned.
+gives an empty result. Columns other than doc_id and the text's aren't read, whatever their names; only
+those named below are returned.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES_PER_SHARD = 16
-SAMPLES_PER_RANGE = 200
+#: Samples of a shard: the standard deviation of a range is about one in 200 of its size.
+SAMPLES_PER_SHARD = 40_000
+OVERFULL = 1.02
 
 
-def splitters(keyed: DataFrame, ranges: int, seed: int = 7) -> list[int]:
-    """ranges - 1 boundaries of `key`, from a sample that takes rows in proportion to `size`.
+def splitters(keyed: DataFrame, ranges: int, samples: int, seed: int = 7) -> list[int]:
+    """ranges - 1 boundaries of `key`, from about `samples` draws that take rows in proportion to `size`.
 
-    The sample is of SAMPLES_PER_RANGE rows a range, by a hash of the row: the same rows on any rerun.
+    A row is drawn as often as its share says, the fraction by a hash of the row: the same on any rerun.
     """
     total = keyed.agg(F.sum("size")).first()[0]
     if not total:
         return []
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = keyed.where(draw < F.col("size") * F.lit(SAMPLES_PER_RANGE * ranges / total))
-    found = sample.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0]
+    copies = F.floor(F.col("size") * F.lit(samples / total) + draw).cast("int")
+    sample = keyed.select("key", copies.alias("copies")).where("copies > 0").select("key", F.explode(F.sequence(F.lit(1), "copies")))
+    found = sample.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
     return [int(x) for x in found or []]
 
 
-def shard(docs: DataFrame, shards: int, column: str = "text") -> DataFrame:
+def joined_shards(sizes: list[int], shared: list[bool]) -> list[tuple[int, int]]:
+    """First shard and number of shards of each stretch that is subdivided as a whole; a stretch of one shard is a sampled range.
+
+    sizes: measured bytes of each shard's range; shared: whether the boundary after it falls on a key that fills ranges on both sides.
+    """
+    mean = sum(sizes) / len(sizes)
+    out: list[list] = []
+    for i, size in enumerate(sizes):
+        out.append([i, 1, size])
+        if i and shared[i - 1]:
+            _, n, more = out.pop()
+            out[-1][1] += n
+            out[-1][2] += more
+    while True:
+        over = [i for i, (_, n, size) in enumerate(out) if size > OVERFULL * mean * n]
+        if not over or len(out) == 1:
+            return [(first, n) for first, n, _ in out]
+        i = over[0]
+        # the lighter neighbour takes the surplus
+        near = [j for j in (i - 1, i + 1) if 0 <= j < len(out)]
+        j = min(near, key=lambda j: out[j][2] / out[j][1])
+        a, b = sorted((i, j))
+        out[a] = [out[a][0], out[a][1] + out[b][1], out[a][2] + out[b][2]]
+        del out[b]
+
+
+def shard(docs: DataFrame, shards: int, column: str = "text", samples_per_shard: int = SAMPLES_PER_SHARD) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (gapless from 0 in each shard)."""
     text = F.coalesce(F.col(column), F.lit(""))
     keyed = docs.select(
@@ -40,42 +76,38 @@ def shard(docs: DataFrame, shards: int, column: str = "text") -> DataFrame:
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text), 12).alias("key"),  # 52 bits: percentile_approx works in doubles
     )
-    ranges = max(shards * RANGES_PER_SHARD, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    bounds = splitters(keyed, ranges)
-    # how often each boundary comes: a key that fills several ranges is dealt over all of them
-    times = [bounds.count(b) for b in bounds] if len(set(bounds)) < len(bounds) else [1] * len(bounds)
+    per = max(RANGES_PER_SHARD, -(-int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    ranges = shards * per
+    bounds = splitters(keyed, ranges, shards * samples_per_shard)
+    counted = Counter(bounds)
     top = 1 << len(bounds).bit_length()
     table = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<long>")
     steps = F.array(*[F.lit(top >> i) for i in range(1, top.bit_length())]) if top > 1 else F.array().cast("array<int>")
     below = F.aggregate(steps, F.lit(0), lambda at, s: at + F.when((at + s <= len(bounds)) & (F.get(table, at + s - 1) < F.col("key")), s).otherwise(0))
     placed = keyed.withColumn("below", below)
-    if any(t > 1 for t in times):
-        spread = F.get(F.array(*[F.lit(t) for t in times]), F.col("below"))
+    if len(counted) < len(bounds):  # a key on several boundaries is dealt over all its ranges
+        spread = F.get(F.array(*[F.lit(counted[b]) for b in bounds]), F.col("below"))
         equal = F.get(table, F.col("below")) == F.col("key")
         placed = placed.withColumn("range", F.when(equal & (spread > 1), F.col("below") + F.pmod(F.xxhash64("doc_id"), spread).cast("int")).otherwise(F.col("below")))
     else:
         placed = placed.withColumnRenamed("below", "range")
     placed = placed.select("range", "key", "doc_id", "size", "text_crc32")
-    # exact sums of the ranges: a row for each, so one small partition
+    # exact sums of the ranges: `ranges` rows at most
+    sums = placed.groupBy("range").agg(F.sum("size").alias("range_size"), F.count(F.lit(1)).alias("range_rows"))
+    measured = {r["at"]: r["size"] for r in sums.groupBy(F.floor(F.col("range") / per).cast("int").alias("at")).agg(F.sum("range_size").alias("size")).collect()}  # a row a shard
+    sizes = [measured.get(i, 0) for i in range(shards)]
+    shared = [len(bounds) > 0 and counted[bounds[i * per - 1]] > 1 for i in range(1, shards)]
+    stretches = joined_shards(sizes, shared) if any(sizes) else [(i, 1) for i in range(shards)]
+    of_shard = [(first, n, sum(sizes[:first]), sum(sizes[first : first + n])) for first, n in stretches for _ in range(n)]
+    first, number, begin_of, size_of = (F.get(F.array(*[F.lit(x[i]).cast("long") for x in of_shard]), F.floor(F.col("range") / per).cast("int")) for i in range(4))
     order = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    sums = (
-        placed.groupBy("range")
-        .agg(F.sum("size").alias("range_size"), F.count(F.lit(1)).alias("range_rows"))
-        .select(
-            "range",
-            F.coalesce(F.sum("range_size").over(order), F.lit(0)).alias("bytes_before"),
-            F.coalesce(F.sum("range_rows").over(order), F.lit(0)).alias("rows_before"),
-            F.sum("range_size").over(everything).alias("total"),
-        )
-    )
+    sums = sums.select("range", F.coalesce(F.sum("range_size").over(order), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("range_rows").over(order), F.lit(0)).alias("rows_before"))
     inside = Window.partitionBy("range").orderBy("key", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    begin = F.col("bytes_before") + F.col("upto") - F.col("size")
-    middle = (2 * begin + F.col("size")).cast("decimal(38,0)") * shards / (2 * F.col("total"))
+    middle = (2 * (F.col("bytes_before") + F.col("upto") - begin_of) - F.col("size")).cast("decimal(38,0)") * number / (2 * size_of)
     out = (
         placed.withColumns({"upto": F.sum("size").over(inside), "nth": F.row_number().over(inside)})
         .join(F.broadcast(sums), "range")  # a row a range: bounded by `ranges`
-        .withColumn("shard", F.least(F.floor(middle), F.lit(shards - 1)).cast("int"))
+        .withColumn("shard", F.when(number == 1, first).otherwise(first + F.least(F.floor(middle).cast("long"), number - 1)).cast("int"))
         .withColumn("row", F.col("rows_before") + F.col("nth") - 1)
         .select("doc_id", "size", "text_crc32", "shard", "row")
     )
