@@ -1,13 +1,17 @@
 """Mixes sources to target weights, with DataFrame functions alone.
 
 The words of a source, document after document, are packed into blocks of BLOCK words. Each slot of
-the output draws its source by weight, so that every output shard has multinomial counts; counts
-beyond a source's target go to sources that fell short. The slots of a source run through
-pseudorandom permutations of its block indexes (a Feistel network with cycle walking), one
-permutation for each pass over the source, and are joined with blocks by index.
+the output draws its source by weight, so that every output shard of SHARD_SLOTS slots has multinomial
+counts. A source's running total of draws over the shards is then scaled by slots wanted / slots drawn
+and rounded down: totals meet the target, and a shard keeps the share of each source that it drew.
+The slots of a source are numbered through the shards and run through pseudorandom permutations of its
+block indexes (a Feistel network with cycle walking), one for each pass over the source, keyed by the
+seed; `mixture` is that table, and is joined with blocks by index.
 
 Edge cases: a null or empty text has no words and takes none; a null source is a source of its own,
-last in order; repeated rows count each; an empty table gives an empty result.
+last in order; repeated rows count each, in an order by doc_id (null first), size and a hash of the
+text; a source that wants slots and drew none has them in the first shard; an empty table gives an
+empty result. Columns other than doc_id, text and source aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,9 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.llm.storage import Scratch
+
 BLOCK = 128
 #: Parts of a source whose running totals are taken apart: a fixed number, so that results don't follow session settings.
-BUCKETS = 1024
+BUCKETS = 1 << 14
+#: Rows whose running totals are taken together.
+RUN = 1 << 14
 #: Slots of an output shard.
 SHARD_SLOTS = 8192
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,10 +33,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 WALK = 48
 
 
-def _round(half: Column, key: Column, turn: int, epoch: Column, modulus: Column) -> Column:
-    return F.pmod(F.xxhash64(F.lit(turn), half, key, epoch), modulus)
-
-
 def permuted(index: Column, n: Column, key: Column, epoch: Column) -> Column:
     """The image of index under a permutation of 0..n-1 that key and epoch choose."""
     side = F.ceil(F.sqrt(n.cast("double"))).cast("long")
@@ -43,7 +47,8 @@ def permuted(index: Column, n: Column, key: Column, epoch: Column) -> Column:
         return F.transform(F.array(out), lambda p: p["l"] * side + p["r"])[0]
 
     # walk until the image is inside 0..n-1
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(index.alias("x"), F.lit(False).alias("done")), lambda s, i: F.when(s["done"], s).otherwise(_walked(turn, s["x"], n)))["x"]
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(index.alias("x"), F.lit(False).alias("done")), lambda s, i: F.when(s["done"], s).otherwise(_walked(turn, s["x"], n)))
+    return F.transform(F.array(walked), lambda s: F.when(s["done"], s["x"]).otherwise(F.raise_error(F.lit("a cycle walk didn't end")).cast("long")))[0]
 
 
 def _walked(turn, x: Column, n: Column) -> Column:
@@ -72,42 +77,87 @@ def targets(sources: DataFrame, share: float, weights: tuple[float, ...], most:
     return levelled.select("source", "turn", "weight", "source_size", F.least(F.col("cap"), level * F.col("weight")).alias("target"))
 
 
+def running(rows: DataFrame, key: str, at: str, value: str, out: str) -> DataFrame:
+    """rows with `out`: the sum of `value` over the rows of the same key with a smaller `at`. In runs of RUN
+    places, then over the runs' sums: no task holds a key's rows."""
+    cut = rows.withColumn("_run", F.floor(F.col(at) / RUN))
+    inside = Window.partitionBy(key, "_run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    runs = Window.partitionBy(key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(key, "_run").agg(F.sum(value).alias("_sum")).select(key, "_run", F.coalesce(F.sum("_sum").over(runs), F.lit(0)).alias("_base"))
+    part = cut.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return part.join(sums, [key, "_run"]).select(*rows.columns, (F.col("_base") + F.col("_inside")).alias(out))
+
+
+def draws(spark, plan: DataFrame, seed: int) -> DataFrame:
+    """shard, turn, drawn: the multinomial counts of each output shard. plan has a row a source (turn, slots)."""
+    shares = plan.select("turn", "slots").where("slots > 0").orderBy("turn").collect()  # a row a source
+    total = sum(r["slots"] for r in shares)
+    edges, at = [], 0
+    for r in shares[:-1]:
+        at += r["slots"]
+        edges.append(F.lit(at / total))
+    table = F.array(*edges) if edges else F.array().cast("array<double>")
+    turns = F.array(*[F.lit(r["turn"]) for r in shares]) if shares else F.array().cast("array<int>")
+    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 50)) / F.lit(float(1 << 50))
+    slots = spark.range(total).select((F.col("id") / SHARD_SLOTS).cast("long").alias("shard"), F.get(turns, F.size(F.filter(table, lambda e: e <= draw))).alias("turn"))
+    return slots.groupBy("shard", "turn").agg(F.count(F.lit(1)).alias("drawn"))
+
+
+def allotted(plan: DataFrame, drawn: DataFrame) -> DataFrame:
+    """shard, turn, begin, end: the slots of each source that a shard holds; a source's slots run on through the shards."""
+    totals = drawn.groupBy("turn").agg(F.sum("drawn").alias("all"))
+    some = plan.select("turn", "slots").where("slots > 0").join(totals, "turn", "left")
+    upto = running(drawn, "turn", "shard", "drawn", "before").join(some, "turn")
+    scaled = lambda x: F.floor(x.cast("decimal(38,0)") * F.col("slots") / F.col("all")).cast("long")
+    own = upto.select("shard", "turn", scaled(F.col("before")).alias("begin"), scaled(F.col("before") + F.col("drawn")).alias("end"))
+    none = some.where("all IS NULL").select(F.lit(0).cast("long").alias("shard"), "turn", F.lit(0).cast("long").alias("begin"), F.col("slots").alias("end"))
+    return own.unionByName(none).where("begin < end")
+
+
+def mixture(plan: DataFrame, seed: int) -> DataFrame:
+    """shard, turn, slot, index: the blocks of each output shard. plan: turn, slots, blocks of each source."""
+    held = allotted(plan, draws(plan.sparkSession, plan, seed)).join(plan.select("turn", "blocks"), "turn")
+    slots = held.select("shard", "turn", "blocks", F.explode(F.sequence("begin", F.col("end") - 1)).alias("slot"))
+    index = permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.hash("turn", F.lit(seed)), (F.col("slot") / F.col("blocks")).cast("long"))
+    return slots.select("shard", "turn", "slot", index.alias("index"))
+
+
+def packed(docs: DataFrame, share: float, weights: tuple[float, ...], most: float, block: int, seed: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The sizes of all documents, and a row for each source: its turn, size, target, blocks, and slots in the mix."""
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
+    sized = scratch.keep(sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)).cast("int")), "sized")
+    plan = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, most)
+    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
+    per_block = F.col("source_size") / F.when(F.col("source_size") > 0, blocks)
+    slots = F.coalesce(F.least(F.round(F.col("target") / per_block).cast("long"), (F.lit(float(most)) * blocks).cast("long")), F.lit(0).cast("long"))
+    return sized, scratch.keep(plan.withColumn("blocks", blocks).withColumn("slots", slots), "plan")
+
+
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, block: int = BLOCK, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document."""
-    spark = docs.sparkSession
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie"))
-    sized = sized.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(BUCKETS)).cast("int"))
+    scratch = Scratch(docs.sparkSession)
+    sized, plan = packed(docs, share, weights, most, block, seed, scratch)
     # running totals: in buckets, so that one large source isn't one task
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
-    plan = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, weights, most)
-    blocks = F.ceil(F.col("source_size") / F.lit(block)).cast("long")
-    per_block = F.col("source_size") / blocks
-    plan = plan.withColumn("blocks", blocks).withColumn("slots", F.when(F.col("blocks") > 0, F.least(F.round(F.col("target") / per_block).cast("long"), 2 * F.col("blocks"))).otherwise(F.lit(0)))
-    rows = plan.orderBy("turn").collect()  # a row a source
-    times = _draws(spark, rows, seed)
+    offsets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("_size")).select("source", "bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    same = F.col("a.source").eqNullSafe(F.col("b.source"))
     placed = (
         sized.withColumn("upto", F.sum("size").over(inside))
         .alias("a")
-        .join(offsets.alias("b"), same & (F.col("a.bucket") == F.col("b.bucket")))
+        .join(offsets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.bucket") == F.col("b.bucket")))
         .select("a.doc_id", "a.source", "a.size", (F.col("offset") + F.col("upto") - F.col("size")).alias("start"), (F.col("offset") + F.col("upto")).alias("stop"))
         .alias("a")
-        .join(F.broadcast(spark.createDataFrame([(r["source"], r["turn"], r["source_size"], r["target"]) for r in rows], "source string, turn int, source_size long, target double")).alias("s"), F.col("a.source").eqNullSafe(F.col("s.source")))
+        .join(plan.alias("s"), F.col("a.source").eqNullSafe(F.col("s.source")))
         .select("doc_id", "size", "source_size", "target", "turn", "start", "stop")
     )
-    # a document's words lie in a few neighbouring blocks: sums of whole blocks by prefix, so its ends are enough
-    upto = Window.partitionBy("turn", "chunk").orderBy("index").rowsBetween(Window.unboundedPreceding, -1)
-    chunk = 4096
-    counted = times.withColumn("chunk", F.floor(F.col("index") / chunk)).withColumn("inside", F.coalesce(F.sum(F.col("n")).over(upto), F.lit(0)))
-    tops = counted.groupBy("turn", "chunk").agg(F.sum("n").alias("chunk_n"))
-    tops = tops.select("turn", "chunk", F.coalesce(F.sum("chunk_n").over(Window.partitionBy("turn").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    table = counted.join(tops, ["turn", "chunk"]).select("turn", "index", "n", (F.col("base") + F.col("inside")).alias("before"))
+    # how often each block is in the mix, and slots of the blocks before it
+    hits = mixture(plan, seed).groupBy("turn", "index").agg(F.count(F.lit(1)).alias("n"))
+    every = plan.where("blocks > 0").select("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / RUN))).alias("_run"), "blocks")
+    every = every.select("turn", F.explode(F.sequence(F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, "blocks") - 1)).alias("index"))
+    table = scratch.keep(running(every.join(hits, ["turn", "index"], "left").select("turn", "index", F.coalesce("n", F.lit(0)).alias("n")), "turn", "index", "n", "before"), "blocks")
+    # a document's words lie in neighbouring blocks: sums by prefix, so its two ends are enough
     lo, hi = table.alias("lo"), table.alias("hi")
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
-    some = placed.where("size > 0").withColumns({"first": first, "last": last})
+    some = placed.where("size > 0").withColumns({"first": F.floor(F.col("start") / block), "last": F.floor((F.col("stop") - 1) / block)})
     got = (
         some.alias("d")
         .join(lo, (F.col("d.turn") == F.col("lo.turn")) & (F.col("d.first") == F.col("lo.index")))
@@ -117,42 +167,3 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
     taken = (F.col("hi.before") * block + (F.col("stop") - F.col("last") * block) * F.col("hi.n")) - (F.col("lo.before") * block + (F.col("start") - F.col("first") * block) * F.col("lo.n"))
     full = got.select("d.doc_id", "d.size", "d.source_size", "d.target", taken.cast("long").alias("taken"))
     return full.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
-
-
-def _draws(spark, rows: list, seed: int) -> DataFrame:
-    """turn, index, n: how often each block of each source is in the mix (blocks that aren't, too)."""
-    total = sum(r["slots"] for r in rows)
-    edges, at = [], 0.0
-    for r in rows:
-        at += r["slots"] / total if total else 0
-        edges.append(at)
-    table = F.array(*[F.lit(e) for e in edges]) if rows else F.array().cast("array<double>")
-    draw = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(1 << 50)) / F.lit(float(1 << 50))
-    slots = spark.range(total).select((F.col("id") / SHARD_SLOTS).cast("long").alias("shard"), F.col("id"), F.least(F.size(F.filter(table, lambda e: e <= draw)), F.lit(max(len(rows) - 1, 0))).alias("at"))
-    counts = slots.groupBy("shard", "at").count()
-    before = Window.partitionBy("at").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "at", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    nth = F.row_number().over(Window.partitionBy("shard", "at").orderBy("id")) - 1
-    ranked = slots.withColumn("nth", nth).join(bases, ["shard", "at"]).select("at", (F.col("base") + F.col("nth")).alias("slot"))
-    plan = spark.createDataFrame([(i, r["turn"], r["slots"], r["blocks"]) for i, r in enumerate(rows)], "at int, turn int, slots long, blocks long")
-    drawn = counts.groupBy("at").agg(F.sum("count").alias("drawn"))
-    kept = ranked.join(F.broadcast(plan), "at").where(F.col("slot") < F.col("slots")).select("turn", "slot", "blocks")
-    # what a source fell short of, as slots of its own: the counts then meet every target
-    short = (
-        plan.join(drawn, "at", "left")
-        .withColumn("drawn", F.least(F.coalesce("drawn", F.lit(0)), F.col("slots")))
-        .where(F.col("drawn") < F.col("slots"))
-        .select("turn", F.explode(F.sequence(F.col("drawn"), F.col("slots") - 1)).alias("slot"), "blocks")
-    )
-    every = kept.unionByName(short).withColumn("epoch", (F.col("slot") / F.col("blocks")).cast("long")).withColumn("i", F.pmod("slot", "blocks"))
-    index = permuted(F.col("i"), F.col("blocks"), F.col("turn"), F.col("epoch"))
-    hits = every.select("turn", index.alias("index")).groupBy("turn", "index").agg(F.count(F.lit(1)).alias("n"))
-    tops, at = [], 0
-    for r in rows:
-        at += r["blocks"]
-        tops.append(at)
-    ends = F.array(*[F.lit(x) for x in tops]).cast("array<long>") if rows else F.array().cast("array<long>")
-    numbered = spark.range(tops[-1] if tops else 0).withColumn("at", F.size(F.filter(ends, lambda e: e <= F.col("id"))))
-    turns = F.array(*[F.lit(r["turn"]) for r in rows]) if rows else F.array().cast("array<int>")
-    blocks = numbered.select(F.get(turns, F.col("at")).alias("turn"), (F.col("id") - F.coalesce(F.get(ends, F.col("at") - 1), F.lit(0))).alias("index"))
-    return blocks.join(hits, ["turn", "index"], "left").select("turn", "index", F.coalesce("n", F.lit(0)).alias("n"))

@@ -287,11 +287,24 @@ def test_grammar_decodes_each_document_alone():
     for _ in range(200):
         n = r.integers(0, 150, r.integers(1, 8))
         ids = r.integers(0, r.integers(2, 9), n.sum()).astype(np.uint32)
-        g = token_files.compress(ids, n, 6)
-        row = {"terminals": g["terminals"], "rules": g["rules"].astype("<i4").tobytes(), "symbols": g["symbols"].astype("<i4").tobytes(), "starts": g["starts"].astype("<i4").tobytes()}
+        g = token_files.compress(ids, n)
+        row = {"terminals": g["terminals"]} | {x: g[x].astype("<i4").tobytes() for x in ("rules", "sizes", "symbols", "starts")}
         assert (token_files.decode_block(row) == ids).all()
         for j in range(len(n)):
-            assert (token_files.decode_block(row, j) == ids[n[:j].sum() : n[: j + 1].sum()]).all()
+            own = ids[n[:j].sum() : n[: j + 1].sum()]
+            assert (token_files.decode_block(row, j) == own).all()
+            if len(own):
+                x, y = sorted(r.integers(0, len(own) + 1, 2).tolist())
+                assert (token_files.decode_block(row, j, x, y) == own[x:y]).all()
+        # no pair inside a document is left with as many uses, overlapping ones apart
+        uses = collections.Counter()
+        for j in range(len(n)):
+            own, at = g["symbols"][g["starts"][j] : g["starts"][j + 1]].tolist(), -2
+            for i, both in enumerate(zip(own, own[1:])):
+                if at < i - 1 or both != last:
+                    uses[both] += 1
+                    at, last = i, both
+        assert not uses or max(uses.values()) < token_files.LEAST_USES
 
 
 def test_audio_is_lossless_and_the_same_for_equal_texts(docs, empty):
@@ -361,6 +374,47 @@ def test_shards_are_even_with_a_hot_text(spark):
     assert len(total) == 24 and max(total.values()) - min(total.values()) < 200
 
 
+def test_shard_boundaries_are_the_sampled_quantiles(spark):
+    """Where measured sizes allow it the boundaries are those sampled, and other samples give others; a hot text is subdivided."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i} " * 5) for i in range(30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select("doc_id", (F.octet_length("text").cast("long") + 8).alias("size"), F.shiftrightunsigned(F.xxhash64("text"), 12).alias("key"))
+    keys = {r["doc_id"]: r["key"] for r in keyed.collect()}
+    found = []
+    for samples in (40_000, 20_000):
+        bounds = sharding.splitters(keyed, 4 * 16, 4 * samples)[15::16]
+        got = {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 4, samples_per_shard=samples).collect()}
+        assert got == {i: sum(b < k for b in bounds) for i, k in keys.items()}
+        found.append(got)
+    assert found[0] != found[1]
+    assert sharding.joined_shards([100, 101, 99, 100], [False] * 3) == [(0, 1), (1, 1), (2, 1), (3, 1)]
+    assert sharding.joined_shards([100, 130, 70, 100], [False] * 3) == [(0, 1), (1, 2), (3, 1)]
+    assert sharding.joined_shards([300, 50, 25, 25], [False] * 3) == [(0, 4)]
+    assert sharding.joined_shards([100, 100, 100, 100], [True, False, False]) == [(0, 2), (2, 1), (3, 1)]
+
+
+def test_another_seed_draws_another_mix(spark, docs):
+    """Counts of shards are drawn, not dealt; they change with the seed, and totals meet the targets all the same."""
+    plan = spark.createDataFrame([(1, 60_000, 40_000), (2, 20_000, 15_000), (3, 9, 5), (4, 0, 7)], "turn int, slots long, blocks long")
+    seen = []
+    for seed in (11, 12):
+        table = mixing.mixture(plan, seed).collect()
+        assert collections.Counter(r["turn"] for r in table) == {1: 60_000, 2: 20_000, 3: 9}
+        for turn, slots, blocks in ((1, 60_000, 40_000), (2, 20_000, 15_000), (3, 9, 5)):
+            uses = collections.Counter(r["index"] for r in table if r["turn"] == turn)
+            assert max(uses.values()) <= 2 and all(0 <= i < blocks for i in uses) and len(uses) == min(slots, blocks)
+        shards = collections.Counter((r["shard"], r["turn"]) for r in table)
+        seen.append(shards)
+        first = [n for (_, turn), n in sorted(shards.items()) if turn == 1][:-1]
+        # binomial: as spread as draws are, around their share
+        assert len(set(first)) > 1 and all(abs(n - 8192 * 60_000 / 80_009) < 6 * (8192 * 0.75 * 0.25) ** 0.5 for n in first)
+    assert seen[0] != seen[1]
+    a, b = (sorted(tuple(r) for r in mixing.mix(docs, share=0.7, block=16, seed=s).collect()) for s in (1, 2))
+    assert a != b and [r[:4] for r in a] == [r[:4] for r in b]
+
+
 def test_mixing(spark, docs, empty):
     rows = mixing.mix(docs, block=16).collect()
     size = collections.Counter()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import os
+import random
 
 import pytest
 
@@ -79,3 +80,54 @@ def test_ids_for_rows_without_one_are_dense_and_beyond_all_others(spark):
     rows = corpus_pipeline.with_ids(docs).collect()
     assert sorted(r["doc_id"] for r in rows if r["_nameless"]) == list(range(60, 80))
     assert {r["doc_id"] for r in rows if not r["_nameless"]} == {i for i in range(60) if i % 3}
+
+
+def test_columns_named_like_those_of_stages_pass_through(spark):
+    names = ["_row", "_score", "_copies", "_copy", "_nameless", "_ROW2", "row", "node", "cluster", "token", "decoded_text"]
+    rows = [(i, " ".join(f"word{i}x{j}" for j in range(50 + i)), "en", "ab"[i % 2], 1, *[f"{n}{i}" for n in names]) for i in range(12)]
+    rows += [(None, "", "en", "a", 1, *names), (None, None, None, None, None, *names), (40, rows[3][1], "en", "a", 1, *names)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = corpus_pipeline.materialise(spark.createDataFrame(rows, schema), "test")
+    given = {tuple(r) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = corpus_pipeline.materialise(stage(spark, docs, DATA), "test")
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= given
+        docs = out
+    out = corpus_pipeline.tokens(spark, docs, DATA)
+    assert set(docs.columns) - set(out.columns) == {"text"} and {r["decoded_text"] for r in out.collect()} <= {r[1] for r in rows}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    """5 words, 0.8: one of each component stays, over a sample of real texts and near copies of them."""
+    r = random.Random(6)
+    base = [x["text"].split() for x in spark.read.parquet(f"{DATA}/documents.parquet").where("text is not null").orderBy("doc_id").select("text").collect()]
+    base = [w for w in base if 20 <= len(w) <= 200][:40]
+    texts = [w for b in base for w in (b, [x if r.random() > 0.01 else "changed" for x in b], [x if r.random() > 0.05 else "else" for x in b])]
+    sets = [frozenset(tuple(x.lower() for x in w[p : p + 5]) for p in range(len(w) - 4)) for w in texts]
+    first = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(a):
+                if first[a] != first[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    first[a] = first[b] = min(first[a], first[b])
+                    changed = True
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "a", 1) for i, w in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect())
+    assert got == [i for i in range(len(texts)) if first[i] == i]
+
+
+def test_mixture_takes_whole_copies_near_the_targets(spark):
+    rows = [(i, " ".join(["word"] * (20 + i % 80)), "en", "abc"[min(i % 10, 2)], 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    size = collections.Counter()
+    for i, t, _, s, _ in rows:
+        size[s] += 20 + i % 80
+    total, got = sum(size.values()), collections.Counter()
+    for r in corpus_pipeline.mixture(spark, docs, DATA).collect():
+        got[r["source"]] += 20 + r["doc_id"] % 80
+    # a and b can't take more than twice their size: c takes what is left
+    assert size["a"] + size["b"] < total / 4
+    want = {"a": 2 * size["a"], "b": 2 * size["b"], "c": 1.5 * total - 2 * size["a"] - 2 * size["b"]}
+    assert all(abs(got[s] - want[s]) < 0.03 * want[s] for s in want)
