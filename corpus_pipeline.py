@@ -8,6 +8,9 @@ they run (in the order of the files) and return it with a null doc_id again.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +20,20 @@ from panelspark.llm.storage import materialise
 
 #: Tells rows without a doc_id from others while they have one.
 NAMELESS = "_nameless"
+#: Columns that stages add for a while; columns of documents with these names are set aside meanwhile.
+OWN = (NAMELESS, exact_dedup.ROW, "_score", "_number", "_part", "_base", "_taken", "_size", "_copies", "_copy")
+
+
+def stage(work: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that returns the columns of documents, whatever their names: those in OWN (in any case) are renamed while it works."""
+
+    @functools.wraps(work)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {c: f"_aside_{i}_of_{len(docs.columns)}" for i, c in enumerate(docs.columns) if c.lower() in OWN}
+        out = work(spark, docs.withColumnsRenamed(aside), sf_dir)
+        return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
+
+    return run
 
 
 def with_ids(docs: DataFrame) -> DataFrame:
@@ -45,36 +62,52 @@ def without_ids(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.withColumn("doc_id", F.when(~F.col(NAMELESS), F.col("doc_id"))).select(*columns)
 
 
+@stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose score is at least 0.5."""
+    """Keeps documents whose score is at least 0.5.
+
+    Null, empty and blank texts are scored like others; long texts are scored whole; repeated rows have the
+    same score and stay or go together; where no label can be learnt from, every score is 0.5 and all rows stay;
+    an empty table stays empty; other columns, whatever their names, pass through.
+    """
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, out="_score").where(F.col("_score") >= 0.5).select(*docs.columns)
+    return quality.score(docs, model, out="_score").where(F.col("_score") >= 0.5).drop("_score")
 
 
+@stage
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row of each group of equal texts.
+    """Keeps one row of each group of equal texts: that with the smallest doc_id, null last; of repeated rows any one.
 
-    The numbered rows are written: numbers given twice could differ after an executor is lost.
+    A null text equals an empty one; long texts are compared whole; an empty table stays empty; other
+    columns, whatever their names, pass through. The numbered rows are written: numbers given twice could
+    differ after an executor is lost.
     """
     rows = materialise(exact_dedup.numbered(docs), "numbered")
     kept = exact_dedup.decide(rows).where("kept").select(exact_dedup.ROW)
-    return rows.join(kept, exact_dedup.ROW, "left_semi").select(*docs.columns)
+    return rows.join(kept, exact_dedup.ROW, "left_semi")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of 5-word shingles at a similarity of 0.8 or more.
 
     Rows with a null doc_id come after all others: one stays where its component has no id and no earlier row.
+    Null, empty and blank texts are linked with nothing and stay; long texts are compared whole; rows with
+    one doc_id stay or go together; an empty table stays empty; other columns, whatever their names, pass through.
     """
     rows = with_ids(docs)
     found = jaccard_join.jaccard_components(rows, k=5, percent=80)
     return without_ids(rows.join(found.where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi"), docs.columns)
 
 
+@stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, in whole copies: the rest of the share is drawn by a hash of doc_id.
 
-    A row with a null doc_id is mixed by the id that it has for this stage. Rows without words take none and go.
+    A row with a null doc_id is mixed by the id that it has for this stage. Rows with a null, empty or blank
+    text have no words, take none and go; long texts are taken whole; rows with one doc_id have the share
+    that they take together; a null source is one of its own; an empty table stays empty; other columns,
+    whatever their names, pass through.
     """
     rows = with_ids(docs)
     taken = mixing.mix(rows).groupBy("doc_id").agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
@@ -86,9 +119,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents, the ids of each text and the text decoded from them."""
+    """The columns of documents but the text, the ids of each text (token_ids) and the text decoded from them (decoded_text).
+
+    Null and empty texts have no ids and decode to an empty text; long texts are encoded in parts; repeated
+    rows are encoded each; an empty table stays empty; columns named like the two new ones are replaced,
+    others pass through.
+    """
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.round_trip(docs, path, public_tokenizers.PATTERN, out="token_ids", decoded="decoded_text").drop("text")
+    new = ("token_ids", "decoded_text")
+    return bpe.round_trip(docs.drop(*new), path, public_tokenizers.PATTERN, out=new[0], decoded=new[1]).drop("text")
 
 
 STAGES = [
