@@ -83,7 +83,7 @@ def starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Memo:
     """Ids of pieces seen so far, found by the pieces' bytes; memory is bounded by `most` pieces and by `most` times 8 bytes of them."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], pattern: str, most: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], pattern: str, most: int = 1_600_000):
         self.encode, self.pattern, self.most = encode, regex.compile(pattern), most
         self.specials: tuple[str, ...] = ()
         self.clear()
