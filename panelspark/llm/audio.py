@@ -7,8 +7,9 @@ their time spans, as an Arrow stream with the fixed-shape tensor type; frame ene
 with two thresholds (a segment opens above the high one and closes below the low one).
 
 Each document is computed on its own, so equal payloads give equal values. Edge cases: null and
-empty texts are a payload of 192 blanks; constant samples have no segment; an empty table gives an
-empty result.
+empty texts are a payload of 192 blanks; constant samples have no segment; very long texts are
+filtered and framed piece by piece; repeated rows have equal values; an empty table gives an empty
+result; columns other than doc_id and the text's aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -105,9 +106,9 @@ _WINDOW = np.hanning(FRAME + 1)[:-1].astype(np.float32)
 
 
 def log_mel(samples: np.ndarray, rate: float) -> np.ndarray:
-    """frames x MELS; a short input is padded to one frame."""
-    if len(samples) < FRAME:
-        samples = np.pad(samples, (0, FRAME - len(samples)))
+    """frames x MELS; the end is padded with zeros, so that every sample is in a frame."""
+    short = FRAME - len(samples) if len(samples) < FRAME else -(len(samples) - FRAME) % HOP
+    samples = np.pad(samples, (0, short))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
     mel = _mel(rate)
     out = np.empty((len(frames), MELS), np.float32)
