@@ -5,12 +5,15 @@ word lengths, repetition). The encoder's output h feeds gated attention, a = sof
 sigmoid(U h))), learnt from document labels; the score is a logistic function of the weighted sum of
 the passages. So a document with a few bad passages can be told by them.
 
-The model is fitted on at most MAX_TRAIN labelled documents, those with the smallest hash of doc_id:
-a bounded sample, whatever the table's size. Scores use every passage of every text.
+The model is fitted on at most MAX_TRAIN labelled documents, those with the smallest hash of doc_id,
+and at most MAX_PASSAGES passages of each, evenly spaced: a bounded sample, whatever the table's size,
+and all that is collected. Scores use every passage of every text.
 
 Edge cases: null, empty and blank texts are one passage without words and get a score like others;
-labels with a null quality or without a document teach nothing; with no usable label every score is
-0.5; repeated rows are scored each.
+labels with a null quality or without a document teach nothing; of several labels of a doc_id the
+smaller, of several texts of one the first in order is learnt from; with no usable label every score is
+0.5; repeated rows are scored each; an empty table gives an empty result; other columns pass through, but
+one with the name of the score's is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import types as T
 from panelspark.llm.text import column_bytes, doc_words, mix, pieces, span_hash
 
 PASSAGE = 64
-MAX_TRAIN = 4000
+MAX_TRAIN, MAX_PASSAGES = 4000, 64
 HIDDEN, GATE = 24, 12
 EPOCHS, RATE, DECAY = 250, 0.02, 1e-4
 
@@ -161,13 +164,18 @@ def held_out(doc_id=None):
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Attention | None:
     """Learns from labelled rows that aren't held out; None if both labels don't occur."""
-    chosen = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
+    usable = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null").where(~held_out())
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # `most` rows at most
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+
+    def some(x: np.ndarray) -> bytes:
+        return x[np.unique(np.linspace(0, len(x) - 1, min(len(x), MAX_PASSAGES)).round().astype(int))].astype(np.float32).tobytes()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(it, "text"):
             x, first = passages(*column_bytes(b.column(1)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x[i:j].astype(np.float32).tobytes() for i, j in zip(first, first[1:])], pa.binary())], names=["doc_id", "quality", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([some(x[i:j]) for i, j in zip(first, first[1:])], pa.binary())], names=["doc_id", "quality", "x"])
 
     rows = sorted(texts.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, x binary").collect(), key=lambda r: (r["doc_id"], r["quality"], r["x"]))
     y = np.array([r["quality"] for r in rows], float)

@@ -332,6 +332,41 @@ def test_resampling_keeps_a_tone():
         assert np.abs(out - want)[100:-100].max() < 0.02
 
 
+def test_log_mel_and_segments_equal_brute_force():
+    r = np.random.default_rng(5)
+    for n in (1, 96, 255, 256, 257, 300, 384, 1000):
+        x = r.normal(size=n).astype(np.float32)
+        count = 1 if n <= 256 else 1 + -(-(n - 256) // 128)
+        padded = np.concatenate([x, np.zeros(256 + 128 * (count - 1) - n)])
+        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 256)
+        edges = 700 * (10 ** (np.linspace(0, 2595 * np.log10(1 + 4000 / 700), 42) / 2595) - 1)
+        want = np.zeros((count, 40))
+        for f in range(count):
+            frame = padded[128 * f : 128 * f + 256] * window
+            power = [abs(sum(frame * np.exp(-2j * np.pi * k * np.arange(256) / 256))) ** 2 for k in range(129)]
+            for m in range(40):
+                low, mid, high = edges[m : m + 3]
+                tri = [max(0, min((k * 31.25 - low) / (mid - low), (high - k * 31.25) / (high - mid))) for k in range(129)]
+                want[f, m] = np.log(np.dot(power, tri) + 1e-6)
+        assert np.allclose(audio.log_mel(x, 8000.0), want, atol=2e-2)
+    # a change of the last sample is seen
+    x = r.normal(size=300).astype(np.float32)
+    y = x.copy()
+    y[-1] += 5
+    assert (audio.log_mel(x, 8000.0) != audio.log_mel(y, 8000.0)).any()
+    for _ in range(200):
+        e = r.normal(size=r.integers(1, 40)).round(1)
+        high, low, on, want = e.mean() + e.std() / 2, e.mean(), False, []
+        for i, v in enumerate(e):
+            if not on and v > high:
+                on = True
+                want.append([i, len(e)])
+            elif on and v < low:
+                on = False
+                want[-1][1] = i
+        assert audio.segments(e).tolist() == (want if e.std() >= 1e-6 else [])
+
+
 def test_url_filters(spark):
     cases = [
         (1, "https://A.Example.NET/en/x?q#f", "a.example.net", "/en/x", "example.net/en/", "allow"),
@@ -485,3 +520,39 @@ def test_quality_gradients():
         down = loss()
         v[at] = old
         assert abs((up - down) / 2e-6 - g[k][at]) < 1e-6, k
+
+
+def test_quality_learns_from_other_rows_than_those_held_out(spark):
+    r = random.Random(4)
+    good = lambda: " ".join(r.choice(["the", "river", "quiet", "morning", "walked", "Reader"]) + r.choice(["", "", ","]) for _ in range(150)) + "."
+    bad = lambda: " ".join(r.choice(["$$$", "CLICK", "win!!!", "9", "#1", "free"]) for _ in range(60))
+    # label 0: a bad passage somewhere in an otherwise good text
+    rows = [(i, good() + " " + (bad() + " " if i % 2 else "") + good()) for i in range(400)]
+    held = {i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = lambda turn: spark.createDataFrame([(i, 1 - i % 2 if i not in held or not turn else i % 2) for i in range(400)], "doc_id long, quality int")
+    model, other = quality.fit(docs, table(False)), quality.fit(docs, table(True))
+    assert all((model.p[k] == other.p[k]).all() for k in model.p)
+    got = {x["doc_id"]: x["score"] for x in quality.score(docs, model).collect()}
+    assert sum((got[i] >= 0.5) == (i % 2 == 0) for i in held) >= 0.95 * len(held)
+    marked = docs.select("doc_id", quality.held_out().alias("h")).collect()
+    assert {x["doc_id"] for x in marked if x["h"]} == held
+    # repeated rows and labels add nothing
+    again = quality.fit(docs.unionByName(docs), table(False).unionByName(table(False)))
+    assert all((model.p[k] == again.p[k]).all() for k in model.p)
+
+
+def test_passages_equal_brute_force():
+    texts = ["", "  ", " ".join(f"w{i % 50}" for i in range(200)), "A b, c! " * 70]
+    column = pa.array(texts)
+    x, first = quality.passages(*text_module.column_bytes(column))
+    for d, t in enumerate(texts):
+        w = WORD.findall(t)
+        count = max(1, -(-len(w) // quality.PASSAGE))
+        assert first[d + 1] - first[d] == count
+        for p in range(count):
+            own = w[p * quality.PASSAGE : (p + 1) * quality.PASSAGE]
+            row = x[first[d] + p][quality._KINDS :]
+            size = [len(v) for v in own] or [0]
+            want = [np.log1p(np.mean(size)), np.log1p(np.std(size)), len(set(own)) / max(len(own), 1), sum(a == b for a, b in zip(own, own[1:])) / max(len(own), 1), np.log1p(len(own)) / 4, np.log1p(max(size)) / 4, not own, np.log1p(len(w)) / 8]
+            assert np.allclose(row, want, atol=1e-4)
