@@ -360,9 +360,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     scratch.drop("lone", "left", "frequent", "early", "lowest-early")
     found = scratch.keep(connected(rows, components(edges), k, percent, scratch), "labels")
     scratch.drop(*(x for x in list(scratch.paths) if x not in ("described", "classes", "labels")))
-    ids = found.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id"))
-    labelled = classes.join(found, "node", "left").join(ids, "component", "left")
+    # written, so that Spark can split the rows of a large component in the join
+    ids = scratch.keep(found.join(classes.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("component_id")), "ids")
+    labelled = classes.join(found.join(ids, "component").select("node", "component_id"), "node", "left")
     labelled = scratch.keep(labelled.select("n", "p", "q", F.coalesce("component_id", "doc").alias("component_id")), "classes-labelled")
-    scratch.drop("classes", "labels")
+    scratch.drop("classes", "labels", "ids")
     full = described.where("n > 0").join(labelled, ["n", "p", "q"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
