@@ -115,10 +115,15 @@ def residualize_one(labels: DataFrame, exposure: str, target: str) -> DataFrame:
 
 def relevance_grades(labels: DataFrame, column: str, grades: int = 4) -> DataFrame:
     """Grades 0 to `grades` by percentile of the date, and a dense id of each date."""
-    return labels.withColumns({"grade": F.bround(percent_rank(column, ["date"]) * grades).cast("int"), "query_id": F.dense_rank().over(Window.orderBy("date"))})
+    dates = labels.select("date").distinct().withColumn("query_id", F.row_number().over(Window.orderBy("date")))  # a row a date
+    graded = labels.withColumn("grade", F.bround(percent_rank(column, ["date"]) * grades).cast("int")).alias("l")
+    return graded.join(dates.alias("d"), F.col("l.date").eqNullSafe(F.col("d.date"))).select("l.*", "query_id")
 
 
 def date_weights(df: DataFrame) -> DataFrame:
     """One over the rows of the date, scaled to mean 1: all dates count alike."""
-    n_dates, n = df.agg(F.countDistinct("date"), F.count(F.lit(1))).first()
-    return df.withColumn("weight", F.lit(n / max(n_dates, 1)) / F.count(F.lit(1)).over(Window.partitionBy("date")))
+    every = Window.partitionBy()
+    dates = df.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))  # a row a date
+    mean = F.sum("_n").over(every) / F.greatest(F.count("date").over(every), F.lit(1))
+    weights = dates.select("date", (mean / F.col("_n")).alias("weight"))
+    return df.alias("l").join(weights.alias("d"), F.col("l.date").eqNullSafe(F.col("d.date"))).select("l.*", "weight")

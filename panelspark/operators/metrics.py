@@ -54,9 +54,12 @@ def ranking_summary(by_date: DataFrame) -> DataFrame:
 
 def roc_auc(preds: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Exact, with ties, by rank sums; null with one class."""
-    ranked = preds.withColumn("_r", average_rank("y_score", list(keys)))
-    p, n = F.sum("y_true"), F.count(F.lit(1)) - F.sum("y_true")
-    return ranked.groupBy(*keys).agg(F.when((p > 0) & (n > 0), (F.sum(F.when(F.col("y_true") == 1, F.col("_r"))) - p * (p + 1) / 2) / (p * n)).alias("roc_auc"))
+    # rows with one score share a rank, so the ranks are summed by score: windows hold distinct scores
+    each = preds.groupBy(*keys, "y_score").agg(F.sum("y_true").alias("p"), F.count(F.lit(1)).alias("n"))
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("y_score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    each = each.withColumn("r", F.when(F.col("y_score").isNotNull(), F.col("p") * (below + (F.col("n") + 1) / 2)))
+    p, n = F.sum("p"), F.sum("n") - F.sum("p")
+    return each.groupBy(*keys).agg(F.when((p > 0) & (n > 0), (F.sum("r") - p * (p + 1) / 2) / (p * n)).alias("roc_auc"))
 
 
 def average_precision(preds: DataFrame, keys: Sequence[str]) -> DataFrame:

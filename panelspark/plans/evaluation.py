@@ -119,11 +119,10 @@ def m15_v1_paired_comparison(spark, d):
     return evidence.compare_to_baseline(split_ic(spark, d), "random", "rank_ic")
 
 
-@query("cells:i off_diagonal_mean:r off_diagonal_sd:r effective_rank:r label_alignment:r", "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 100), k AS (SELECT a.vec_id = b.vec_id AS same, CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0 END AS agree, pow(list_cosine_similarity(a.e, b.e), 2) AS k FROM v a, v b)",
+@query("cells:i off_diagonal_mean:r off_diagonal_sd:r effective_rank:r label_alignment:r", "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT a.vec_id = b.vec_id AS same, CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0 END AS agree, pow(list_cosine_similarity(a.e, b.e), 2) AS k FROM v a, v b)",
        "SELECT count(*) AS cells, avg(CASE WHEN NOT same THEN k END) AS off_diagonal_mean, stddev_pop(CASE WHEN NOT same THEN k END) AS off_diagonal_sd, pow(sum(CASE WHEN same THEN k END), 2) / sum(k * k) AS effective_rank, sum(k * agree) / sqrt(sum(k * k) * sum(agree)) AS label_alignment FROM k")
 def m19_gram_diagnostics(spark, d):
-    """Of the first 100 vectors, as its SQL has it; m19_gram_diagnostics_all takes the table."""
-    return metrics.gram_diagnostics(v.table(spark, d, "embeddings").orderBy("vec_id").limit(100))
+    return metrics.gram_diagnostics(v.table(spark, d, "embeddings"))
 
 
 @query("cells:i off_diagonal_mean:r off_diagonal_sd:r effective_rank:r label_alignment:r", "v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT a.vec_id = b.vec_id AS same, CASE WHEN a.label = b.label THEN 1.0::DOUBLE ELSE 0 END AS agree, pow(list_cosine_similarity(a.e, b.e), 2) AS k FROM v a, v b)",
@@ -395,8 +394,7 @@ def d5s_n15_filing_events(spark, d):
 
 @query("symbol date close:r volume:i")
 def n1_bar_pages(spark, d):
-    """Of 1997, as its SQL has it; n1_bar_pages_all takes every year."""
-    return bar_pages(v.panel(spark, d).where(F.year("date") == 1997))
+    return bar_pages(v.panel(spark, d))
 
 
 @query("symbol date close:r volume:i", v.PANEL, "SELECT upper(symbol) AS symbol, date, close, volume FROM panel")
@@ -410,7 +408,7 @@ def bar_pages(p):
     return ingest.bar_pages(bars)
 
 
-SQL["n1_bar_pages"] = f"WITH {v.PANEL} SELECT upper(symbol) AS symbol, date, round(close, 6) + 0.0::DOUBLE AS close, CAST(volume AS BIGINT) AS volume FROM panel WHERE year(date) = 1997"
+SQL["n1_bar_pages"] = f"WITH {v.PANEL} SELECT upper(symbol) AS symbol, date, round(close, 6) + 0.0::DOUBLE AS close, CAST(volume AS BIGINT) AS volume FROM panel"
 
 
 @query("symbol form filing_date accession:i", v.FILINGS, "SELECT * FROM filings WHERE form IN ('F', 'O')")

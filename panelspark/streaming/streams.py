@@ -52,16 +52,17 @@ def quality_split(rows: DataFrame, bad: Column, good_table: str, bad_table: str,
 def order_states(events: DataFrame, stale_minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
     """A row each time an order's state changes, and one when it stays open past the limit. events: order_id, status, ts.
 
-    A state never goes back and ended ones stay; unknown states are skipped.
+    A state never goes back and ended ones stay, after the limit too: only orders that are still open are
+    told stale, once until their state changes. Unknown states are skipped.
     """
     rank = {s: i for i, s in enumerate(STATES)}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.getOption
-        status, since = now if now else (None, 0)
+        status, since, told = now if now else (None, 0, False)
         if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({"order_id": [key[0]], "status": [status], "is_stale": [status not in ENDED]})
+            state.update((status, since, True))
+            yield pd.DataFrame({"order_id": [key[0]], "status": [status], "is_stale": [True]})
             return
         before = status
         for rows in batches:
@@ -69,11 +70,13 @@ def order_states(events: DataFrame, stale_minutes: int = 30, delay: str = "10 mi
                 if r.status in rank and status not in ENDED and (status is None or rank[r.status] > rank[status]):
                     status, since = r.status, int(r.ts.timestamp() * 1000)
         if status is not None:
-            state.update((status, since))
-            limit = since + stale_minutes * 60_000
-            state.setTimeoutTimestamp(max(limit, state.getCurrentWatermarkMs() + 1))
+            told = told and status == before
+            state.update((status, since, told))
+            if status not in ENDED and not told:
+                limit = since + stale_minutes * 60_000
+                state.setTimeoutTimestamp(max(limit, state.getCurrentWatermarkMs() + 1))
             if status != before:
                 yield pd.DataFrame({"order_id": [key[0]], "status": [status], "is_stale": [False]})
 
     kept = events.select("order_id", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
-    return kept.groupBy("order_id").applyInPandasWithState(step, "order_id long, status string, is_stale boolean", "status string, since long", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.groupBy("order_id").applyInPandasWithState(step, "order_id long, status string, is_stale boolean", "status string, since long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)

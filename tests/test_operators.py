@@ -290,9 +290,14 @@ def test_order_state_stream(spark, tmp_path):
     q().awaitTermination()
     spark.createDataFrame([(9, "new", t + dt.timedelta(hours=3))], schema).coalesce(1).write.mode("append").parquet(str(src))
     q().awaitTermination()
-    got = {(r["order_id"], r["status"], r["is_stale"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert {(1, "filled", False), (2, "accepted", False), (2, "accepted", True)} <= got
-    assert all(o != 3 for o, _, _ in got)
+    got = sorted((r["order_id"], r["status"], r["is_stale"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, "filled", False), (2, "accepted", False), (2, "accepted", True), (9, "new", False)]
+    # after the timeout: an ended order stays as it was, an open one goes on
+    late = [(1, "new", t + dt.timedelta(hours=4)), (2, "new", t + dt.timedelta(hours=4)), (2, "filled", t + dt.timedelta(hours=5))]
+    spark.createDataFrame(late, schema).coalesce(1).write.mode("append").parquet(str(src))
+    q().awaitTermination()
+    more = sorted((r["order_id"], r["status"], r["is_stale"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert more == sorted([*got, (2, "filled", False), (9, "new", True)])
 
 
 def test_splits(spark):
