@@ -137,9 +137,16 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
     """doc_id, size, source_size, target, taken: the words that the mix takes of each document."""
     scratch = Scratch(docs.sparkSession)
     sized, plan = packed(docs, share, weights, most, block, seed, scratch)
-    # running totals: in buckets, so that one large source isn't one task
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("_size")).select("source", "bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("offset"))
+    # running totals: in buckets, these in groups of 128, so that one large source isn't one task
+    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("_size")).withColumn("group", F.shiftright("bucket", 7))
+    below = lambda *key: Window.partitionBy(*key).rowsBetween(Window.unboundedPreceding, -1)
+    groups = sums.groupBy("source", "group").agg(F.sum("_size").alias("_size")).select("source", "group", F.coalesce(F.sum("_size").over(below("source").orderBy("group")), F.lit(0)).alias("base"))
+    offsets = (
+        sums.withColumn("inside", F.coalesce(F.sum("_size").over(below("source", "group").orderBy("bucket")), F.lit(0)))
+        .alias("a")
+        .join(groups.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.group") == F.col("b.group")))
+        .select("a.source", "bucket", (F.col("base") + F.col("inside")).alias("offset"))
+    )
     inside = Window.partitionBy("source", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = (
         sized.withColumn("upto", F.sum("size").over(inside))
