@@ -69,11 +69,52 @@ def eligible_regimes(regimes: DataFrame, column: str, least: int) -> DataFrame:
     return out.withColumn("weight", F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()))
 
 
-def select_targets(diagnostics: DataFrame, baseline: str, most_missing: float = 0.2, most_turnover: float = 0.6) -> DataFrame:
-    """Per role, targets scored by autocorrelation less turnover, their margin over the baseline, gates and the decision."""
-    rows = diagnostics.groupBy("role", "target").agg(F.avg(F.coalesce("autocorrelation", F.lit(0.0)) - F.col("turnover")).alias("score"), F.max("missing_rate").alias("missing_rate"), F.avg("turnover").alias("turnover"))
-    base = rows.where(F.col("target") == baseline).select("role", F.col("score").alias("baseline_score"))
-    out = rows.join(base, "role", "left").withColumn("margin", F.col("score") - F.col("baseline_score"))
-    stable = (F.col("missing_rate") <= most_missing) & (F.col("turnover") <= most_turnover)
-    place = F.row_number().over(Window.partitionBy("role").orderBy(F.round("score", 9).desc(), "target"))
-    return out.withColumns({"is_stable": stable, "place": place}).withColumn("decision", F.when((F.col("place") == 1) & F.col("is_stable"), "primary").when(F.col("is_stable"), "secondary").otherwise("rejected"))
+def select_targets(diagnostics: DataFrame, baselines: dict[str, tuple[str, int]], margin: float = 0.01, least_periods: int = 2) -> DataFrame:
+    """The best target of each role (classification, ranking) over validation periods, against the role's baseline.
+
+    diagnostics: rows of labels.target_diagnostics with their role; those of role calibration are not looked at.
+    baselines: role -> (target, horizon). The score is |mean rank IC| less its spread and the missing rate, plus a
+    tenth of the class balance; ties go to the shorter horizon, then by name. A target is promoted only if it
+    beats the baseline by the margin (or there is none) and passes every stability gate; null fails.
+    """
+    rows = diagnostics.where(F.col("role").isin("inner", "outer")).groupBy("target", "target_family", "label_horizon_days").agg(
+        F.countDistinct("period").alias("periods"),
+        F.avg("rank_ic").alias("mean_rank_ic"),
+        F.stddev_samp("rank_ic").alias("rank_ic_spread"),
+        F.avg("magnitude").alias("mean_magnitude"),
+        F.avg("missing_rate").alias("mean_missing_rate"),
+        (1 - F.abs(F.avg("positive_rate") - 0.5) * 2).alias("class_balance"),
+        F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_share"),
+    )
+    zero = F.lit(0.0)
+    score = F.coalesce(F.abs("mean_rank_ic"), zero) - F.coalesce("rank_ic_spread", zero) - F.col("mean_missing_rate") + F.coalesce("class_balance", zero) * 0.1
+    role = F.when(F.col("target_family").isin("binary", "neutral_zone"), "classification").otherwise("ranking")
+    rows = rows.withColumns({"selected_role": role, "selection_score": F.round(score, 9)})
+    own = F.lit(False)
+    for name, (target, horizon) in baselines.items():
+        own = own | ((F.col("selected_role") == name) & (F.col("target") == target) & (F.col("label_horizon_days") == horizon))
+    by = Window.partitionBy("selected_role")  # a row a target
+    place = F.row_number().over(by.orderBy(F.col("selection_score").desc(), "label_horizon_days", "target"))
+    best = rows.withColumns({"baseline_score": F.max(F.when(own, F.col("selection_score"))).over(by), "_place": place}).where("_place = 1").drop("_place")
+    improves = F.col("baseline_score").isNull() | (F.col("selection_score") >= F.col("baseline_score") + margin)
+    balanced = (F.col("selected_role") != "classification") | F.col("class_balance").isNull() | (F.col("class_balance") >= 0.6)
+    stable = (F.col("periods") >= least_periods) & (F.col("mean_missing_rate") <= 0.2) & F.coalesce(F.col("positive_share") >= 0.5, F.lit(False)) & balanced
+    out = best.withColumns({"improves": improves, "is_stable": stable})
+    return out.withColumn("decision", F.when(F.col("improves") & F.col("is_stable"), "promote_candidate").otherwise("retain_baseline"))
+
+
+def attach_returns(sample: DataFrame, labels: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A sample's rows with the returns of their symbol and date; labels that repeat a key are refused, absent ones are null."""
+    contracts.require(labels, [*contracts.KEYS, *columns], "labels")
+    contracts.assert_unique(labels, contracts.KEYS, "labels")
+    return sample.join(labels.select(*contracts.KEYS, *columns), list(contracts.KEYS), "left")
+
+
+def train_validation(rows: DataFrame, labels: DataFrame, target: str, train: tuple[str, str], validation: tuple[str, str], names: Sequence[str] | None = None, most_missing: float = 1.0) -> DataFrame:
+    """Both datasets as one table with a role; the features of both are the train side's (all its numbers, unless named)."""
+    start = contracts.filter_dates(rows, *train)
+    names = list(names or contracts.feature_columns(start))
+    if not names:
+        raise ValueError("no feature columns")
+    sides = [modeling_dataset(rows, labels, target, names, *ends, most_missing).withColumn("role", F.lit(role)) for role, ends in (("train", train), ("validation", validation))]
+    return sides[0].unionByName(sides[1])

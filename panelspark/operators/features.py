@@ -35,8 +35,8 @@ def add_volume(panel: DataFrame, windows: Sequence[int] = (5, 20, 60), least_dol
 
 
 def add_benchmark_relative(panel: DataFrame, benchmark: str, windows: Sequence[int] = (20, 60), excess: Sequence[int] = (1, 5, 20)) -> DataFrame:
-    """Excess returns, correlation, beta and relative volatility against the benchmark symbol."""
-    wanted = sorted({f"return_{w}d" for w in excess} | {"return_1d"} | {f"volatility_{w}d" for w in windows})
+    """Excess returns, correlation, beta, relative volatility and momentum against the benchmark symbol."""
+    wanted = sorted({f"return_{w}d" for w in excess} | {"return_1d"} | {f"{c}_{w}d" for w in windows for c in ("volatility", "return")})
     out = join_benchmark(panel, benchmark, [c for c in wanted if c in panel.columns])
     new = {f"excess_return_{w}d": F.col(f"return_{w}d") - F.col(f"bench_return_{w}d") for w in excess}
     for w in windows:
@@ -44,6 +44,8 @@ def add_benchmark_relative(panel: DataFrame, benchmark: str, windows: Sequence[i
         new[f"beta_{w}d"] = F.try_divide(rolling_pair(F.covar_pop, "return_1d", "bench_return_1d", w), rolling(F.var_pop, "bench_return_1d", w))
         if f"volatility_{w}d" in panel.columns:
             new[f"relative_volatility_{w}d"] = F.try_divide(F.col(f"volatility_{w}d"), F.col(f"bench_volatility_{w}d"))
+        if f"return_{w}d" in panel.columns:
+            new[f"relative_momentum_{w}d"] = F.col(f"return_{w}d") - F.col(f"bench_return_{w}d")
     return out.withColumns(new).drop(*[c for c in out.columns if c.startswith("bench_")])
 
 
@@ -81,10 +83,12 @@ def add_market_signals(panel: DataFrame, benchmark: str, w: int = 20) -> DataFra
     return out.drop("_beta", "_residual", "bench_return_1d")
 
 
-def add_macro(dates: DataFrame, columns: Sequence[str], differences: Sequence[int] = (5, 20, 60), growth: Sequence[int] = (21, 63)) -> DataFrame:
-    """Differences and growth over rows of a table with one row a date."""
+def add_macro(dates: DataFrame, columns: Sequence[str], differences: Sequence[int] = (5, 20, 60), growth: Sequence[int] = (21, 63, 252), spread: tuple[str, str] | None = None) -> DataFrame:
+    """Differences and growth over rows of a table with one row a date; a yield spread of two columns, and its differences."""
     by = Window.orderBy("date")
-    new = {f"{c}_diff_{w}": F.col(c) - F.lag(c, w).over(by) for c in columns for w in differences}
+    if spread:
+        dates = dates.withColumn("yield_spread", F.col(spread[0]) - F.col(spread[1]))
+    new = {f"{c}_diff_{w}": F.col(c) - F.lag(c, w).over(by) for c in [*columns, *(["yield_spread"] if spread else [])] for w in differences}
     new |= {f"{c}_growth_{w}": change(c, w, by) for c in columns for w in growth}
     return dates.withColumns(new)
 
@@ -123,18 +127,35 @@ def angle_encode(df: DataFrame, columns: Sequence[str], ranks: bool = False) ->
     return df.withColumns({f"{c}_angle": F.pi() * F.col(c) if ranks else 2 * F.atan(c) for c in columns})
 
 
-def market_regimes(benchmark: DataFrame, rates: DataFrame, w: int = 20, least: int = 20, lag: int = 20) -> DataFrame:
-    """Per date: volatility against the median of earlier ones, direction of rates, shape of the curve."""
-    by = Window.orderBy("date")
-    vol = benchmark.select("date", (rolling(F.stddev_samp, "return_1d", w, by=by) * ANNUAL**0.5).alias("volatility"))
+def market_regimes(benchmark: DataFrame, rates: DataFrame, w: int = 20, least: int = 20, lag: int = 20, flat: float = 0.0) -> DataFrame:
+    """Per date of the benchmark: volatility against the median of earlier ones, direction of rates, shape and trend of the curve.
+
+    rates: date, long_rate, short_rate, a row a date. The level of rates is the mean of those there are; a
+    difference of zero has a label of its own, one that can't be formed has none.
+    """
+    by = Window.orderBy("date")  # a row a date
+
+    def label(x: str, above: str, below: str, even: str, tolerance: float = 0.0):
+        return F.when(F.col(x) > tolerance, above).when(F.col(x) < -tolerance, below).when(F.col(x).isNotNull(), even)
+
+    out = benchmark.select("date", (rolling(F.stddev_samp, "return_1d", w, by=by) * ANNUAL**0.5).alias("volatility"))
     before = by.rowsBetween(Window.unboundedPreceding, -1)
-    vol = vol.withColumn("usual", F.when(F.count("volatility").over(before) >= least, F.percentile("volatility", 0.5).over(before)))
-    out = vol.join(rates, "date", "left").withColumns({"rate_change": F.col("long_rate") - F.lag("long_rate", lag).over(by), "curve": F.col("long_rate") - F.col("short_rate")})
+    out = out.withColumn("volatility_threshold", F.when(F.count("volatility").over(before) >= least, F.percentile("volatility", 0.5).over(before)))
+    out = out.join(rates, "date", "left").withColumn("rate_level", F.coalesce((F.col("long_rate") + F.col("short_rate")) / 2, "long_rate", "short_rate"))
+    out = out.withColumns({"_v": F.col("volatility") - F.col("volatility_threshold"), "rate_change": F.col("rate_level") - F.lag("rate_level", lag).over(by), "yield_spread": F.col("long_rate") - F.col("short_rate")})
+    out = out.withColumn("spread_change", F.col("yield_spread") - F.lag("yield_spread", lag).over(by))
     return out.select(
         "date",
-        F.when(F.col("volatility") > F.col("usual"), "high").when(F.col("volatility").isNotNull() & F.col("usual").isNotNull(), "low").alias("volatility_regime"),
-        F.when(F.col("rate_change") > 0, "rising").when(F.col("rate_change").isNotNull(), "falling").alias("rate_regime"),
-        F.when(F.col("curve") < 0, "inverted").when(F.col("curve").isNotNull(), "normal").alias("curve_regime"),
+        "volatility",
+        "volatility_threshold",
+        label("_v", "high_volatility", "low_volatility", "normal_volatility").alias("volatility_regime"),
+        "rate_level",
+        "rate_change",
+        label("rate_change", "rising_rates", "falling_rates", "flat_rates").alias("rate_regime"),
+        "yield_spread",
+        label("yield_spread", "normal_curve", "inverted_curve", "flat_curve", flat).alias("curve_regime"),
+        "spread_change",
+        label("spread_change", "steepening_curve", "flattening_curve", "unchanged_curve").alias("curve_trend"),
     )
 
 
@@ -181,4 +202,35 @@ def align_rates(dates: DataFrame, rates: DataFrame, columns: Sequence[str], lag_
 
     seen = rates.where(F.coalesce(*columns).isNotNull())
     day = F.add_months(F.date_add("date", lag_days), lag_months) if lag_months else F.date_add("date", lag_days)
-    return asof_join(dates.select("date"), seen.select(day.alias("available"), *columns), [], "date", "available").drop("available")
+    # of observations that become available on one day the last counts
+    observed = seen.select(day.alias("available"), F.col("date").alias("_observed"), *columns)
+    return asof_join(dates.select("date"), observed, [], "date", "available", ["_observed"]).drop("available", "_observed")
+
+
+def macro_daily(dates: DataFrame, macro: DataFrame, daily: Sequence[str], monthly: Sequence[str], lag_days: int = 0) -> DataFrame:
+    """A row a trading date: daily rates as of it, and monthly series as of a month after their observation."""
+    days = dates.select("date").where("date IS NOT NULL").distinct()
+    rates = align_rates(days, macro.select("date", *daily), daily, lag_days)
+    return rates.join(align_rates(days, macro.select("date", *monthly), monthly, lag_months=1), "date")
+
+
+#: Groups of features by their name, the first that fits counts; names of raw prices are whole.
+RAW_PRICES = ("open", "high", "low", "close", "vwap", "trade_count")
+GROUPS = (
+    ("volume_liquidity", ("volume", "liquid")),
+    ("volatility", ("vol", "realized")),
+    ("benchmark_relative", ("_vs_", "benchmark")),
+    ("returns_momentum", ("return", "momentum", "moving_average", "ma_", "rsi", "macd")),
+    ("macro", ("treasury", "fed_funds", "cpi", "unemployment", "industrial_production", "inflation", "macro")),
+    ("fundamentals", ("sec_", "filing", "assets", "liabilities", "revenue", "income", "debt", "equity", "cash", "eps", "shares")),
+)
+
+
+def feature_group(name):
+    """The economic group of a feature's name: a column."""
+    low = F.lower(name)
+    out = F.when(low.isin(*RAW_PRICES), "raw_price")
+    for group, words in GROUPS:
+        fits = F.regexp_like(low, F.lit("|".join(words)))
+        out = out.when(fits | low.startswith("relative_") if group == "benchmark_relative" else fits, group)
+    return out.otherwise("other")

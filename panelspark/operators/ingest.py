@@ -87,6 +87,20 @@ def macro_wide(rows: DataFrame, expected: Sequence[str]) -> DataFrame:
     return rows.groupBy("date").pivot("series", list(expected)).agg(F.max_by("value", "retrieved_at"))
 
 
+def company_tickers(docs: DataFrame, payload: str = "payload") -> DataFrame:
+    """ticker, cik, cik_padded, title from JSON objects or arrays of {ticker, cik_str, title}; the first record of a ticker counts.
+
+    Records without a ticker or a number as cik are left out; a null title is empty.
+    """
+    record = "struct<ticker:string,cik_str:string,title:string>"
+    text = F.col(payload)
+    records = F.when(F.ltrim(text).startswith("["), F.from_json(text, f"array<{record}>")).otherwise(F.map_values(F.from_json(text, f"map<string,{record}>")))
+    rows = docs.select(F.posexplode(records).alias("_place", "r"))
+    rows = rows.select("_place", ticker(F.col("r.ticker")).alias("ticker"), F.trim("r.cik_str").try_cast("bigint").alias("cik"), F.coalesce(F.trim("r.title"), F.lit("")).alias("title")).where("ticker IS NOT NULL AND cik IS NOT NULL")
+    first = rows.groupBy("ticker").agg(F.min(F.struct("_place", "cik", "title")).alias("x"))
+    return first.select("ticker", "x.cik", format_cik(F.col("x.cik")).alias("cik_padded"), "x.title")
+
+
 def lookup(symbols: DataFrame, table: DataFrame, strict: bool = False) -> DataFrame:
     """symbol -> cik; strict raises on a symbol that the table lacks."""
     wanted = symbols.select(ticker(F.col("symbol")).alias("symbol")).distinct()

@@ -49,22 +49,40 @@ def integrity_flags(labels: DataFrame, column: str, impossible: float = -1.0, ab
     return out.withColumn("robust_z", z).withColumn("integrity_status", status).withColumn("is_valid", F.col("integrity_status") == "passed").drop("_median", "_mad")
 
 
-def target_diagnostics(labels: DataFrame, targets: Sequence[str], horizon: int) -> DataFrame:
-    """Per target and year: rows, missing rate, positive rate, turnover of signs, autocorrelation and purged-lag rank correlation."""
-    stacked = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("value")) for t in targets])).alias("x")
-    long = labels.select("symbol", "date", F.year("date").alias("period"), stacked).select("symbol", "date", "period", "x.*")
-    some = Window.partitionBy("target", "period", "symbol", F.col("value").isNotNull()).orderBy("date")
-    long = long.withColumns({"_before": F.when(F.col("value").isNotNull(), F.lag("value").over(some)), "_purged": F.when(F.col("value").isNotNull(), F.lag("value", horizon).over(some))})
-    flips = F.when(F.col("_before").isNotNull(), (F.signum("value") != F.signum("_before")).cast("double"))
-    return long.groupBy("target", "period").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.avg(F.col("value").isNull().cast("double")).alias("missing_rate"),
-        F.avg(F.when(F.col("value").isNotNull(), (F.col("value") > 0).cast("double"))).alias("positive_rate"),
-        F.avg(flips).alias("turnover"),
-        safe_corr("value", "_before").alias("autocorrelation"),
-        safe_corr("value", "_purged").alias("purged_autocorrelation"),
-        F.avg(F.abs("value")).alias("magnitude"),
+def target_diagnostics(labels: DataFrame, targets: dict[str, str], horizons: Sequence[int], economic: str = "forward_excess_return") -> DataFrame:
+    """Per target, horizon and year: rows, missing and positive rates, turnover, autocorrelation, purged-lag rank IC, magnitude.
+
+    labels: a row per symbol, date and label_horizon_days. targets: column -> family; only binary and neutral_zone
+    families have a positive rate. Lags count a symbol's non-null rows of the year; the purged lag is the horizon.
+    The autocorrelation is the mean over symbols with three values, the rank IC the mean over dates of the rank
+    correlation between the purged lag and the economic column. Years without any value are left out.
+    """
+    keys = ["target", "target_family", "label_horizon_days", "period"]
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.lit(f).alias("target_family"), F.col(t).cast("double").alias("value")) for t, f in targets.items()])).alias("x")
+    base = ["symbol", "date", "label_horizon_days", "period", "_economic"]
+    long = labels.select("symbol", "date", "label_horizon_days", F.year("date").alias("period"), F.col(economic).alias("_economic"), each).select(*base, "x.*")
+    has = F.col("value").isNotNull()
+    some = Window.partitionBy(*keys, "symbol", has).orderBy("date")
+    purged = F.coalesce(*[F.when(F.col("label_horizon_days") == h, F.lag("value", h).over(some)) for h in horizons])
+    long = long.withColumns({"_before": F.when(has, F.lag("value").over(some)), "_purged": F.when(has, purged)})
+    moved = F.abs(F.col("value") - F.col("_before"))
+    size = F.abs(F.when(has, F.col("_economic")))
+    symbols = long.groupBy(*keys, "symbol").agg(
+        F.count(F.lit(1)).alias("every"), F.count("value").alias("n"), F.sum("value").alias("total"), F.sum(moved).alias("moved"), F.count(moved).alias("moves"),
+        F.sum(size).alias("size"), F.count(size).alias("sizes"), F.when(F.count("value") >= 3, safe_corr("value", "_before")).alias("own"),
     )
+    out = symbols.groupBy(*keys).agg(
+        F.sum("n").alias("n_rows"),
+        (1 - F.sum("n") / F.sum("every")).alias("missing_rate"),
+        F.when(F.col("target_family").isin("binary", "neutral_zone"), F.try_divide(F.sum("total"), F.sum("n"))).alias("positive_rate"),
+        F.try_divide(F.sum("moved"), F.sum("moves")).alias("turnover"),
+        F.avg("own").alias("autocorrelation"),
+        F.try_divide(F.sum("size"), F.sum("sizes")).alias("magnitude"),
+    ).where("n_rows > 0")
+    both = long.where(F.col("_purged").isNotNull() & F.col("_economic").isNotNull())
+    both = both.withColumns({"_a": average_rank("_purged", [*keys, "date"]), "_b": average_rank("_economic", [*keys, "date"])})
+    ic = both.groupBy(*keys, "date").agg(safe_corr("_a", "_b").alias("ic")).groupBy(*keys).agg(F.avg("ic").alias("rank_ic"))
+    return out.join(ic, keys, "left")
 
 
 def nested_roles(periods: DataFrame, inner: int, column: str = "period") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.expr import average_rank, hash_draw, safe_corr
+from panelspark.functions.expr import average_rank, finite, hash_draw, safe_corr
 from panelspark.operators.splits import date_index, near_equal_block
 
 #: Of gram_diagnostics: cells of the matrix that a pass makes (8 bytes each, in every task), tasks, rows at once, rows of the matrix sent together, labels held.
@@ -135,6 +135,14 @@ def bootstrap_summary(values: DataFrame, keys: Sequence[str], value: str, order:
     return own.join(ends, list(keys))
 
 
+def bootstrap_lower_bound(values: DataFrame, keys: Sequence[str], value: str, order: str, draws: int = 2000, seed: int = 42, level: float = 0.025) -> DataFrame:
+    """keys, lower_bound: the `level` quantile of bootstrapped means of the finite values; minus infinity under two of them."""
+    clean = values.withColumn(value, finite(value))
+    n = clean.groupBy(*keys).agg(F.count(value).alias("_n"))
+    ends = bootstrap_means(clean.where(F.col(value).isNotNull()), keys, value, order, draws, seed).groupBy(*keys).agg(F.percentile("mean", level).alias("_low"))
+    return n.join(ends, list(keys), "left").select(*keys, F.when(F.col("_n") >= 2, F.col("_low")).otherwise(float("-inf")).alias("lower_bound"))
+
+
 def sign_permutation(values: DataFrame, keys: Sequence[str], value: str, order: str, draws: int, seed: int, block: int = 1, two_sided: bool = True) -> DataFrame:
     """p of the mean under random signs, one sign a block of `block` values; (1 + hits) / (1 + draws)."""
     by = Window.partitionBy(*keys).orderBy(order)

@@ -36,6 +36,28 @@ def sector_neutral(df: DataFrame, sector: str = "sector") -> DataFrame:
     return df.withColumn("y_score", F.col("y_score") - F.avg("y_score").over(group))
 
 
+def score_latest(model: PipelineModel | str, rows: DataFrame, features: Sequence[str], benchmark: str, name: str = "model", score: str = "probability") -> DataFrame:
+    """The rows of the last date, scored by a fitted model (or the folder of a saved one) and ranked from 1, ties by symbol.
+
+    Missing features, an absent benchmark and a missing score are refused. A classifier's score is the probability
+    of 1; else score="prediction".
+    """
+    lost = [c for c in features if c not in rows.columns]
+    if lost:
+        raise ValueError(f"features are missing: {', '.join(lost)}")
+    fitted = PipelineModel.load(model) if isinstance(model, str) else model
+    last = rows.agg(F.max("date").alias("_last"))
+    latest = rows.join(F.broadcast(last), F.col("date") == F.col("_last")).drop("_last")  # last: one row
+    if not latest.where(F.col("symbol") == benchmark).limit(1).count():
+        raise ValueError(f"{benchmark} has no row on the last date")
+    out = fitted.transform(latest)
+    value = vector_to_array("probability")[1] if score == "probability" else F.col(score)
+    out = out.select("date", "symbol", value.cast("double").alias("score"), (F.col("symbol") == benchmark).alias("is_benchmark"), F.lit(name).alias("model"))
+    if out.where("score IS NULL OR isnan(score)").limit(1).count():
+        raise ValueError("a row has no score")
+    return out.withColumn("place", F.row_number().over(Window.partitionBy("date").orderBy(F.col("score").desc(), "symbol")))
+
+
 def _assemble(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
 

@@ -39,6 +39,38 @@ def pretrade(orders: DataFrame, seen: DataFrame, most_notional: float, buffer: f
     return out.withColumns({"decision": decision, "limit_price": limit}).drop("_seen")
 
 
+def turnover_gate(intents: DataFrame, most: float) -> DataFrame:
+    """Per account: half the sum of absolute weight changes, and whether the limit allows it."""
+    out = intents.groupBy("account_id").agg((F.sum(F.abs("delta_weight")) / 2).alias("turnover"))
+    return out.withColumn("is_allowed", F.col("turnover") <= most + 1e-12)
+
+
+def pretrade_decisions(orders: DataFrame, seen: DataFrame, open_orders: DataFrame, assets: DataFrame, positions: DataFrame, kind: str = "equity") -> DataFrame:
+    """A status and its reason for each planned order, the first rule that applies; only approved orders go out.
+
+    orders: account_id, symbol, order_id, side, quantity. seen: order_id. open_orders: account_id, symbol. assets: symbol,
+    asset_class, asset_status, is_tradable, is_fractionable. positions: account_id, symbol, quantity. An unknown asset has no class.
+    """
+    flag = F.lit(True).alias
+    out = orders.join(seen.select("order_id", flag("_seen")).distinct(), "order_id", "left").join(open_orders.select("account_id", "symbol", flag("_open")).distinct(), ["account_id", "symbol"], "left")
+    out = out.join(assets.select("symbol", "asset_class", "asset_status", "is_tradable", "is_fractionable"), "symbol", "left")
+    out = out.join(positions.groupBy("account_id", "symbol").agg(F.sum("quantity").alias("_held")), ["account_id", "symbol"], "left")
+    no = F.lit(False)
+    whole = F.abs(F.col("quantity") - F.round("quantity")) <= 1e-9
+    reason = (
+        F.when(F.col("_seen"), "duplicate_order_id")
+        .when(F.col("_open"), "conflicting_open_order")
+        .when(~F.coalesce(F.col("asset_class") == kind, no), "unsupported_asset_class")
+        .when(~F.coalesce(F.col("asset_status") == "active", no), "asset_inactive")
+        .when(~F.coalesce("is_tradable", no), "asset_not_tradable")
+        .when(~F.coalesce(whole, no) & ~F.coalesce("is_fractionable", no), "asset_not_fractionable")
+        .when((F.col("side") == "sell") & (F.col("quantity") > F.coalesce("_held", F.lit(0.0)) + 1e-9), "insufficient_position")
+        .otherwise("risk_checks_passed")
+    )
+    status = F.when(F.col("reason") == "risk_checks_passed", "approved").when(F.col("reason") == "duplicate_order_id", "skipped").otherwise("rejected")
+    return out.withColumn("reason", reason).withColumn("status", status).drop("_seen", "_open", "_held", "asset_class", "asset_status", "is_tradable", "is_fractionable")
+
+
 def order_report(orders: DataFrame, intents: DataFrame) -> DataFrame:
     """Share filled, at most 1, and slippage in basis points, adverse above zero."""
     out = intents.join(orders.select("order_id", "filled_qty", "filled_price"), "order_id", "left")
@@ -80,7 +112,7 @@ ENDED = ("filled", "canceled", "rejected")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
-    """The state of each order after its events in order of seq: states never go back, ended ones stay, repeats count once.
+    """The state of each order after its events in order of seq: states never go back and ended ones stay; n_events counts every event of a known state.
 
     events: order_id, seq, status. Equal to taking the first ended state, else the furthest one; so it is an
     aggregate with partial sums, not a list of events.
@@ -127,3 +159,18 @@ def stage_metrics(records: DataFrame) -> DataFrame:
     """Counts over the trades of shadow records."""
     rows = records.select("account_id", F.explode("trades").alias("t"))
     return rows.agg(F.countDistinct("account_id").alias("n_accounts"), F.count(F.lit(1)).alias("n_trades"), F.count_if(F.col("t.side") == "buy").alias("n_buys"), F.sum("t.notional").alias("notional"))
+
+
+def validation_report(metrics: DataFrame, criteria: dict[str, list[tuple[str, str, float]]], keys: list[str]) -> DataFrame:
+    """A row per key and stage: its gates in order, whether all pass, and a SHA-256 of the row's canonical JSON.
+
+    metrics: a row per key with the figures that the criteria name. A null figure fails. Passing makes a stage
+    eligible; it never approves it.
+    """
+    from functools import reduce
+
+    stages = [gates(metrics, rules, keys).withColumn("stage", F.lit(stage)) for stage, rules in criteria.items()]
+    rows = reduce(DataFrame.unionByName, stages)
+    checks = F.array_sort(F.collect_list(F.struct("gate", F.round("actual", 6).alias("actual"), "operator", "threshold", "passed"))).alias("checks")
+    out = rows.groupBy(*keys, "stage").agg(checks, F.bool_and("passed").alias("is_eligible"), F.count_if(~F.col("passed")).alias("n_failed"))
+    return out.withColumn("report_digest", F.sha2(F.to_json(F.struct(*keys, "stage", "checks", "is_eligible")), 256))

@@ -62,7 +62,7 @@ def backtest(preds: DataFrame, k: int | None = None, fraction: float | None = No
 
 
 def risk(returns: DataFrame, per_year: float, split: bool = True) -> DataFrame:
-    """Per model (and split): volatility, Sharpe, largest drawdown, extremes, hit rate, turnover and cost."""
+    """Per model (and split): volatility, Sharpe, largest drawdown, extremes, hit rate, turnover, cost and plausibility."""
     keys = ["model", "split_id"] if split else ["model"]
     upto = Window.partitionBy(*keys).orderBy("split_id", "date").rowsBetween(Window.unboundedPreceding, 0)
     wealth = returns.withColumn("_w", F.product(1 + F.col("net_return")).over(upto))
@@ -71,6 +71,9 @@ def risk(returns: DataFrame, per_year: float, split: bool = True) -> DataFrame:
     return wealth.groupBy(*keys).agg(
         n.alias("n_periods"),
         (F.product(1 + F.col("net_return")) - 1).alias("cumulative_return"),
+        (F.product(1 + F.col("net_return")) - F.product(1 + F.col("benchmark_return"))).alias("cumulative_net_excess_return"),
+        F.count_if(F.abs("net_return") > 1).alias("n_over_100pct"),
+        F.when(F.count_if(F.abs("net_return") > 1) > 0, "invalid_extreme_period_return").otherwise("passed").alias("plausibility_status"),
         F.when(n >= 2, sd * per_year**0.5).alias("volatility"),
         F.when((n >= 2) & (sd > 1e-12), F.avg("net_return") / sd * per_year**0.5).alias("sharpe"),
         F.min("_d").alias("max_drawdown"),

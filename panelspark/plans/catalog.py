@@ -105,9 +105,9 @@ def w3_volume(spark, d):
 
 
 @query(
-    "symbol date excess_return_1d:r excess_return_5d:r corr_20d:r beta_20d:r",
+    "symbol date excess_return_1d:r excess_return_5d:r relative_momentum_20d:r corr_20d:r beta_20d:r",
     BENCHED,
-    f"SELECT symbol, date, return_1d - bench_return_1d AS excess_return_1d, return_5d - bench_return_5d AS excess_return_5d, CASE WHEN symbol <> 'BENCH' THEN {rcorr('return_1d', 'bench_return_1d', 20)} ELSE 1 END AS corr_20d, ({pair('covar_pop', 'return_1d', 'bench_return_1d', 20)}) / nullif({roll('var_pop', 'bench_return_1d', 20)}, 0) AS beta_20d FROM benched",
+    f"SELECT symbol, date, return_1d - bench_return_1d AS excess_return_1d, return_5d - bench_return_5d AS excess_return_5d, return_20d - bench_return_20d AS relative_momentum_20d, CASE WHEN symbol <> 'BENCH' THEN {rcorr('return_1d', 'bench_return_1d', 20)} ELSE 1 END AS corr_20d, ({pair('covar_pop', 'return_1d', 'bench_return_1d', 20)}) / nullif({roll('var_pop', 'bench_return_1d', 20)}, 0) AS beta_20d FROM benched",
 )
 def w4_w6_benchmark_relative(spark, d):
     out = features.add_benchmark_relative(v.returns(spark, d), v.BENCH, (20,), (1, 5, 20))
@@ -135,9 +135,9 @@ def w7_w13_market_signals(spark, d):
     return out.where(F.col("symbol") != v.BENCH).withColumn("illiquidity_scaled", F.col("illiquidity_20d") * 1e6)
 
 
-@query("date s1:r s1_diff_5:r s1_growth_21:r s2_diff_5:r s2_growth_21:r", v.MACRO_WIDE, "SELECT *, s1 - lag(s1, 5) OVER (ORDER BY date) AS s1_diff_5, s1 / nullif(lag(s1, 21) OVER (ORDER BY date), 0) - 1 AS s1_growth_21, s2 - lag(s2, 5) OVER (ORDER BY date) AS s2_diff_5, s2 / nullif(lag(s2, 21) OVER (ORDER BY date), 0) - 1 AS s2_growth_21 FROM wide")
+@query("date s1:r s1_diff_5:r s1_growth_21:r s2_diff_5:r s2_growth_21:r yield_spread:r yield_spread_diff_5:r", v.MACRO_WIDE, "SELECT *, s1 - s2 AS yield_spread, (s1 - s2) - lag(s1 - s2, 5) OVER (ORDER BY date) AS yield_spread_diff_5, s1 - lag(s1, 5) OVER (ORDER BY date) AS s1_diff_5, s1 / nullif(lag(s1, 21) OVER (ORDER BY date), 0) - 1 AS s1_growth_21, s2 - lag(s2, 5) OVER (ORDER BY date) AS s2_diff_5, s2 / nullif(lag(s2, 21) OVER (ORDER BY date), 0) - 1 AS s2_growth_21 FROM wide")
 def w14_macro_features(spark, d):
-    return features.add_macro(macro(spark, d), ["s1", "s2"], (5,), (21,))
+    return features.add_macro(macro(spark, d), ["s1", "s2"], (5,), (21,), ("s1", "s2"))
 
 
 def macro(spark, d):
@@ -152,10 +152,12 @@ def w15_lagged_features(spark, d):
 
 REGIMES = v.RETURNS + ", " + v.MACRO_WIDE.replace("macro AS", "macro AS", 1) + """, weekly AS (SELECT CAST(date_trunc('week', date) AS DATE) AS date, avg(s1) AS long_rate, avg(s5) AS short_rate FROM wide GROUP BY 1),
 vol AS (SELECT date, CASE WHEN count(return_1d) OVER w >= 20 THEN stddev_samp(return_1d) OVER w * sqrt(252) END AS volatility FROM returns WHERE symbol = 'BENCH' WINDOW w AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
-vol2 AS (SELECT *, CASE WHEN count(volatility) OVER w >= 20 THEN quantile_cont(volatility, 0.5) OVER w END AS usual FROM vol WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-reg0 AS (SELECT vol2.*, long_rate - lag(long_rate, 20) OVER (ORDER BY vol2.date) AS rate_change, long_rate - short_rate AS curve FROM vol2 LEFT JOIN weekly USING (date)),
-regimes AS (SELECT date, CASE WHEN volatility > usual THEN 'high' WHEN volatility IS NOT NULL AND usual IS NOT NULL THEN 'low' END AS volatility_regime,
-    CASE WHEN rate_change > 0 THEN 'rising' WHEN rate_change IS NOT NULL THEN 'falling' END AS rate_regime, CASE WHEN curve < 0 THEN 'inverted' WHEN curve IS NOT NULL THEN 'normal' END AS curve_regime FROM reg0)"""
+vol2 AS (SELECT *, CASE WHEN count(volatility) OVER w >= 20 THEN quantile_cont(volatility, 0.5) OVER w END AS volatility_threshold FROM vol WINDOW w AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+reg0 AS (SELECT vol2.*, volatility - volatility_threshold AS vd, coalesce((long_rate + short_rate) / 2, long_rate, short_rate) AS rate_level, long_rate - short_rate AS yield_spread FROM vol2 LEFT JOIN weekly USING (date)),
+reg1 AS (SELECT *, rate_level - lag(rate_level, 20) OVER (ORDER BY date) AS rate_change, yield_spread - lag(yield_spread, 20) OVER (ORDER BY date) AS spread_change FROM reg0),
+regimes AS (SELECT date, volatility, volatility_threshold, CASE WHEN vd > 0 THEN 'high_volatility' WHEN vd < 0 THEN 'low_volatility' WHEN vd = 0 THEN 'normal_volatility' END AS volatility_regime, rate_level, rate_change,
+    CASE WHEN rate_change > 0 THEN 'rising_rates' WHEN rate_change < 0 THEN 'falling_rates' WHEN rate_change = 0 THEN 'flat_rates' END AS rate_regime, yield_spread, CASE WHEN yield_spread > 0 THEN 'normal_curve' WHEN yield_spread < 0 THEN 'inverted_curve' WHEN yield_spread = 0 THEN 'flat_curve' END AS curve_regime,
+    spread_change, CASE WHEN spread_change > 0 THEN 'steepening_curve' WHEN spread_change < 0 THEN 'flattening_curve' WHEN spread_change = 0 THEN 'unchanged_curve' END AS curve_trend FROM reg1)"""
 
 
 def regimes(spark, d):
@@ -163,7 +165,7 @@ def regimes(spark, d):
     return features.market_regimes(v.returns(spark, d).where(F.col("symbol") == v.BENCH), weekly)
 
 
-@query("date volatility_regime rate_regime curve_regime", REGIMES, "SELECT * FROM regimes")
+@query("date volatility:r volatility_threshold:r volatility_regime rate_level:r rate_change:r rate_regime yield_spread:r curve_regime spread_change:r curve_trend", REGIMES, "SELECT * FROM regimes")
 def w20_market_regimes(spark, d):
     return regimes(spark, d)
 
@@ -244,18 +246,25 @@ def c8_residual_target_many(spark, d):
     return labels.residualize(rows.select("symbol", "date", "return_1d", "return_5d", "sector", "forward_return"), ["return_1d", "return_5d"], ["sector"], "forward_return")
 
 
-DIAG = LABELS + """, t0 AS (SELECT symbol, date, year(date) AS period, unnest(['forward_return', 'forward_excess_return']) AS target, unnest([round(forward_return, 6), round(forward_excess_return, 6)]) AS value FROM labels_table WHERE label_horizon_days = 1 AND symbol <> 'BENCH'),
-t1 AS (SELECT *, CASE WHEN value IS NOT NULL THEN lag(value) OVER w END AS b, CASE WHEN value IS NOT NULL THEN lag(value, 4) OVER w END AS p FROM t0 WINDOW w AS (PARTITION BY target, period, symbol, value IS NOT NULL ORDER BY date)),
-diag AS (SELECT target, period, count(*) AS n_rows, avg(CASE WHEN value IS NULL THEN 1.0::DOUBLE ELSE 0 END) AS missing_rate, avg(CASE WHEN value > 0 THEN 1.0::DOUBLE WHEN value IS NOT NULL THEN 0 END) AS positive_rate,
-    avg(CASE WHEN b IS NOT NULL THEN CASE WHEN sign(value) <> sign(b) THEN 1.0::DOUBLE ELSE 0 END END) AS turnover, """ + scorr("value", "b") + " AS autocorrelation, " + scorr("value", "p") + " AS purged_autocorrelation, avg(abs(value)) AS magnitude FROM t1 GROUP BY 1, 2)"
+TARGETS = {"outperform": "binary", "neutral_outperform": "neutral_zone", "forward_excess_return": "continuous", "normalized_excess_return": "volatility_normalized", "excess_rank": "cross_sectional_rank", "sector_relative_return": "sector_relative", "sector_excess_rank": "sector_rank"}
+DIAG_KEYS = "target, target_family, label_horizon_days, period"
+DIAG = LABELS + f""", labeled AS (SELECT *, forward_excess_return / nullif(vol * sqrt(label_horizon_days), 0) AS normalized_excess_return, {prank('forward_excess_return', 'label_horizon_days, date')} AS excess_rank, CASE WHEN forward_excess_return > 0 THEN 1 WHEN forward_excess_return IS NOT NULL THEN 0 END AS outperform,
+    CASE WHEN forward_excess_return > 0.01::DOUBLE THEN 1 WHEN forward_excess_return < -0.01::DOUBLE THEN 0 END AS neutral_outperform, forward_return - avg(forward_return) OVER (PARTITION BY label_horizon_days, date, sector) AS sector_relative_return, {prank('forward_excess_return', 'label_horizon_days, date, sector')} AS sector_excess_rank FROM labels_table),
+t0 AS (SELECT symbol, date, label_horizon_days, year(date) AS period, round(forward_excess_return, 6) AS economic, unnest([{', '.join(f"'{t}'" for t in TARGETS)}]) AS target, unnest([{', '.join(f"'{f}'" for f in TARGETS.values())}]) AS target_family, unnest([{', '.join(f"round({t}::DOUBLE, 6)" for t in TARGETS)}]) AS value FROM labeled WHERE symbol <> 'BENCH'),
+t1 AS (SELECT *, CASE WHEN value IS NOT NULL THEN lag(value) OVER w END AS b, CASE WHEN value IS NOT NULL THEN CASE label_horizon_days WHEN 1 THEN lag(value, 1) OVER w ELSE lag(value, 4) OVER w END END AS p FROM t0 WINDOW w AS (PARTITION BY {DIAG_KEYS}, symbol, value IS NOT NULL ORDER BY date)),
+tau AS (SELECT {DIAG_KEYS}, avg(own) AS autocorrelation FROM (SELECT {DIAG_KEYS}, symbol, CASE WHEN count(value) >= 3 THEN {scorr('value', 'b')} END AS own FROM t1 GROUP BY ALL) GROUP BY ALL),
+tr AS (SELECT *, {rank('p', DIAG_KEYS + ', date')} AS x, {rank('economic', DIAG_KEYS + ', date')} AS y FROM t1 WHERE p IS NOT NULL AND economic IS NOT NULL),
+tic AS (SELECT {DIAG_KEYS}, avg(ic) AS rank_ic FROM (SELECT {DIAG_KEYS}, date, {scorr('x', 'y')} AS ic FROM tr GROUP BY ALL) GROUP BY ALL),
+tag AS (SELECT {DIAG_KEYS}, count(value) AS n_rows, 1 - count(value) / count(*)::DOUBLE AS missing_rate, CASE WHEN target_family IN ('binary', 'neutral_zone') THEN avg(value) END AS positive_rate, avg(abs(value - b)) AS turnover, avg(CASE WHEN value IS NOT NULL THEN abs(economic) END) AS magnitude FROM t1 GROUP BY {DIAG_KEYS} HAVING count(value) > 0),
+diag AS (SELECT * FROM tag JOIN tau USING ({DIAG_KEYS}) LEFT JOIN tic USING ({DIAG_KEYS}))"""
 
 
 def diagnostics(spark, d):
-    rows = label_rows(spark, d).where(f"label_horizon_days = 1 AND symbol <> '{v.BENCH}'").withColumns({c: F.round(c, 6) for c in ("forward_return", "forward_excess_return")})
-    return labels.target_diagnostics(rows, ["forward_return", "forward_excess_return"], 4)
+    rows = label_rows(spark, d).where(f"symbol <> '{v.BENCH}'").withColumns({t: F.round(F.col(t).cast("double"), 6) for t in TARGETS})
+    return labels.target_diagnostics(rows, TARGETS, v.HORIZONS)
 
 
-@query("target period:i n_rows:i missing_rate:r positive_rate:r turnover:r autocorrelation:r purged_autocorrelation:r magnitude:r", DIAG, "SELECT * FROM diag")
+@query("target target_family label_horizon_days:i period:i n_rows:i missing_rate:r positive_rate:r turnover:r autocorrelation:r rank_ic:r magnitude:r", DIAG, "SELECT * FROM diag")
 def a6_target_diagnostics(spark, d):
     return diagnostics(spark, d)
 
@@ -296,9 +305,10 @@ def folds(spark, d):
     return splits.walk_forward(v.panel(spark, d), 104, 26, 26, 2)
 
 
-FOLDS = v.PANEL + """, di AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)),
+FOLD_CTES = """di AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel)),
 st AS (SELECT i AS s, row_number() OVER (ORDER BY i) - 1 AS split_id FROM di WHERE i % 26 = 0 AND i + 132 <= n),
 folds AS (SELECT split_id, max(CASE WHEN i = s THEN date END) AS train_start, max(CASE WHEN i = s + 103 THEN date END) AS train_end, max(CASE WHEN i = s + 106 THEN date END) AS validation_start, max(CASE WHEN i = s + 131 THEN date END) AS validation_end FROM st JOIN di ON i IN (s, s + 103, s + 106, s + 131) GROUP BY split_id)"""
+FOLDS = v.PANEL + ", " + FOLD_CTES
 
 
 @query("split_id:i train_start train_end validation_start validation_end", FOLDS, "SELECT * FROM folds")

@@ -64,11 +64,6 @@ def a10_eligible_regimes(spark, d):
     return dataset.eligible_regimes(catalog.regimes(spark, d), "volatility_regime", 10)
 
 
-@query("role target score:r margin:r is_stable place:i decision", catalog.DIAG + ", ro AS (SELECT *, CASE WHEN dense_rank() OVER (ORDER BY period DESC) = 1 THEN 'outer' WHEN dense_rank() OVER (ORDER BY period DESC) <= 4 THEN 'inner' ELSE 'calibration' END AS role FROM diag), sc AS (SELECT role, target, avg(coalesce(autocorrelation, 0) - turnover) AS score, max(missing_rate) AS missing_rate, avg(turnover) AS turnover FROM ro GROUP BY 1, 2), st2 AS (SELECT s.*, s.score - b.score AS margin, s.missing_rate <= 0.2::DOUBLE AND s.turnover <= 0.6::DOUBLE AS is_stable, row_number() OVER (PARTITION BY s.role ORDER BY round(s.score, 9) DESC, s.target) AS place FROM sc s LEFT JOIN sc b ON b.role = s.role AND b.target = 'forward_return')", "SELECT *, CASE WHEN place = 1 AND is_stable THEN 'primary' WHEN is_stable THEN 'secondary' ELSE 'rejected' END AS decision FROM st2")
-def a9_target_selection(spark, d):
-    return dataset.select_targets(labels.nested_roles(catalog.diagnostics(spark, d), 3), "forward_return")
-
-
 @query("split_id:i symbol date momentum:r random:r sign:r", v.PREDS, "SELECT split_id, symbol, date, max(CASE WHEN model = 'momentum' THEN y_score END) AS momentum, max(CASE WHEN model = 'random' THEN y_score END) AS random, max(CASE WHEN model = 'sign' THEN y_score END) AS sign FROM preds GROUP BY 1, 2, 3")
 def a12_wide_predictions(spark, d):
     from panelspark.operators import ensembles
@@ -98,11 +93,6 @@ def v1_against_naive(spark, d):
     return evidence.against_naive(evaluation.split_ic(spark, d), ["random", "sign"], "rank_ic")
 
 
-@query("model best_single mean_difference:r win_share:r verdict", SPLIT_IC + ", bs AS (SELECT arg_max(model, round(m, 9)) AS best_single FROM (SELECT model, avg(rank_ic) AS m FROM split_ic WHERE model <> 'momentum' GROUP BY 1)), rw AS (SELECT a.model, best_single, a.rank_ic - b.rank_ic AS g FROM split_ic a JOIN split_ic b USING (split_id) JOIN bs ON b.model = best_single WHERE a.model = 'momentum')", "SELECT model, best_single, avg(g) AS mean_difference, avg(CASE WHEN g > 0 THEN 1.0::DOUBLE ELSE 0 END) AS win_share, CASE WHEN avg(g) > 0 AND avg(CASE WHEN g > 0 THEN 1.0::DOUBLE ELSE 0 END) > 0.5 THEN 'improves' ELSE 'no_improvement' END AS verdict FROM rw GROUP BY 1, 2")
-def e7_ensemble_evidence(spark, d):
-    return evidence.compare_ensembles(evaluation.split_ic(spark, d), ["momentum"], "rank_ic")
-
-
 @query("model family rank_ic:r is_missing", SPLIT_IC + ", sm AS (SELECT model, avg(rank_ic) AS rank_ic FROM split_ic GROUP BY 1), ex(model, family) AS (VALUES ('momentum', 'rank'), ('random', 'naive'), ('forest', 'tree'))", "SELECT ex.model, family, rank_ic, rank_ic IS NULL AS is_missing FROM ex LEFT JOIN sm USING (model)")
 def v4_v5_baseline_comparison(spark, d):
     s = evaluation.split_ic(spark, d).groupBy("model").agg(F.avg("rank_ic").alias("rank_ic"))

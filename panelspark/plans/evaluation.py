@@ -68,10 +68,10 @@ def m6_date_block_auc(spark, d):
     return metrics.date_block_auc(v.binary_preds(spark, d), 50)
 
 
-@query("regime_type regime model n_rows:i accuracy:r roc_auc:r brier:r", catalog.REGIMES.replace("WITH ", "") + ", " + v.BINARY + """, rg AS (SELECT b.*, unnest(['volatility_regime', 'rate_regime']) AS regime_type, unnest([volatility_regime, rate_regime]) AS regime FROM binary_preds b JOIN regimes USING (date)), rg2 AS (SELECT * FROM rg WHERE regime IS NOT NULL)""",
+@query("regime_type regime model n_rows:i accuracy:r roc_auc:r brier:r", catalog.REGIMES + ", " + v.BINARY + """, rg AS (SELECT b.*, unnest(['volatility_regime', 'rate_regime', 'curve_regime']) AS regime_type, unnest([volatility_regime, rate_regime, curve_regime]) AS regime FROM binary_preds b JOIN regimes USING (date)), rg2 AS (SELECT * FROM rg WHERE regime IS NOT NULL)""",
        f"SELECT c.*, roc_auc FROM (SELECT regime_type, regime, model, {CLASSIFY} FROM rg2 GROUP BY 1, 2, 3 HAVING count(*) >= 50) c JOIN ({auc_sql('regime_type, regime, model', 'rg2')}) USING (regime_type, regime, model)")
 def m9_metrics_by_regime(spark, d):
-    return metrics.by_regime(v.binary_preds(spark, d), regimes(spark, d), ["volatility_regime", "rate_regime"])
+    return metrics.by_regime(v.binary_preds(spark, d), regimes(spark, d), ["volatility_regime", "rate_regime", "curve_regime"])
 
 
 @query("left right abs_corr:r".replace("left", "a").replace("right", "b"), v.RETURNS, "SELECT 'return_1d' AS a, 'return_5d' AS b, coalesce(abs(corr(return_1d, return_5d)), 0) AS abs_corr FROM returns UNION ALL SELECT 'return_1d', 'volume', coalesce(abs(corr(return_1d, volume)), 0) FROM returns UNION ALL SELECT 'return_5d', 'volume', coalesce(abs(corr(return_5d, volume)), 0) FROM returns")
@@ -101,14 +101,14 @@ def m14_bootstrap_summary(spark, d):
     return metrics.bootstrap_summary(split_ic(spark, d), ["model"], "rank_ic", "split_id")
 
 
-@query(
-    "model observed:r p_value:r p_holm:r",
-    BY_DATE + f""", dv AS (SELECT model, date, round(rank_ic, 6) AS ic FROM ranking WHERE rank_ic IS NOT NULL), db AS (SELECT model, (row_number() OVER (PARTITION BY model ORDER BY date) - 1) // 5 AS b, ic FROM dv),
+PERMUTED = f"""dv AS (SELECT model, date, round(rank_ic, 6) AS ic FROM ranking WHERE rank_ic IS NOT NULL), db AS (SELECT model, (row_number() OVER (PARTITION BY model ORDER BY date) - 1) // 5 AS b, ic FROM dv),
     bs AS (SELECT model, b, sum(ic) AS s, count(*) AS c FROM db GROUP BY 1, 2), sg AS (SELECT model, s, c, draw, 1 - 2 * {draw_sql('2', '42', 'draw', 'b')} AS sign FROM (SELECT *, unnest(range(1, 201)) AS draw FROM bs)),
     nl AS (SELECT model, draw, sum(s * sign) / sum(c) AS m FROM sg GROUP BY 1, 2), ob AS (SELECT model, avg(ic) AS observed FROM dv GROUP BY 1),
-    pv AS (SELECT model, any_value(observed) AS observed, (count(*) FILTER (WHERE m >= observed - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM nl JOIN ob USING (model) GROUP BY 1)""",
-    "SELECT model, observed, p_value, max(least(1.0::DOUBLE, p_value * (n - rn + 1))) OVER (ORDER BY p_value, model) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p_value, model) AS rn, count(*) OVER () AS n FROM pv)",
-)
+    pv AS (SELECT model, any_value(observed) AS observed, (count(*) FILTER (WHERE m >= observed - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM nl JOIN ob USING (model) GROUP BY 1)"""
+PERMUTED_P = "SELECT model, observed, p_value, max(least(1.0::DOUBLE, p_value * (n - rn + 1))) OVER (ORDER BY p_value, model) AS p_holm FROM (SELECT *, row_number() OVER (ORDER BY p_value, model) AS rn, count(*) OVER () AS n FROM pv)"
+
+
+@query("model observed:r p_value:r p_holm:r", BY_DATE + ", " + PERMUTED, PERMUTED_P)
 def m17_m18_rank_ic_permutation(spark, d):
     daily = metrics.ranking_by_date(v.preds(spark, d)).where("rank_ic IS NOT NULL").withColumn("rank_ic", F.round("rank_ic", 6))
     return metrics.holm(metrics.sign_permutation(daily, ["model"], "rank_ic", "date", 200, 42, 5, two_sided=False))
@@ -149,13 +149,14 @@ def j15_j16_paired_metrics(spark, d):
 
 # --- portfolios
 
-HELD = """cal AS (SELECT model, date, split_id, n // 4 AS period FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY date, split_id) - 1 AS n FROM (SELECT DISTINCT model, date, split_id FROM preds)) WHERE n % 4 = 0),
-chosen AS (SELECT p.*, period, row_number() OVER (PARTITION BY model, split_id, date ORDER BY y_score DESC, symbol) AS rn, greatest(1, ceil(count(*) OVER (PARTITION BY model, split_id, date) * 0.2::DOUBLE)) AS k FROM preds p JOIN cal USING (model, date, split_id)),
-held AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY model, period) AS weight FROM chosen WHERE rn <= k),
-mv AS (SELECT coalesce(a.model, b.model) AS model, coalesce(a.period, b.period) AS period, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) / 2 AS t FROM held a FULL JOIN (SELECT model, period + 1 AS period, symbol, weight FROM held) b ON a.model = b.model AND a.period = b.period AND a.symbol = b.symbol GROUP BY 1, 2),
+CALENDAR = """cal AS (SELECT model, date, split_id, n // 4 AS period FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY date, split_id) - 1 AS n FROM (SELECT DISTINCT model, date, split_id FROM preds)) WHERE n % 4 = 0)"""
+EQUAL = """chosen AS (SELECT p.*, period, row_number() OVER (PARTITION BY model, split_id, date ORDER BY y_score DESC, symbol) AS rn, greatest(1, ceil(count(*) OVER (PARTITION BY model, split_id, date) * 0.2::DOUBLE)) AS k FROM preds p JOIN cal USING (model, date, split_id)),
+held AS (SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY model, period) AS weight FROM chosen WHERE rn <= k)"""
+TRADED = """mv AS (SELECT coalesce(a.model, b.model) AS model, coalesce(a.period, b.period) AS period, sum(abs(coalesce(a.weight, 0) - coalesce(b.weight, 0))) / 2 AS t FROM held a FULL JOIN (SELECT model, period + 1 AS period, symbol, weight FROM held) b ON a.model = b.model AND a.period = b.period AND a.symbol = b.symbol GROUP BY 1, 2),
 gr AS (SELECT model, split_id, date, period, count(*) AS n_names, sum(weight * forward_return) AS gross_return, sum(weight * (forward_return - forward_excess_return)) AS benchmark_return FROM held GROUP BY 1, 2, 3, 4),
 bt AS (SELECT gr.*, CASE WHEN period = 0 THEN 1 ELSE t END AS turnover, (CASE WHEN period = 0 THEN 1 ELSE t END) * 10 / 10000.0::DOUBLE AS cost FROM gr JOIN mv USING (model, period)),
 bt2 AS (SELECT *, gross_return - cost AS net_return, gross_return - cost - benchmark_return AS net_excess_return FROM bt)"""
+HELD = ",\n".join((CALENDAR, EQUAL, TRADED))
 
 
 def backtest(spark, d):
@@ -167,13 +168,13 @@ def pf1_pf6_backtest(spark, d):
     return backtest(spark, d)
 
 
-@query("model n_periods:i volatility:r sharpe:r max_drawdown:r best:r worst:r hit_rate:r avg_turnover:r total_cost:r", v.PREDS + ", " + HELD + ", wl AS (SELECT *, product(1 + net_return) OVER (PARTITION BY model ORDER BY split_id, date) AS w FROM bt2), dd AS (SELECT *, w / max(w) OVER (PARTITION BY model ORDER BY split_id, date) - 1 AS d FROM wl)",
-       "SELECT model, count(*) AS n_periods, stddev_samp(net_return) * sqrt(13) AS volatility, avg(net_return) / stddev_samp(net_return) * sqrt(13) AS sharpe, min(d) AS max_drawdown, max(net_return) AS best, min(net_return) AS worst, avg(CASE WHEN net_return > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate, avg(turnover) AS avg_turnover, sum(cost) AS total_cost FROM dd GROUP BY model")
+@query("model n_periods:i volatility:r sharpe:r max_drawdown:r best:r worst:r hit_rate:r avg_turnover:r total_cost:r cumulative_net_excess_return:r n_over_100pct:i plausibility_status", v.PREDS + ", " + HELD + ", wl AS (SELECT *, product(1 + net_return) OVER (PARTITION BY model ORDER BY split_id, date) AS w FROM bt2), dd AS (SELECT *, w / max(w) OVER (PARTITION BY model ORDER BY split_id, date) - 1 AS d FROM wl)",
+       "SELECT model, count(*) AS n_periods, stddev_samp(net_return) * sqrt(13) AS volatility, avg(net_return) / stddev_samp(net_return) * sqrt(13) AS sharpe, min(d) AS max_drawdown, max(net_return) AS best, min(net_return) AS worst, avg(CASE WHEN net_return > 0 THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate, avg(turnover) AS avg_turnover, sum(cost) AS total_cost, product(1 + net_return) - product(1 + benchmark_return) AS cumulative_net_excess_return, count(*) FILTER (WHERE abs(net_return) > 1) AS n_over_100pct, CASE WHEN count(*) FILTER (WHERE abs(net_return) > 1) > 0 THEN 'invalid_extreme_period_return' ELSE 'passed' END AS plausibility_status FROM dd GROUP BY model")
 def pf7_risk(spark, d):
     return portfolio.risk(backtest(spark, d), 13.0, split=False)
 
 
-@query("model period:i symbol weight:r", v.PREDS + ", " + HELD.split("held AS")[0] + "sel AS (SELECT p.*, period, row_number() OVER (PARTITION BY model, split_id, date, sector ORDER BY y_score DESC, symbol) AS rn, greatest(1, ceil(count(*) OVER (PARTITION BY model, split_id, date, sector) * 0.2::DOUBLE)) AS k FROM preds p JOIN cal USING (model, date, split_id)), hs AS (SELECT * FROM sel WHERE rn <= k), ns AS (SELECT model, period, count(DISTINCT sector) AS s FROM hs GROUP BY 1, 2)",
+@query("model period:i symbol weight:r", v.PREDS + ", " + CALENDAR + ", sel AS (SELECT p.*, period, row_number() OVER (PARTITION BY model, split_id, date, sector ORDER BY y_score DESC, symbol) AS rn, greatest(1, ceil(count(*) OVER (PARTITION BY model, split_id, date, sector) * 0.2::DOUBLE)) AS k FROM preds p JOIN cal USING (model, date, split_id)), hs AS (SELECT * FROM sel WHERE rn <= k), ns AS (SELECT model, period, count(DISTINCT sector) AS s FROM hs GROUP BY 1, 2)",
        "SELECT model, period, symbol, 1.0::DOUBLE / s / count(*) OVER (PARTITION BY model, period, sector) AS weight FROM hs JOIN ns USING (model, period)")
 def k2_pf3_sector_weights(spark, d):
     p = v.preds(spark, d)
@@ -337,27 +338,6 @@ def au5_redundant_features(spark, d):
     return audit.redundancy(v.returns(spark, d), ["return_5d", "return_10d"], 0.0).withColumnsRenamed({"left": "a", "right": "b"})
 
 
-@query("case_name rank_ic:r", AUD + f""", pr AS (SELECT symbol, date, fr, {prank('return_1d', 'date')} AS a, {prank('return_5d', 'date')} AS b, {prank('volume', 'date')} AS c FROM aud), ca AS (SELECT date, fr,
-    unnest(['all', 'only_short', 'only_size', 'without_short', 'without_size']) AS case_name, unnest([(coalesce(a * -0.5::DOUBLE, 0) + coalesce(b * 0.2::DOUBLE, 0) + coalesce(c * 0.3::DOUBLE, 0)) / 1.0::DOUBLE, (coalesce(a * -0.5::DOUBLE, 0) + coalesce(b * 0.2::DOUBLE, 0)) / 0.7::DOUBLE,
-    coalesce(c * 0.3::DOUBLE, 0) / 0.3::DOUBLE, coalesce(c * 0.3::DOUBLE, 0) / 0.3::DOUBLE, (coalesce(a * -0.5::DOUBLE, 0) + coalesce(b * 0.2::DOUBLE, 0)) / 0.7::DOUBLE]) AS score FROM pr WHERE fr IS NOT NULL),
-    ra AS (SELECT *, {rank('score', 'case_name, date')} AS x, {rank('fr', 'case_name, date')} AS y FROM ca), dd AS (SELECT case_name, date, {scorr('x', 'y', 3)} AS ic FROM ra GROUP BY 1, 2)""", "SELECT case_name, avg(ic) AS rank_ic FROM dd GROUP BY 1")
-def au6_family_ablation(spark, d):
-    weights = {"return_1d": ("short", -0.5), "return_5d": ("short", 0.2), "volume": ("size", 0.3)}
-    return audit.family_ablation(audited(spark, d), weights, "fr").withColumnRenamed("case", "case_name")
-
-
-@query("feature exposure_range:r n_groups:i", v.RETURNS + f", lg AS (SELECT {v.SECTOR} AS sector, unnest(['return_1d', 'volume']) AS feature, unnest([return_1d, volume]) AS value FROM returns), m AS (SELECT feature, sector, avg(value) AS m FROM lg WHERE sector IS NOT NULL GROUP BY 1, 2)", "SELECT feature, max(m) - min(m) AS exposure_range, count(*) AS n_groups FROM m GROUP BY 1")
-def au7_feature_exposure(spark, d):
-    return audit.exposure(v.returns(spark, d).withColumn("sector", v.sector()), ["return_1d", "volume"], "sector")
-
-
-@query("feature decision reason")
-def au8_au9_feature_decisions(spark, d):
-    rows = audited(spark, d).withColumn("up", (F.col("fr") > 0).cast("int"))
-    names = ["return_1d", "return_5d", "volume"]
-    return audit.decisions(audit.quality(rows, names, catalog.folds(spark, d)), audit.stability(audit.predictive(rows, names, "fr", "up")))
-
-
 @query("feature score:r sign:i", AUD + f""", lg AS (SELECT date, fr, unnest(['return_1d', 'return_5d', 'volume']) AS feature, unnest([return_1d, return_5d, volume]) AS value FROM aud), cv AS (SELECT feature, avg(CASE WHEN value IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END) AS coverage FROM lg GROUP BY 1),
     dy AS (SELECT * FROM (SELECT feature, date, {scorr('value', 'fr', 3)} AS d FROM lg GROUP BY 1, 2) WHERE d IS NOT NULL), md AS (SELECT feature, median(d) AS m FROM dy GROUP BY 1)""", "SELECT feature, abs(any_value(m)) * avg(CASE WHEN sign(d) = sign(m) THEN 1.0::DOUBLE ELSE 0 END) * any_value(coverage) AS score, CAST(sign(any_value(m)) AS INT) AS sign FROM dy JOIN md USING (feature) JOIN cv USING (feature) GROUP BY 1")
 def au10_au12_daily_profile(spark, d):
@@ -559,28 +539,12 @@ def v3_composite_rank(spark, d):
     return evidence.composite_rank(s, {"rank_ic": True, "spread": True})
 
 
-@query("model passes_rank_ic passes_spread n_passed:i decision", BY_DATE + ", sm AS (SELECT model, avg(rank_ic) AS rank_ic, avg(spread) AS spread FROM ranking GROUP BY 1), fl AS (SELECT model, coalesce(rank_ic >= 0, false) AS passes_rank_ic, coalesce(spread >= 0, false) AS passes_spread FROM sm)", "SELECT *, passes_rank_ic::INT + passes_spread::INT AS n_passed, CASE passes_rank_ic::INT + passes_spread::INT WHEN 2 THEN 'promote' WHEN 1 THEN 'research' ELSE 'reject' END AS decision FROM fl")
-def v2_promotion(spark, d):
-    s = metrics.ranking_by_date(v.preds(spark, d)).groupBy("model").agg(F.avg("rank_ic").alias("rank_ic"), F.avg("spread").alias("spread"))
-    return evidence.promotion(s, {"rank_ic": (">=", 0.0), "spread": (">=", 0.0)})
-
-
-@query("mean_gain:r positive_share:r largest_share:r n_splits:i promoted", SPLIT_IC + ", g AS (SELECT a.rank_ic - b.rank_ic AS gain FROM split_ic a JOIN split_ic b USING (split_id) WHERE a.model = 'momentum' AND b.model = 'random')", "SELECT avg(gain) AS mean_gain, avg(CASE WHEN gain > 0 THEN 1.0::DOUBLE ELSE 0 END) AS positive_share, max(greatest(gain, 0)) / nullif(sum(greatest(gain, 0)), 0) AS largest_share, count(*) AS n_splits, coalesce(avg(gain) > 0 AND avg(CASE WHEN gain > 0 THEN 1.0::DOUBLE ELSE 0 END) >= 0.5 AND max(greatest(gain, 0)) / nullif(sum(greatest(gain, 0)), 0) <= 0.6, false) AS promoted FROM g")
-def v9_stability_promotion(spark, d):
-    return evidence.stability_promotion(split_ic(spark, d), "momentum", "random", "rank_ic")
-
-
 @query("regime_type regime model accuracy:r", SQL["m9_metrics_by_regime"].split("\nSELECT ", 1)[0].removeprefix("WITH ") , f"SELECT regime_type, regime, model, {CLASSIFY} FROM rg2 GROUP BY 1, 2, 3 HAVING count(*) >= 50 QUALIFY row_number() OVER (PARTITION BY regime_type, regime ORDER BY round(accuracy, 9) DESC, model) = 1")
 def v6_regime_leaders(spark, d):
-    m = metrics.by_regime(v.binary_preds(spark, d), regimes(spark, d), ["volatility_regime", "rate_regime"])
+    m = metrics.by_regime(v.binary_preds(spark, d), regimes(spark, d), ["volatility_regime", "rate_regime", "curve_regime"])
     return evidence.regime_leaders(m.withColumn("accuracy", F.round("accuracy", 9)), "accuracy")
 
 
-@query("run change_sd:r worst_rise:r first_loss:r last_loss:r n_steps:i failure_modes", v.PANEL + ", h AS (SELECT symbol AS run, date, close AS loss, close - lag(close) OVER (PARTITION BY symbol ORDER BY date) AS c FROM panel), r AS (SELECT run, stddev_pop(c) AS change_sd, max(c) AS worst_rise, arg_min(loss, date) AS first_loss, arg_max(loss, date) AS last_loss, count(*) AS n_steps FROM h GROUP BY 1)", "SELECT *, concat_ws(',', CASE WHEN last_loss >= first_loss THEN 'no_progress' END, CASE WHEN worst_rise > abs(first_loss) THEN 'spike' END, CASE WHEN n_steps < 3 THEN 'short' END) AS failure_modes FROM r")
-def v10_run_stability(spark, d):
-    return evidence.run_stability(v.panel(spark, d).select(F.col("symbol").alias("run"), F.col("date").alias("step"), F.col("close").alias("loss")))
-
-
 # --- upserts
 
 
