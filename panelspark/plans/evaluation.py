@@ -327,12 +327,6 @@ def au1_w24_feature_quality(spark, d):
     return audit.quality(v.returns(spark, d), ["close", "return_1d"], catalog.folds(spark, d))
 
 
-@query("feature folds:i median_ic:r sign_agreement:r has_evidence")
-def au4_feature_stability(spark, d):
-    rows = audited(spark, d).withColumn("up", (F.col("fr") > 0).cast("int"))
-    return audit.stability(audit.predictive(rows, ["return_1d", "return_5d", "volume"], "fr", "up"))
-
-
 @query("a b rank_corr:r", v.RETURNS + f", z AS (SELECT * FROM returns WHERE return_5d IS NOT NULL AND return_10d IS NOT NULL), y AS (SELECT {rank('return_5d', '')} AS a, {rank('return_10d', '')} AS b FROM z)", "SELECT 'return_5d' AS a, 'return_10d' AS b, corr(a, b) AS rank_corr FROM y")
 def au5_redundant_features(spark, d):
     return audit.redundancy(v.returns(spark, d), ["return_5d", "return_10d"], 0.0).withColumnsRenamed({"left": "a", "right": "b"})

@@ -124,6 +124,12 @@ stable AS (SELECT feature, count(*) AS folds, any_value(m) AS median_ic, {share(
 STABLE_FLAG = "folds >= 2 AND sign_agreement >= 0.6::DOUBLE AND abs(median_ic) >= 0.01::DOUBLE"
 
 
+@query("feature folds:i median_ic:r sign_agreement:r has_evidence", AUD + ", " + STABLE, f"SELECT *, {STABLE_FLAG} AS has_evidence FROM stable")
+def au4_feature_stability(spark, d):
+    rows = _grouped(spark, d)
+    return audit.stability(audit.predictive(rows, list(FAMILIES), "fr", "up"))
+
+
 def _redundant(a: str, b: str) -> str:
     return f"SELECT {scorr('x', 'y')} AS c, ['{a}', '{b}'] AS named FROM (SELECT {rank(a, '')} AS x, {rank(b, '')} AS y FROM (SELECT * FROM aud WHERE {a} IS NOT NULL AND {b} IS NOT NULL))"
 
