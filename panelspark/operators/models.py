@@ -162,15 +162,24 @@ def grouped_pca(train: DataFrame, df: DataFrame, groups: dict[str, Sequence[str]
     return df
 
 
-def walk_forward(rows: DataFrame, features: Sequence[str], target: str, models: dict, splits: Sequence[int]) -> DataFrame:
-    """Predictions of each model on each split's validation rows. rows: split_id, role and the columns; models: name -> fit(train, features, target)."""
+def walk_forward(rows: DataFrame, features: Sequence[str], target: str, models: dict, splits: Sequence[int], parallelism: int = 8) -> DataFrame:
+    """Predictions of each model on each split's validation rows. rows: split_id, role and the columns; models: name -> fit(train, features, target).
+
+    Fits of different splits and models don't depend on each other: `parallelism` of them run at once, as jobs of one session.
+    """
     from functools import reduce
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
 
     rows = rows.persist()
-    out = []
-    for s in splits:
+
+    def one(fold: tuple[int, str]) -> DataFrame:
+        s, name = fold
         train = rows.where((F.col("split_id") == s) & (F.col("role") == "train") & F.col(target).isNotNull())
         test = rows.where((F.col("split_id") == s) & (F.col("role") == "validation"))
-        for name, fit in models.items():
-            out.append(predict(fit(train, features, target), test).withColumn("model", F.lit(name)))
+        return predict(models[name](train, features, target), test).withColumn("model", F.lit(name))
+
+    with ThreadPool(parallelism) as pool:
+        out = pool.map(inheritable_thread_target(rows.sparkSession)(one), [(s, name) for s in splits for name in models], chunksize=1)
     return reduce(lambda a, b: a.unionByName(b), out)
