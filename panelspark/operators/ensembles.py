@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from itertools import permutations, product
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelspark.functions.expr import average_rank, percent_rank, safe_corr
 
@@ -40,61 +45,228 @@ def wide(preds: DataFrame, models: list[str]) -> DataFrame:
     return preds.groupBy(*ROW).pivot("model", models).agg(F.first("y_score"))
 
 
-def calibrate(preds: DataFrame, least: int = 50) -> DataFrame:
-    """Platt scaling learnt on earlier splits only; clipped scores where history is short or of one class.
+def _logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def _clipped(x: Column) -> Column:
+    return F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), x))
+
+
+def _split_ids(preds: DataFrame) -> list:
+    return sorted(r[0] for r in preds.select("split_id").distinct().collect())
 
-    The history of a split is reduced to sums over score bins before anything is collected in a group.
+
+def _later(preds: DataFrame, splits: list) -> Column:
+    """A row for each of the splits that come after the row's own."""
+    return F.explode(F.filter(F.array(*[F.lit(s).cast(preds.schema["split_id"].dataType) for s in splits]), lambda c: c > F.col("split_id")))
+
+
+def calibration_maps(preds: DataFrame, least: int = 20, rounds: int = 25) -> DataFrame:
+    """model, cur, a, b (a row a model and split): the logistic curve of the scores of all splits before `cur`, with a penalty of a * a / 2.
+
+    Newton's method for all models and splits at once, an aggregate a round; the driver gets a row a model and
+    split. Where history has fewer than `least` rows or one class alone, there is no map.
     """
-    import numpy as np
-    import pandas as pd
-
-    bins = preds.where("y_score IS NOT NULL").groupBy("model", "split_id", F.round("y_score", 3).alias("s")).agg(F.sum("y_true").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    now = preds.select("model", F.col("split_id").alias("cur")).distinct()
-    history = now.join(bins, "model").where("split_id < cur").groupBy("model", "cur", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-
-    def fit(g: pd.DataFrame) -> pd.DataFrame:
-        s, p, n = (g[c].to_numpy(float) for c in ("s", "p", "n"))
-        a, b = 0.0, 0.0
-        fine = n.sum() >= least and 0 < p.sum() < n.sum()
-        if fine:
-            for _ in range(30):
-                q = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-                w = n * q * (1 - q)
-                grad = np.array([(s * (n * q - p)).sum() + 1e-3 * a, (n * q - p).sum()])
-                hess = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-9]])
-                step = np.linalg.solve(hess, grad)
-                a, b = a - step[0], b - step[1]
-                if np.abs(step).max() < 1e-10:
-                    break
-        return pd.DataFrame({"model": [g["model"].iloc[0]], "split_id": [g["cur"].iloc[0]], "a": [a], "b": [b], "fitted": [bool(fine)]})
-
-    kind = preds.select("model", "split_id").schema.add("a", "double").add("b", "double").add("fitted", "boolean")
-    maps = history.groupBy("model", "cur").applyInPandas(fit, kind)
-    clipped = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), F.col("y_score")))
+    spark = preds.sparkSession
+    scores = preds.where("y_score IS NOT NULL AND y_true IS NOT NULL").groupBy("model", "split_id", "y_score").agg(F.sum(F.col("y_true").cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n")).persist()
+    history = scores.withColumn("cur", _later(scores, _split_ids(scores)))
+    kind = preds.select("model", F.col("split_id").alias("cur")).schema.add("a", "double").add("b", "double")
+    have = history.groupBy("model", "cur").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).collect()
+    at = {(r["model"], r["cur"]): (0.0, 0.0) for r in have if r["n"] >= least and 0 < r["p"] < r["n"]}
+    s, n, q = F.col("y_score"), F.col("n"), _logistic(F.col("a") * F.col("y_score") + F.col("b"))
+    gap, weight = n * q - F.col("p"), n * q * (1 - q)
+    sums = [F.sum(s * gap).alias("ga"), F.sum(gap).alias("gb"), F.sum(weight * s * s).alias("aa"), F.sum(weight * s).alias("ab"), F.sum(weight).alias("bb")]
+    for _ in range(rounds if at else 0):
+        table = spark.createDataFrame([(*k, *v) for k, v in at.items()], kind)
+        moved = 0.0
+        for r in history.join(F.broadcast(table), ["model", "cur"]).groupBy("model", "cur").agg(*sums).collect():
+            a, b = at[r["model"], r["cur"]]
+            ga, aa = r["ga"] + a, r["aa"] + 1
+            det = max(aa * r["bb"] - r["ab"] ** 2, 1e-12)
+            da, db = (r["bb"] * ga - r["ab"] * r["gb"]) / det, (aa * r["gb"] - r["ab"] * ga) / det
+            shrink = min(1.0, 10 / max(abs(da), abs(db), 1e-12))
+            at[r["model"], r["cur"]] = (a - shrink * da, b - shrink * db)
+            moved = max(moved, abs(da), abs(db))
+        if moved < 1e-8:
+            break
+    scores.unpersist()
+    return spark.createDataFrame([(*k, *v) for k, v in at.items()], kind)
+
+
+def calibrate(preds: DataFrame, least: int = 20) -> DataFrame:
+    """Adds calibrated: the score on the curve learnt from earlier splits; the clipped score where there is none."""
+    maps = calibration_maps(preds, least).withColumnRenamed("cur", "split_id")
     out = preds.join(F.broadcast(maps), ["model", "split_id"], "left")
-    return out.withColumn("calibrated", F.when(F.col("fitted"), 1 / (1 + F.exp(-(F.col("a") * F.col("y_score") + F.col("b"))))).otherwise(clipped)).drop("a", "b", "fitted")
+    return out.withColumn("calibrated", F.when(F.col("a").isNotNull(), _logistic(F.col("a") * F.col("y_score") + F.col("b"))).otherwise(_clipped(F.col("y_score")))).drop("a", "b")
+
+
+OUTCOMES = ["y_true", "forward_return", "forward_excess_return"]
+
+
+def _scores(preds: DataFrame, models: list[str]) -> DataFrame:
+    """A row a key with its outcomes and x, the scores of the models in order."""
+    pivoted = preds.groupBy(*ROW, *OUTCOMES).pivot("model", models).agg(F.first("y_score"))
+    return pivoted.select(*ROW, *OUTCOMES, F.array(*[F.col(f"`{m}`").cast("double") for m in models]).alias("x"))
+
+
+def _scaled(rows: DataFrame, maps: DataFrame | None, models: list[str], split: str) -> DataFrame:
+    """x on the curves that `split` has."""
+    if maps is None:
+        return rows
+    by_model = maps.groupBy(F.col("cur").alias(split)).agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct("a", "b")))).alias("_maps"))
+
+    def one(i: int, m: str) -> Column:
+        x, curve = F.col("x")[i], F.col("_maps")[m]
+        return F.when(curve.isNotNull(), _logistic(curve["a"] * x + curve["b"])).otherwise(F.when(x.isNotNull(), _clipped(x)))
+
+    return rows.join(F.broadcast(by_model), split, "left").withColumn("x", F.array(*[one(i, m) for i, m in enumerate(models)])).drop("_maps")
 
 
-def stack_weights(preds: DataFrame, models: list[str], steps: int = 4, dispersion: float = 0.1) -> DataFrame:
-    """Weights on a fixed simplex grid that minimise the Brier loss plus its dispersion over splits: one row a model.
+def _dot(x: str, weights: list[Column]) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(x)[i] * w for i, w in enumerate(weights)])
 
-    The grid has a size of its own; moments of the scores are aggregated first, so rows meet no grid.
+
+def _moves(w: tuple[float, ...], step: float) -> list[tuple[float, ...]]:
+    """The weights and those with up to `step`, or a quarter of it, moved from one model to another."""
+    out = [w]
+    for (i, j), most in product(permutations(range(len(w)), 2), (step, step / 4)):
+        t = min(most, w[j])
+        out.append(tuple(x + t if k == i else x - t if k == j else x for k, x in enumerate(w)))
+    return out
+
+
+def _objectives(history: DataFrame, tried: dict, task: str, turnover: float, dispersion: float) -> dict:
+    """The objective of each weight vector tried for each split: loss, its spread over earlier splits, mean change of a symbol's score."""
+    count, k = (len(x) for x in (next(iter(tried.values())), next(iter(tried.values()))[0]))
+    names = [[f"w{c}_{i}" for i in range(k)] for c in range(count)]
+    kind = history.select("cur").schema
+    for name in (n for each in names for n in each):
+        kind = kind.add(name, "double")
+    table = history.sparkSession.createDataFrame([(cur, *[x for w in ws for x in w]) for cur, ws in tried.items()], kind)
+    rows = history.join(F.broadcast(table), "cur")  # a row a split
+    score = [_dot("x", [F.col(n) for n in each]) for each in names]
+    change = [F.sum(F.abs(_dot("d", [F.col(n) for n in each]))).alias(f"t{c}") for c, each in enumerate(names)]
+    losses = [F.lit(None).cast("double").alias(f"l{c}") for c in range(count)]
+    if task == "classification":
+        y = F.col("y_true").cast("int")
+        losses = [F.sum(-F.when(y == 1, F.ln(_clipped(s))).otherwise(F.ln(1 - _clipped(s)))).alias(f"l{c}") for c, s in enumerate(score)]
+    sums = rows.groupBy("cur", "split_id").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("nd"), *change, *losses).collect()
+    changes = {}
+    for cur in tried:
+        own = [r for r in sums if r["cur"] == cur]
+        changes[cur] = [sum(r[f"t{c}"] or 0.0 for r in own) / max(sum(r["nd"] for r in own), 1) for c in range(count)]
+    if task == "classification":
+        folds = [(r["cur"], r["n"], [r[f"l{c}"] / r["n"] for c in range(count)]) for r in sums]
+    else:
+        long = rows.where("forward_excess_return IS NOT NULL").select("cur", "split_id", "forward_excess_return", F.posexplode(F.array(*score)).alias("c", "s"))
+        keys = ["cur", "split_id", "c"]
+        ranked = long.withColumns({"_a": average_rank("s", keys), "_b": average_rank("forward_excess_return", keys)})
+        each = ranked.groupBy("cur", "split_id").pivot("c", list(range(count))).agg(safe_corr("_a", "_b")).collect()
+        folds = [(r["cur"], 1, [None if r[str(c)] is None else -r[str(c)] for c in range(count)]) for r in each]
+    out = {}
+    for cur in tried:
+        out[cur] = []
+        for c in range(count):
+            values = [(n, f[c]) for at, n, f in folds if at == cur and f[c] is not None]
+            base = sum(n * v for n, v in values) / sum(n for n, _ in values) if values else 0.0
+            mean = sum(v for _, v in values) / len(values) if values else 0.0
+            spread = (sum((v - mean) ** 2 for _, v in values) / len(values)) ** 0.5 if values else 0.0
+            out[cur].append(base + dispersion * spread + turnover * changes[cur][c])
+    return out
+
+
+def _learn(rows: DataFrame, maps: DataFrame | None, models: list[str], splits: list, task: str, least: int, turnover: float, dispersion: float, finest: float = 1 / 64) -> dict:
+    """split -> (weights, source), learnt on the splits before it; the search for all of them runs in step.
+
+    From equal weights, the best shift of weight between two models is taken as long as one helps, else shifts
+    get smaller, down to a quarter of `finest`. The driver gets sums by split alone.
     """
-    from itertools import product
+    equal = tuple(1 / len(models) for _ in models)
+    known = rows.where("y_true IS NOT NULL AND NOT exists(x, v -> v IS NULL)")
+    history = _scaled(known.withColumn("cur", _later(known, splits)), maps, models, "cur")
+    before = F.lag("x").over(Window.partitionBy("cur", "symbol").orderBy("date", "split_id"))
+    history = history.withColumn("d", F.zip_with("x", before, lambda a, b: a - b)).select("cur", "split_id", "y_true", "forward_excess_return", "x", "d").persist()
+    enough = {r["cur"] for r in history.groupBy("cur").count().where(F.col("count") >= least).collect()}
+    weights, step = dict.fromkeys(enough, equal), dict.fromkeys(enough, 0.25)
+    while running := [c for c in enough if step[c] >= finest]:
+        tried = {c: _moves(weights[c], step[c]) for c in running}
+        for c, values in _objectives(history, tried, task, turnover, dispersion).items():
+            best = min(range(len(values)), key=values.__getitem__)
+            if values[best] < values[0] - 1e-9:
+                weights[c] = tried[c][best]
+            else:
+                step[c] /= 16
+    history.unpersist()
+    return {s: (weights[s], "chronological_constrained") if s in enough else (equal, "equal_weight_insufficient_history") for s in splits}
 
-    grid = [w for w in product(range(steps + 1), repeat=len(models)) if sum(w) == steps]
-    rows = preds.groupBy(*ROW).pivot("model", models).agg(F.first("y_score")).join(preds.select(*ROW, "y_true").distinct(), ROW).na.drop()
-    y = F.col("y_true").cast("double")
-    moments = [F.avg(F.col(a) * F.col(b)).alias(f"m_{i}_{j}") for i, a in enumerate(models) for j, b in enumerate(models) if i <= j] + [F.avg(F.col(a) * y).alias(f"y_{i}") for i, a in enumerate(models)] + [F.avg(y * y).alias("yy")]
-    by_split = rows.groupBy("split_id").agg(*moments)
-    spark = preds.sparkSession
-    table = spark.createDataFrame([(g, *[w / steps for w in ws]) for g, ws in enumerate(grid)], "grid int, " + ", ".join(f"w{i} double" for i in range(len(models))))
-    loss = F.col("yy")
-    for i in range(len(models)):
-        loss = loss - 2 * F.col(f"w{i}") * F.col(f"y_{i}")
-        for j in range(len(models)):
-            loss = loss + F.col(f"w{i}") * F.col(f"w{j}") * F.col(f"m_{min(i, j)}_{max(i, j)}")
-    each = by_split.crossJoin(F.broadcast(table)).withColumn("loss", loss)
-    scored = each.groupBy("grid", *[f"w{i}" for i in range(len(models))]).agg((F.round(F.avg("loss") + dispersion * F.stddev_pop("loss"), 9)).alias("objective"))
-    best = scored.agg(F.min_by(F.struct(*[f"w{i}" for i in range(len(models))]), F.struct("objective", "grid")).alias("w"))
-    return best.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"w.w{i}").alias("weight")) for i, m in enumerate(models)])).alias("x")).select("x.*")
+
+def stack_weights(preds: DataFrame, models: list[str], task: str = "classification", least: int = 20, turnover: float = 0.01, dispersion: float = 0.1) -> DataFrame:
+    """split_id, model, weight, weight_source: not negative, of sum 1, learnt on earlier splits alone.
+
+    They minimise log loss (ranking: the negated mean rank correlation with excess returns), plus `dispersion` times its
+    standard deviation over splits, plus `turnover` times the mean absolute change of a symbol's score. Classifiers are calibrated first.
+    """
+    maps = calibration_maps(preds, least) if task == "classification" else None
+    learned = _learn(_scores(preds, models), maps, models, _split_ids(preds), task, least, turnover, dispersion)
+    kind = preds.select("split_id", "model").schema.add("weight", "double").add("weight_source", "string")
+    return preds.sparkSession.createDataFrame([(s, m, x, source) for s, (w, source) in learned.items() for m, x in zip(models, w)], kind)
+
+
+class Chronological(NamedTuple):
+    """predictions: keys, outcomes, model, y_score. weights: task, split_id, model, weight, weight_source. sensitivity: task, split_id, model (left out), rank_corr, mean_change."""
+
+    predictions: DataFrame
+    weights: DataFrame
+    sensitivity: DataFrame
+
+
+def chronological(preds: DataFrame, least: int = 20, turnover: float = 0.01, dispersion: float = 0.1) -> Chronological:
+    """Average, rank average and constrained stack of the models of each task, calibrated and weighted by earlier splits alone.
+
+    Models whose y_true is 0 or 1 throughout are classifiers, others rankers; names with "ensemble" are left
+    out. A split combines the models that score all its rows, if there are two or more.
+    """
+    base = preds.where(~F.col("model").contains("ensemble"))
+    binary = F.bool_and(F.col("y_true").isNull() | F.col("y_true").isin(0, 1))
+    tasks: dict[str, list[str]] = {"classification": [], "ranking": []}
+    for r in base.groupBy("model").agg(binary.alias("binary")).orderBy("model").collect():
+        tasks["classification" if r["binary"] else "ranking"].append(r["model"])
+    parts = []
+    for task, models in tasks.items():
+        if len(models) < 2:
+            continue
+        own = base.where(F.col("model").isin(models))
+        maps = calibration_maps(own, least) if task == "classification" else None
+        filled = [F.count(F.col("x")[i]).alias(f"n{i}") for i in range(len(models))]
+        sets: dict[tuple, list] = {}
+        for r in _scores(own, models).groupBy("split_id").agg(F.count(F.lit(1)).alias("n"), *filled).orderBy("split_id").collect():
+            sets.setdefault(tuple(m for i, m in enumerate(models) if r[f"n{i}"] == r["n"]), []).append(r["split_id"])
+        parts += [_combined(own.where(F.col("model").isin(list(of))), maps, list(of), at, task, least, turnover, dispersion) for of, at in sets.items() if len(of) > 1]
+    if not parts:
+        raise ValueError("no split has two models of a task that score all its rows")
+    return Chronological(*[reduce(DataFrame.unionByName, each) for each in zip(*parts)])
+
+
+def _combined(preds: DataFrame, maps: DataFrame | None, models: list[str], splits: list, task: str, least: int, turnover: float, dispersion: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    spark, rows = preds.sparkSession, _scores(preds, models)
+    every = sorted(splits)
+    learned = _learn(rows, maps, models, every, task, least, turnover, dispersion)
+    kind = preds.select("split_id", "model").schema.add("weight", "double").add("weight_source", "string")
+    weights = spark.createDataFrame([(s, m, x, source) for s, (w, source) in learned.items() for m, x in zip(models, w)], kind).withColumn("task", F.lit(task))
+    by_split = spark.createDataFrame([(s, list(w)) for s, (w, _) in learned.items()], preds.select("split_id").schema.add("w", T.ArrayType(T.DoubleType())))
+    now = _scaled(rows.where(F.col("split_id").isin(every)), maps, models, "split_id").join(F.broadcast(by_split), "split_id")
+    k = len(models)
+    xs = [F.col("x")[i] for i in range(k)]
+    now = now.withColumns({f"_x{i}": x for i, x in enumerate(xs)})
+    now = now.withColumns({f"_r{i}": percent_rank(f"_x{i}", ["split_id", "date"]) for i in range(k)})
+    total = reduce(lambda a, b: a + b, xs)
+    stacked = _dot("x", [F.col("w")[i] for i in range(k)])
+    methods = {"simple_average": total / k, "rank_average": reduce(lambda a, b: a + b, [F.col(f"_r{i}") for i in range(k)]) / k, "constrained_stack": stacked}
+    each = F.explode(F.array(*[F.struct(F.lit(f"{task}_{m}_ensemble").alias("model"), x.alias("y_score")) for m, x in methods.items()])).alias("m")
+    predictions = now.select(*ROW, *OUTCOMES, each).select(*ROW, *OUTCOMES, "m.*")
+    left_out = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), ((total - xs[i]) / (k - 1)).alias("rest")) for i, m in enumerate(models)])).alias("m")
+    long = now.select("split_id", stacked.alias("full"), left_out).select("split_id", "full", "m.*")
+    long = long.withColumns({"_a": average_rank("full", ["split_id", "model"]), "_b": average_rank("rest", ["split_id", "model"])})
+    sensitivity = long.groupBy("split_id", "model").agg(safe_corr("_a", "_b").alias("rank_corr"), F.avg(F.abs(F.col("full") - F.col("rest"))).alias("mean_change")).withColumn("task", F.lit(task))
+    return predictions, weights, sensitivity

@@ -226,11 +226,38 @@ def e3_calibration(spark, d):
     return ensembles.calibrate(v.binary_preds(spark, d)).groupBy("model", "split_id").agg(F.avg("calibrated").alias("calibrated"))
 
 
-@query("model weight:r")
+@query("split_id:i model weight:r weight_source")
 def e4_stack_weights(spark, d):
     return ensembles.stack_weights(v.preds(spark, d), ["momentum", "random", "sign"])
 
 
+@query("model split_id:i n_rows:i y_score:r")
+def e5_chronological_ensembles(spark, d):
+    """The three rankers as classifiers of outperformance."""
+    combined = ensembles.chronological(v.preds(spark, d)).predictions
+    return combined.groupBy("model", "split_id").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("y_score").alias("y_score"))
+
+
+def ranker_targets(spark, d):
+    """The three rankers, with the excess return itself as their target."""
+    return v.preds(spark, d).withColumn("y_true", F.col("forward_excess_return"))
+
+
+RANKED = v.PREDS + f""", wh AS (SELECT split_id, count(DISTINCT (symbol, date)) AS n FROM preds GROUP BY 1), cm AS (SELECT split_id, model FROM (SELECT split_id, model, count(*) AS c FROM preds GROUP BY 1, 2) JOIN wh USING (split_id) WHERE c = n),
+ck AS (SELECT split_id FROM cm GROUP BY 1 HAVING count(*) > 1), rp AS (SELECT p.*, {prank('y_score', 'split_id, date, model')} AS r FROM preds p JOIN cm USING (split_id, model) JOIN ck USING (split_id)), av AS (SELECT split_id, symbol, date, avg(y_score) AS s, avg(r) AS r FROM rp GROUP BY 1, 2, 3)"""
+
+
+@query(ROW + "model y_score:r", RANKED, "SELECT split_id, symbol, date, unnest(['ranking_simple_average_ensemble', 'ranking_rank_average_ensemble']) AS model, unnest([s, r]) AS y_score FROM av")
+def e5_ranking_averages(spark, d):
+    """Of the ensembles of rankers, the two that need no search."""
+    return ensembles.chronological(ranker_targets(spark, d)).predictions.where("model <> 'ranking_constrained_stack_ensemble'").select("split_id", "symbol", "date", "model", "y_score")
+
+
+@query("task split_id:i model rank_corr:r mean_change:r")
+def e5_ensemble_sensitivity(spark, d):
+    return ensembles.chronological(ranker_targets(spark, d)).sensitivity
+
+
 # --- sampling and top lists
 
 
