@@ -345,11 +345,20 @@ def l9_fit_preprocessor(spark, d):
     return splits.fit_preprocessor(rows, ["close", "return_1d"])
 
 
-@query("split_id:i role n_rows:i close:r")
+ROLED_RETURNS = FOLDS + ", rr AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS return_1d FROM panel), roled AS (SELECT p.*, split_id, CASE WHEN p.date BETWEEN train_start AND train_end THEN 'train' ELSE 'validation' END AS role FROM rr p JOIN folds ON p.date BETWEEN train_start AND train_end OR p.date BETWEEN validation_start AND validation_end)"
+
+
+@query(
+    "split_id:i role n_rows:i close:r return_1d:r",
+    ROLED_RETURNS + """, md AS (SELECT split_id, coalesce(median(close), 0) AS mc, coalesce(median(return_1d), 0) AS mr FROM roled WHERE role = 'train' GROUP BY 1),
+im AS (SELECT split_id, role, coalesce(close, mc) AS c, coalesce(return_1d, mr) AS r FROM roled JOIN md USING (split_id)),
+ft AS (SELECT split_id, avg(c) AS ac, avg(r) AS ar, CASE WHEN stddev_pop(c) > 1e-12 THEN stddev_pop(c) ELSE 1 END AS sc, CASE WHEN stddev_pop(r) > 1e-12 THEN stddev_pop(r) ELSE 1 END AS sr FROM im WHERE role = 'train' GROUP BY 1)""",
+    "SELECT split_id, role, count(*) AS n_rows, avg((c - ac) / sc) AS close, avg((r - ar) / sr) AS return_1d FROM im JOIN ft USING (split_id) GROUP BY 1, 2",
+)
 def l10_transform(spark, d):
     rows = joins.assign_roles(v.returns(spark, d), folds(spark, d))
     fitted = splits.fit_preprocessor(rows.where("role = 'train'"), ["close", "return_1d"])
-    return splits.transform(rows, fitted, ["close", "return_1d"]).groupBy("split_id", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("close").alias("close"))
+    return splits.transform(rows, fitted, ["close", "return_1d"]).groupBy("split_id", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("close").alias("close"), F.avg("return_1d").alias("return_1d"))
 
 
 @query("fold:i role n_rows:i n_dates:i", v.PREDS + """, m AS (SELECT * FROM preds WHERE model = 'momentum'), di AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM m)),

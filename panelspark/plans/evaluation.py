@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import expr
-from panelspark.operators import audit, ensembles, evidence, features, ingest, joins, metrics, models, orders, portfolio, quality, sampling, splits, universe
+from panelspark.operators import audit, contracts, ensembles, evidence, features, ingest, joins, metrics, models, orders, portfolio, quality, sampling, splits, universe
 from panelspark.plans import catalog, views as v
 from panelspark.plans.catalog import prank, query, rank, regimes, scorr
 
@@ -114,7 +114,20 @@ def m17_m18_rank_ic_permutation(spark, d):
     return metrics.holm(metrics.sign_permutation(daily, ["model"], "rank_ic", "date", 200, 42, 5, two_sided=False))
 
 
-@query("model mean_difference:r n_splits:i low:r high:r p_holm:r decision")
+PAIRED = SPLIT_IC + f""", pd AS (SELECT a.model, a.split_id, a.rank_ic - b.rank_ic AS x, row_number() OVER (PARTITION BY a.model ORDER BY a.split_id) - 1 AS i, count(*) OVER (PARTITION BY a.model) AS n
+    FROM split_ic a JOIN split_ic b ON b.model = 'random' AND a.split_id = b.split_id WHERE a.model <> 'random' AND a.rank_ic IS NOT NULL AND b.rank_ic IS NOT NULL),
+    sl AS (SELECT model, i AS slot, n, unnest(range(1, 201)) AS draw FROM pd), pk AS (SELECT model, draw, {draw_sql('n', '42', 'draw', 'slot')} AS p FROM sl),
+    bm AS (SELECT pk.model, draw, avg(x) AS m FROM pk JOIN pd ON pd.model = pk.model AND pd.i = p GROUP BY 1, 2), en AS (SELECT model, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM bm GROUP BY 1),
+    nl AS (SELECT model, draw, avg(x * (1 - 2 * {draw_sql('2', '42', 'draw', 'i')})) AS m FROM (SELECT *, unnest(range(1, 201)) AS draw FROM pd) GROUP BY 1, 2),
+    ob AS (SELECT model, avg(x) AS mean_difference, count(*) AS n_splits FROM pd GROUP BY 1),
+    pv AS (SELECT model, any_value(mean_difference) AS observed, (count(*) FILTER (WHERE abs(m) >= abs(mean_difference) - 1e-12) + 1) / (count(*) + 1)::DOUBLE AS p_value FROM nl JOIN ob USING (model) GROUP BY 1), hp AS ({PERMUTED_P})"""
+
+
+@query(
+    "model mean_difference:r n_splits:i low:r high:r p_holm:r decision",
+    PAIRED,
+    "SELECT model, mean_difference, n_splits, low, high, p_holm, CASE WHEN low > 0 AND p_holm < 0.05::DOUBLE THEN 'better' WHEN high < 0 THEN 'worse' ELSE 'inconclusive' END AS decision FROM ob JOIN en USING (model) JOIN hp USING (model)",
+)
 def m15_v1_paired_comparison(spark, d):
     return evidence.compare_to_baseline(split_ic(spark, d), "random", "rank_ic")
 
@@ -261,6 +274,29 @@ def e5_ensemble_sensitivity(spark, d):
 # --- sampling and top lists
 
 
+@query("symbol date y_true:i", v.PREDS, "SELECT symbol, date, y_true FROM (SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY sha256('5|' || symbol || '|' || CAST(date AS VARCHAR)), symbol, date) AS n FROM preds WHERE model = 'sign') WHERE n <= 50")
+def k16_exactly_balanced(spark, d):
+    return sampling.balanced_exact(v.preds(spark, d).where("model = 'sign'"), "y_true", 100, 5)
+
+
+@query("symbol", "", "SELECT symbol FROM (SELECT DISTINCT c_name AS symbol FROM customer WHERE c_acctbal > 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY sha256(c_name), c_name LIMIT 40) UNION SELECT 'BENCH'")
+def k7_candidates(spark, d):
+    assets = v.table(spark, d, "customer").select(F.col("c_name").alias("symbol"), F.col("c_mktsegment").alias("exchange"), (F.col("c_acctbal") > 0).alias("tradable"), F.lit("2001-01-01").cast("date").alias("effective_date"))
+    return sampling.candidates(assets, ["BUILDING", "MACHINERY"], 40, v.BENCH)
+
+
+@query("symbol form filing_date accession:i", v.FILINGS, "SELECT symbol, form, filing_date, accession FROM filings QUALIFY row_number() OVER (PARTITION BY symbol, form ORDER BY filing_date DESC, accession DESC) = 1")
+def d3s_d4s_last_filings(spark, d):
+    return joins.last_row(v.filings(spark, d), ["symbol", "form"], ["filing_date", "accession"])
+
+
+@query("symbol form share:r", v.FILINGS, "SELECT symbol, form, round(amount / 7::DOUBLE, 3) AS share FROM filings")
+def p16_safe_projection(spark, d):
+    rows = v.filings(spark, d).withColumn("share", F.col("amount") / 7)
+    return contracts.safe_projection(rows, ["symbol", "form", "share", "absent"], 3)
+
+
+
 @query("symbol date close:r", v.PANEL, "SELECT symbol, date, close FROM panel QUALIFY row_number() OVER (PARTITION BY date ORDER BY sha256(upper(symbol)), symbol) <= 5")
 def k8_cross_section_sample(spark, d):
     return sampling.per_date(v.panel(spark, d), 5)
@@ -425,7 +461,7 @@ def n3_n6_identifiers(spark, d):
     return c.select(ingest.ticker(F.col("c_name")).alias("symbol"), ingest.format_cik(F.col("c_custkey")).alias("padded"), ingest.classify_security(F.col("c_mktsegment"), [("auto", "vehicle"), ("house", "home")]).alias("kind"))
 
 
-@query("symbol accession concept unit value:r reason")
+@query("symbol accession concept unit value:r reason", v.FACTS, "SELECT symbol, accession, concept, 'EUR' AS unit, value + 1 AS value, 'collision' AS reason FROM facts WHERE concept = 'AF' UNION ALL SELECT symbol, accession, concept, 'shares', value, 'collision' FROM facts WHERE concept <> 'AF'")
 def n17_fact_collisions(spark, d):
     f = v.facts(spark, d).withColumns({"unit": F.when(F.col("concept") == "AF", "USD").otherwise("shares"), "start_date": F.add_months("end_date", -3), "sec_concept": F.col("concept")})
     twice = f.unionByName(f.withColumns({"unit": F.lit("EUR"), "value": F.col("value") + 1}))
