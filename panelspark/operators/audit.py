@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions.expr import average_rank, finite, percent_rank, safe_corr
 from panelspark.operators.joins import assign_roles
+from panelspark.operators.metrics import with_value_ranks
 
 
 def long_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("symbol", "date")) -> DataFrame:
@@ -75,8 +76,8 @@ def redundancy(df: DataFrame, features: Sequence[str], threshold: float = 0.9) -
     for i, a in enumerate(features):
         for b in features[i + 1 :]:
             both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-            pair = F.lit(0)
-            out.append(both.select(average_rank(a, [pair]).alias("_a"), average_rank(b, [pair]).alias("_b")).agg(safe_corr("_a", "_b").alias("rank_corr")).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "rank_corr"))
+            ranked = with_value_ranks(with_value_ranks(both.select(F.col(a).alias("_x"), F.col(b).alias("_y")), "_x", "_a"), "_y", "_b")
+            out.append(ranked.agg(safe_corr("_a", "_b").alias("rank_corr")).select(F.lit(a).alias("left"), F.lit(b).alias("right"), "rank_corr"))
     return reduce(DataFrame.unionByName, out).where(F.abs("rank_corr") >= threshold)
 
 

@@ -118,6 +118,27 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"c{i}").alias("abs_corr")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
 
 
+def with_value_ranks(df: DataFrame, value: str, out: str, keys: Sequence[str] = (), parts: int = 200) -> DataFrame:
+    """df with out, the rank of value from 1 within keys, ties averaged, null where value is; for groups that one task can't hold.
+
+    Distinct values are counted, then dealt by value to ranges cut at approximate quantiles, and each range
+    starts after the counts below it: a window sees one range, whatever rows share a value. Any cuts give the
+    same ranks. NaN is a value above all others; keys are not null.
+    """
+    rows = df.withColumn("_value", F.col(value).cast("double"))
+    counts = rows.where("_value IS NOT NULL").groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+    cuts = sorted(set(counts.where("NOT isnan(_value)").approxQuantile("_value", [i / parts for i in range(1, parts)], 0.5 / parts)))
+    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("_value")))
+    ranged = counts.withColumn("_part", place)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_t"))
+    bases = totals.select(*keys, "_part", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_value").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ranged.withColumn("_below", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(bases, [*keys, "_part"])
+    ranks = ranks.select(*keys, "_value", (F.col("_base") + F.col("_below") + (F.col("_n") + 1) / 2.0).alias(out))
+    return rows.join(ranks, [*keys, "_value"], "left").drop("_value")
+
+
 def bootstrap_means(values: DataFrame, keys: Sequence[str], value: str, order: str, draws: int, seed: int) -> DataFrame:
     """keys, draw, mean of n values drawn with replacement. values: a small table, already aggregated by day or split."""
     by = Window.partitionBy(*keys)

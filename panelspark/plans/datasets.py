@@ -84,7 +84,8 @@ def m8_m10_split_metrics(spark, d):
 
 @query("model rank_ic:r pearson:r n:i", v.PREDS + f", r AS (SELECT *, {rank('y_score', 'model')} AS a, {rank('forward_return', 'model')} AS b FROM preds)", f"SELECT model, {scorr('a', 'b')} AS rank_ic, {scorr('y_score', 'forward_return')} AS pearson, count(*) AS n FROM r GROUP BY 1")
 def m11_pooled_correlation(spark, d):
-    rows = v.preds(spark, d).withColumns({"a": expr.average_rank("y_score", ["model"]), "b": expr.average_rank("forward_return", ["model"])})
+    rows = metrics.with_value_ranks(v.preds(spark, d).select("model", "y_score", "forward_return"), "y_score", "a", ["model"])
+    rows = metrics.with_value_ranks(rows, "forward_return", "b", ["model"])
     return rows.groupBy("model").agg(expr.safe_corr("a", "b").alias("rank_ic"), expr.safe_corr("y_score", "forward_return").alias("pearson"), F.count(F.lit(1)).alias("n"))
 
 

@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from panelspark.functions import expr
 from panelspark.operators import audit, dataset, evidence, features, ingest, labels, metrics, models, orders
 
 DAY = dt.date(2024, 1, 1)
@@ -166,3 +167,15 @@ def test_decisions_follow_the_order(spark):
     ablation, exposed = spark.createDataFrame([("f", 0.01)], "family string, drop_delta double"), spark.createDataFrame([("kept", 0.2)], "feature string, exposure_range double")
     got = {r["feature"]: r["decision"] for r in audit.decisions(q, stable, pairs, ablation, exposed, dict.fromkeys(("gone", "kept", "twin", "weak", "none"), "f")).collect()}
     assert got == {"gone": "insufficient_coverage", "kept": "retain", "twin": "transform", "weak": "conditional", "none": "remove"}
+
+
+def test_value_ranks_equal_ranks_in_one_window(spark):
+    rows = [(k, v) for k in ("a", None, "c") for v in [0.0] * 40 + [-0.0, None, float("nan"), float("nan")] + [float(i % 37) for i in range(200)]]
+    df = spark.createDataFrame([r for r in rows if r[0]], "k string, v double")
+    for parts in (2, 50):
+        got = metrics.with_value_ranks(df, "v", "r", ["k"], parts).withColumn("want", expr.average_rank("v", ["k"]))
+        assert got.count() == df.count() and got.where("NOT (r <=> want)").count() == 0
+    whole = metrics.with_value_ranks(df, "v", "r").withColumn("want", expr.average_rank("v", [F.lit(0)]))
+    assert whole.where("NOT (r <=> want)").count() == 0 and whole.columns == ["k", "v", "r", "want"]
+    empty = metrics.with_value_ranks(df.where("v IS NULL"), "v", "r")
+    assert [r["r"] for r in empty.collect()] == [None, None]
