@@ -105,7 +105,8 @@ OUTCOMES = ["y_true", "forward_return", "forward_excess_return"]
 
 
 def _scores(preds: DataFrame, models: list[str]) -> DataFrame:
-    """A row a key with its outcomes and x, the scores of the models in order."""
+    """A row a key with its outcomes (absent returns are null) and x, the scores of the models in order."""
+    preds = preds.withColumns({c: F.lit(None).cast("double") for c in OUTCOMES[1:] if c not in preds.columns})
     pivoted = preds.groupBy(*ROW, *OUTCOMES).pivot("model", models).agg(F.first("y_score"))
     return pivoted.select(*ROW, *OUTCOMES, F.array(*[F.col(f"`{m}`").cast("double") for m in models]).alias("x"))
 
