@@ -80,11 +80,41 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm import clustering
+
+    return clustering.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+def _clustering_sql(rounds: int) -> str:
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+        a{i} AS (
+            SELECT vec_id, any_value(v) AS v, min({{'d': list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'c': cluster}}) AS best
+            FROM kept, c{i} GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""
+        u{i} AS (SELECT best.c AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{i}),
+        s{i} AS (SELECT cluster, i, sum(x) AS s, count(*) AS n FROM u{i} GROUP BY cluster, i),
+        m{i} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM s{i} GROUP BY cluster),
+        c{i + 1} AS (SELECT c{i}.cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, v AS c FROM kept QUALIFY cluster < 16),{",".join(steps)}
+        SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.c))::BIGINT AS cluster_inertia,
+               (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON best.c = cluster"""
+
+
 ORACLE_SQL = {
+    "op11_clustering": _clustering_sql(3),
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
