@@ -86,6 +86,12 @@ def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.cluster(_table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from panelspark.llm import lexical_search
+
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -115,6 +121,23 @@ def _clustering_sql(rounds: int) -> str:
 
 ORACLE_SQL = {
     "op11_clustering": _clustering_sql(3),
+    "op12_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS terms FROM documents),
+        t AS (SELECT r, doc_id, len(terms)::BIGINT AS n, unnest(terms) AS term FROM d),
+        size AS (SELECT count(DISTINCT r)::HUGEINT AS nn, count(*)::HUGEINT AS ll FROM t),
+        f AS (SELECT r, doc_id, n, term, count(*)::HUGEINT AS tf FROM t GROUP BY ALL),
+        w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, size GROUP BY term, nn),
+        q AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term
+            FROM benchmark),
+        q2 AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+        s AS (
+            SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+            FROM q2 JOIN f USING (term) JOIN w USING (term), size GROUP BY item_id, r, doc_id),
+        o AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10""",
     "op3_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
         g AS (SELECT doc_id, t, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)

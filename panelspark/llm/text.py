@@ -130,9 +130,9 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
     return flat[at]
 
 
-def doc_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word, and the number of words before each document (and in all)."""
-    word = ~SPACE[buf]
+def doc_words(buf: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, and the number of words before each document (and in all); `apart` tells the bytes between words."""
+    word = ~apart[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[offsets] = True
     begin, end = word.copy(), word.copy()
