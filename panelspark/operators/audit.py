@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.expr import average_rank, finite, percent_rank, safe_corr
+from panelspark.functions.quantiles import quantiles
 from panelspark.operators.joins import assign_roles
 from panelspark.operators.metrics import with_value_ranks
 
@@ -40,9 +41,10 @@ def quality(df: DataFrame, features: Sequence[str], splits: DataFrame) -> DataFr
 def psi(rows: DataFrame) -> DataFrame:
     """Population stability index of validation against train: train deciles, outer ends open, shares at least 1e-6."""
     rows = rows.withColumn("value", finite("value"))
-    edges = rows.where("role = 'train'").groupBy("split_id", "feature").agg(F.array_distinct(F.percentile("value", [i / 10 for i in range(11)])).alias("edges"), F.countDistinct("value").alias("n"))
-    edges = edges.where((F.col("n") >= 2) & (F.size("edges") >= 3)).select("split_id", "feature", F.slice("edges", 2, F.size("edges") - 2).alias("inner"), F.sequence(F.lit(0), F.size("edges") - 2).alias("bins"))
-    binned = rows.where("value IS NOT NULL").join(F.broadcast(edges), ["split_id", "feature"]).withColumn("bin", F.size(F.filter("inner", lambda e: e < F.col("value"))))
+    deciles = quantiles(rows.where("role = 'train'"), ["split_id", "feature"], "value", [i / 10 for i in range(11)])
+    edges = deciles.select("split_id", "feature", F.array_distinct("quantiles").alias("edges"))  # three edges are two distinct values
+    edges = edges.where(F.size("edges") >= 3).select("split_id", "feature", F.slice("edges", 2, F.size("edges") - 2).alias("inner"), F.sequence(F.lit(0), F.size("edges") - 2).alias("bins"))
+    binned = rows.where("value IS NOT NULL").join(edges, ["split_id", "feature"]).withColumn("bin", F.size(F.filter("inner", lambda e: e < F.col("value"))))
     counts = binned.groupBy("split_id", "feature", "bin").agg(F.count_if(F.col("role") == "train").alias("t"), F.count_if(F.col("role") == "validation").alias("v"))
     every = edges.select("split_id", "feature", F.explode("bins").alias("bin")).join(counts, ["split_id", "feature", "bin"], "left").na.fill(0, ["t", "v"])
     group = Window.partitionBy("split_id", "feature")

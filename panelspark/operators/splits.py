@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.expr import finite
+from panelspark.functions.quantiles import quantiles
+
 
 def date_index(df: DataFrame) -> DataFrame:
     """Distinct dates, numbered from 0."""
@@ -76,11 +79,16 @@ def inner_tail(df: DataFrame, fraction: float = 0.2) -> DataFrame:
 
 
 def fit_preprocessor(train: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Per split and feature: median (all null: 0), then mean and population sd of the imputed values (0 or null: 1)."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")
+    """Per split and feature: median (nothing there: 0), then mean and population sd of the imputed values (0 or null: 1).
+
+    Values that aren't finite count as missing. Medians are exact, by ranges of values: a split may be the whole table.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(c).alias("value")) for c in columns])).alias("x")
     long = train.select("split_id", each).select("split_id", "x.*")
-    # one pass: moments of what is there and counts; imputed moments follow in closed form
-    s = long.groupBy("split_id", "feature").agg(F.coalesce(F.percentile("value", 0.5), F.lit(0.0)).alias("median"), F.count("value").alias("k"), F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("v"))
+    medians = quantiles(long, ["split_id", "feature"], "value", [0.5]).select(F.col("split_id").alias("_s"), F.col("feature").alias("_f"), F.get("quantiles", F.lit(0)).alias("_median"))
+    # moments of what is there and counts; imputed moments follow in closed form
+    s = long.groupBy("split_id", "feature").agg(F.count("value").alias("k"), F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("m"), F.coalesce(F.var_pop("value"), F.lit(0.0)).alias("v"))
+    s = s.join(medians, F.col("split_id").eqNullSafe(F.col("_s")) & (F.col("feature") == F.col("_f")), "left").withColumn("median", F.coalesce("_median", F.lit(0.0)))
     share = F.col("k") / F.col("n")
     mean = share * F.col("m") + (1 - share) * F.col("median")
     var = share * (F.col("v") + F.pow(F.col("m") - F.col("mean"), 2)) + (1 - share) * F.pow(F.col("median") - F.col("mean"), 2)
@@ -92,5 +100,5 @@ def transform(df: DataFrame, fitted: DataFrame, columns: Sequence[str]) -> DataF
     """Imputes and scales with each split's own statistics (a row a split after the pivot)."""
     wide = fitted.groupBy("split_id").pivot("feature", list(columns)).agg(F.first("median").alias("median"), F.first("mean").alias("mean"), F.first("sd").alias("sd"))
     out = df.join(F.broadcast(wide), "split_id")
-    out = out.withColumns({c: (F.coalesce(F.col(c).cast("double"), F.col(f"{c}_median")) - F.col(f"{c}_mean")) / F.col(f"{c}_sd") for c in columns})
+    out = out.withColumns({c: (F.coalesce(finite(c), F.col(f"{c}_median")) - F.col(f"{c}_mean")) / F.col(f"{c}_sd") for c in columns})
     return out.drop(*[f"{c}_{k}" for c in columns for k in ("median", "mean", "sd")])
