@@ -48,12 +48,15 @@ def join_labels(features: DataFrame, labels: DataFrame, target: str) -> DataFram
 
 
 def assign_roles(df: DataFrame, splits: DataFrame) -> DataFrame:
-    """A row for each split and role whose dates hold the row. splits: a row a fold, at most thousands."""
-    ranges = splits.select("split_id", F.explode(F.array(
+    """A row for each split and role whose dates hold the row. splits: a row a fold.
+
+    Ranges become days, a row a split and day, so that the join is by equal dates and no row meets all ranges.
+    """
+    days = splits.select("split_id", F.explode(F.array(
         F.struct(F.lit("train").alias("role"), F.col("train_start").alias("start"), F.col("train_end").alias("end")),
         F.struct(F.lit("validation").alias("role"), F.col("validation_start").alias("start"), F.col("validation_end").alias("end")),
-    )).alias("r")).select("split_id", "r.*")
-    return df.join(F.broadcast(ranges), F.col("date").between(F.col("start"), F.col("end"))).drop("start", "end")
+    )).alias("r")).where("r.start <= r.end").select("split_id", "r.role", F.explode(F.sequence(F.col("r.start").cast("date"), F.col("r.end").cast("date"))).alias("date"))
+    return df.join(days, "date").select(*df.columns, "split_id", "role")
 
 
 def pair_metrics(metrics: DataFrame, baseline: str, keys: Sequence[str], value: str) -> DataFrame:

@@ -92,35 +92,6 @@ def nested_roles(periods: DataFrame, inner: int, column: str = "period") -> Data
     return out.withColumn("role", F.when(F.col("_n") == 1, "outer").when(F.col("_n") <= inner + 1, "inner").otherwise("calibration")).withColumn("fold", F.when(F.col("role") == "inner", inner + 2 - F.col("_n"))).drop("_n")
 
 
-def residualize(labels: DataFrame, numeric: Sequence[str], categorical: Sequence[str], target: str) -> DataFrame:
-    """Per date, the residual of the target on an intercept, robust-scaled numbers and categories (null is "unknown").
-
-    A date with fewer than max(20, columns + 2) complete rows gets nulls. Dates are small groups.
-    """
-    import numpy as np
-    import pandas as pd
-
-    schema = labels.select("symbol", "date").schema.add("residual_target", "double")
-
-    def fit(day: pd.DataFrame) -> pd.DataFrame:
-        out = day[["symbol", "date"]].assign(residual_target=np.nan)
-        x = [np.ones(len(day))]
-        for c in numeric:
-            v = day[c].astype(float)
-            mad = (v - v.median()).abs().median()
-            x.append(((v - v.median()) / (1.4826 * mad if mad else 1.0)).to_numpy())
-        for c in categorical:
-            x += list(pd.get_dummies(day[c].fillna("unknown"), drop_first=True).to_numpy(float).T)
-        design, y = np.column_stack(x), day[target].to_numpy(float)
-        fine = np.isfinite(design).all(1) & np.isfinite(y)
-        if fine.sum() >= max(20, design.shape[1] + 2):
-            beta, *_ = np.linalg.lstsq(design[fine], y[fine], rcond=None)
-            out.loc[fine, "residual_target"] = y[fine] - design[fine] @ beta
-        return out
-
-    return labels.groupBy("date").applyInPandas(fit, schema).withColumn("residual_target", F.when(~F.isnan("residual_target"), F.col("residual_target")))
-
-
 def residualize_one(labels: DataFrame, exposure: str, target: str) -> DataFrame:
     """The case of one numeric exposure, in closed form."""
     day = Window.partitionBy("date")

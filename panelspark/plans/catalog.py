@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import expr
-from panelspark.operators import audit, contracts, ensembles, evidence, features, ingest, joins, labels, metrics, orders, portfolio, quality, sampling, splits, universe
+from panelspark.operators import audit, contracts, ensembles, evidence, features, ingest, joins, labels, metrics, orders, portfolio, quality, residuals, sampling, splits, universe
 from panelspark.plans import views as v
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -239,11 +239,22 @@ def c8_residual_target(spark, d):
     return labels.residualize_one(v.returns(spark, d).join(lab, ["symbol", "date"]), "return_5d", "forward_return")
 
 
-@query("symbol date residual_target:r")
+@query(
+    "symbol date residual_target:r",
+    v.RETURNS + f""", lab0 AS (SELECT symbol, date, {v.SECTOR} AS sector, return_1d AS a, return_5d AS b, lead(close, 1) OVER (PARTITION BY symbol ORDER BY date) / nullif(close, 0) - 1 AS y FROM returns WHERE symbol <> 'BENCH'),
+    ok AS (SELECT * FROM lab0 WHERE a IS NOT NULL AND b IS NOT NULL AND y IS NOT NULL),
+    width AS (SELECT date, count(DISTINCT coalesce(sector, 'unknown')) + 2 AS k FROM lab0 GROUP BY date),
+    dm AS (SELECT symbol, date, a - avg(a) OVER g AS a, b - avg(b) OVER g AS b, y - avg(y) OVER g AS y FROM ok WINDOW g AS (PARTITION BY date, sector)),
+    s AS (SELECT date, count(*) AS n, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a * y) AS ay, sum(b * y) AS yb FROM dm GROUP BY date),
+    fit AS (SELECT date, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS p, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS q FROM s JOIN width USING (date) WHERE n >= greatest(20, k + 2)),
+    res AS (SELECT symbol, date, y - p * a - q * b AS residual_target FROM dm JOIN fit USING (date))""",
+    "SELECT symbol, date, residual_target FROM lab0 LEFT JOIN res USING (symbol, date)",
+)
 def c8_residual_target_many(spark, d):
     lab = labels.forward_labels(v.panel(spark, d), (1,), v.BENCH).select("symbol", "date", "forward_return")
-    rows = v.returns(spark, d).where(F.col("symbol") != v.BENCH).withColumn("sector", v.sector()).join(lab, ["symbol", "date"])
-    return labels.residualize(rows.select("symbol", "date", "return_1d", "return_5d", "sector", "forward_return"), ["return_1d", "return_5d"], ["sector"], "forward_return")
+    own = v.returns(spark, d).where(F.col("symbol") != v.BENCH).withColumn("sector", v.sector())
+    rows = residuals.join_exposures(own.select("symbol", "date").join(lab, ["symbol", "date"], "left"), own, ["return_1d", "return_5d", "sector"])
+    return residuals.residualize(rows, ["return_1d", "return_5d"], ["sector"], "forward_return")
 
 
 TARGETS = {"outperform": "binary", "neutral_outperform": "neutral_zone", "forward_excess_return": "continuous", "normalized_excess_return": "volatility_normalized", "excess_rank": "cross_sectional_rank", "sector_relative_return": "sector_relative", "sector_excess_rank": "sector_rank"}

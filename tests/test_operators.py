@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.functions import expr
-from panelspark.operators import audit, contracts, ensembles, evidence, features, ingest, joins, labels, metrics, models, orders, portfolio, quality, sampling, splits, universe
+from panelspark.operators import audit, contracts, ensembles, evidence, features, ingest, joins, labels, metrics, models, orders, portfolio, quality, residuals, sampling, splits, universe
 from panelspark.sources import tables
 from panelspark.streaming import streams
 
@@ -134,7 +134,7 @@ def test_contracts(spark):
 def test_residuals_of_both_ways_agree(spark):
     rows = [(f"S{i}", day(d), float(i * (d + 1) % 17), float(i * i % 23)) for d in range(2) for i in range(40)]
     df = spark.createDataFrame(rows, "symbol string, date date, x double, y double")
-    a = get(labels.residualize(df, ["x"], [], "y"), ("symbol", "date"), "residual_target")
+    a = get(residuals.residualize(df, ["x"], [], "y"), ("symbol", "date"), "residual_target")
     b = get(labels.residualize_one(df, "x", "y"), ("symbol", "date"), "residual_target")
     assert all(abs(a[k] - b[k]) < 1e-8 for k in a)
 
