@@ -148,14 +148,15 @@ def audit_features(df: DataFrame, families: dict[str, str], ret: str, target: st
     return decisions(quality(df, names, splits), stability(predictive(df, names, ret, target)), redundancy(df, names, threshold), family_ablation(df, families, ret, splits), exposure(df, names, groups), families)
 
 
-def feature_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """abs(correlation) * share of dates with its sign * coverage."""
-    long = long_features(df, features, ["date", target])
-    pooled = long.groupBy("feature").agg(safe_corr("value", target).alias("c"), F.avg(F.col("value").isNotNull().cast("double")).alias("coverage"))
-    daily = long.groupBy("feature", "date").agg(safe_corr("value", target, 3).alias("d"))
-    share = daily.where("d IS NOT NULL").join(pooled, "feature").groupBy("feature").agg(F.avg((F.signum("d") == F.signum("c")).cast("double")).alias("same_sign"))
-    out = pooled.join(share, "feature", "left")
-    return out.select("feature", F.coalesce(F.abs("c") * F.col("same_sign") * F.col("coverage"), F.lit(0.0)).alias("score"))
+def feature_scores(df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Per key and feature: abs(correlation) * share of dates with its sign (0.5 if no date has one, or it is 0) * coverage."""
+    by = [*keys, "feature"]
+    long = long_features(df, features, [*keys, "date", target]).withColumn("value", finite("value"))
+    pooled = long.groupBy(*by).agg(F.coalesce(safe_corr("value", target), F.lit(0.0)).alias("c"), F.avg(F.col("value").isNotNull().cast("double")).alias("coverage"))
+    daily = long.groupBy(*by, "date").agg(safe_corr("value", target).alias("d"))
+    share = daily.where("d IS NOT NULL").join(pooled, by).where("c <> 0").groupBy(*by).agg(F.avg((F.signum("d") == F.signum("c")).cast("double")).alias("same_sign"))
+    out = pooled.join(share, by, "left")
+    return out.select(*by, (F.abs("c") * F.coalesce("same_sign", F.lit(0.5)) * F.col("coverage")).alias("score"))
 
 
 def daily_profile(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
