@@ -99,10 +99,10 @@ def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
 
 
-def fit_boosting(train: DataFrame, features: Sequence[str], target: str, classify: bool = True, rounds: int = 50, leaf: int = 20, depth: int = 5, weight: str | None = None, holdout: str | None = None, seed: int = 42) -> PipelineModel:
+def fit_boosting(train: DataFrame, features: Sequence[str], target: str, classify: bool = True, rounds: int = 50, leaf: int = 20, depth: int = 5, weight: str | None = None, holdout: str | None = None, seed: int = 42, rate: float = 0.1) -> PipelineModel:
     """weight: a column of row weights; holdout: a boolean column whose rows stop training early."""
     kind = GBTClassifier if classify else GBTRegressor
-    learner = kind(labelCol=target, maxIter=rounds, minInstancesPerNode=leaf, maxDepth=depth, seed=seed)
+    learner = kind(labelCol=target, maxIter=rounds, minInstancesPerNode=leaf, maxDepth=depth, seed=seed, stepSize=rate)
     if weight:
         learner.setWeightCol(weight)
     if holdout:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -12,6 +14,17 @@ from pyspark.sql import types as T
 from panelspark.operators.contracts import safe_projection
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; a temporary one in local sessions without that."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str, made_by: str = "an earlier step") -> DataFrame:
     """A Parquet table; a missing one names the step that makes it."""
     try:
@@ -25,6 +38,13 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to a scratch folder and read back: many jobs can share it, and lost executors lose none of it."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_tables(spark: SparkSession, folder: str, glob: str = "*.parquet", columns: Sequence[str] = ()) -> DataFrame:
     """All files of a folder that fit, as one table; the columns asked for must be there."""
     df = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).parquet(folder)
