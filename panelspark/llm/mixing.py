@@ -114,9 +114,12 @@ def allotted(plan: DataFrame, drawn: DataFrame) -> DataFrame:
     return own.unionByName(none).where("begin < end")
 
 
-def mixture(plan: DataFrame, seed: int) -> DataFrame:
-    """shard, turn, slot, index: the blocks of each output shard. plan: turn, slots, blocks of each source."""
-    held = allotted(plan, draws(plan.sparkSession, plan, seed)).join(plan.select("turn", "blocks"), "turn")
+def mixture(plan: DataFrame, seed: int, draw_seed: int | None = None) -> DataFrame:
+    """shard, turn, slot, index: the blocks of each output shard. plan: turn, slots, blocks of each source.
+
+    draw_seed (seed) keys the draws, so which shard holds a slot; seed keys the permutations, so which block it is.
+    """
+    held = allotted(plan, draws(plan.sparkSession, plan, seed if draw_seed is None else draw_seed)).join(plan.select("turn", "blocks"), "turn")
     slots = held.select("shard", "turn", "blocks", F.explode(F.sequence("begin", F.col("end") - 1)).alias("slot"))
     index = permuted(F.pmod("slot", "blocks"), F.col("blocks"), F.hash("turn", F.lit(seed)), (F.col("slot") / F.col("blocks")).cast("long"))
     return slots.select("shard", "turn", "slot", index.alias("index"))
@@ -133,8 +136,12 @@ def packed(docs: DataFrame, share: float, weights: tuple[float, ...], most: floa
     return sized, scratch.keep(plan.withColumn("blocks", blocks).withColumn("slots", slots), "plan")
 
 
-def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, block: int = BLOCK, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken: the words that the mix takes of each document."""
+def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1, 2), most: float = 2.0, block: int = BLOCK, seed: int = 11, draw_seed: int | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, taken: the words that the mix takes of each document.
+
+    And where it takes them: n_slots, the slots that hold any of its words, and first_shard, the first output
+    shard that has one (null: none). Draws decide the shards; how often a block is taken is the same for all.
+    """
     scratch = Scratch(docs.sparkSession)
     sized, plan = packed(docs, share, weights, most, block, seed, scratch)
     # running totals: in buckets, these in groups of 128, so that one large source isn't one task
@@ -158,19 +165,23 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (3, 1,
         .select("doc_id", "size", "source_size", "target", "turn", "start", "stop")
     )
     # how often each block is in the mix, and slots of the blocks before it
-    hits = mixture(plan, seed).groupBy("turn", "index").agg(F.count(F.lit(1)).alias("n"))
+    hits = mixture(plan, seed, draw_seed).groupBy("turn", "index").agg(F.count(F.lit(1)).alias("n"), F.min("shard").alias("shard"))
     every = plan.where("blocks > 0").select("turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / RUN))).alias("_run"), "blocks")
     every = every.select("turn", F.explode(F.sequence(F.col("_run") * RUN, F.least((F.col("_run") + 1) * RUN, "blocks") - 1)).alias("index"))
-    table = scratch.keep(running(every.join(hits, ["turn", "index"], "left").select("turn", "index", F.coalesce("n", F.lit(0)).alias("n")), "turn", "index", "n", "before"), "blocks")
+    table = scratch.keep(running(every.join(hits, ["turn", "index"], "left").select("turn", "index", F.coalesce("n", F.lit(0)).alias("n"), "shard"), "turn", "index", "n", "before"), "blocks")
     # a document's words lie in neighbouring blocks: sums by prefix, so its two ends are enough
     lo, hi = table.alias("lo"), table.alias("hi")
     some = placed.where("size > 0").withColumns({"first": F.floor(F.col("start") / block), "last": F.floor((F.col("stop") - 1) / block)})
+    # where its words go: a row for each block that holds some, at most one more a document than there are blocks
+    parts = some.select("turn", "start", F.explode(F.sequence("first", "last")).alias("index")).join(table.select("turn", "index", "n", "shard"), ["turn", "index"])
+    spread = parts.groupBy("turn", "start").agg(F.sum("n").alias("n_slots"), F.min("shard").alias("first_shard"))
     got = (
-        some.alias("d")
+        some.join(spread, ["turn", "start"])
+        .alias("d")
         .join(lo, (F.col("d.turn") == F.col("lo.turn")) & (F.col("d.first") == F.col("lo.index")))
         .join(hi, (F.col("d.turn") == F.col("hi.turn")) & (F.col("d.last") == F.col("hi.index")))
     )
     # words before x, repeats counted: block * (slots of the blocks before) + those of its own block
     taken = (F.col("hi.before") * block + (F.col("stop") - F.col("last") * block) * F.col("hi.n")) - (F.col("lo.before") * block + (F.col("start") - F.col("first") * block) * F.col("lo.n"))
-    full = got.select("d.doc_id", "d.size", "d.source_size", "d.target", taken.cast("long").alias("taken"))
-    return full.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
+    full = got.select("d.doc_id", "d.size", "d.source_size", "d.target", taken.cast("long").alias("taken"), "d.n_slots", "d.first_shard")
+    return full.unionByName(placed.where("size = 0").select("doc_id", "size", "source_size", "target", *[F.lit(x).cast("long").alias(c) for c, x in (("taken", 0), ("n_slots", 0), ("first_shard", None))]))

@@ -450,6 +450,45 @@ def test_another_seed_draws_another_mix(spark, docs):
     assert a != b and [r[:4] for r in a] == [r[:4] for r in b]
 
 
+def test_draws_alone_decide_the_shards(spark):
+    """With the permutations' seed fixed, another seed of the draws deals the same blocks to other shards, as many to each as it drew."""
+    plan = spark.createDataFrame([(1, 60_000, 40_000), (2, 20_000, 15_000)], "turn int, slots long, blocks long")
+    seen = []
+    for draw in (1, 2):
+        table = mixing.mixture(plan, 7, draw).collect()
+        drawn = collections.Counter({(r["shard"], r["turn"]): r["drawn"] for r in mixing.draws(spark, plan, draw).collect()})
+        held = collections.Counter((r["shard"], r["turn"]) for r in table)
+        total = {t: sum(n for (_, turn), n in drawn.items() if turn == t) for t in (1, 2)}
+        wanted = {1: 60_000, 2: 20_000}
+        assert all(abs(held[k] - n * wanted[k[1]] / total[k[1]]) <= 1 for k, n in drawn.items())
+        seen.append((held, collections.Counter((r["turn"], r["index"]) for r in table)))
+    assert seen[0][0] != seen[1][0] and seen[0][1] == seen[1][1]
+    docs = spark.createDataFrame([(i, "w " * (i % 400), "ab"[i % 3 == 0]) for i in range(1, 6000)], "doc_id long, text string, source string")
+    a, b = ({r["doc_id"]: r for r in mixing.mix(docs, block=16, seed=7, draw_seed=d).collect()} for d in (1, 2))
+    assert all(a[i]["taken"] == b[i]["taken"] and a[i]["n_slots"] == b[i]["n_slots"] for i in a)
+    assert any(a[i]["first_shard"] != b[i]["first_shard"] for i in a)
+
+
+def test_shards_of_a_document_equal_brute_force(spark):
+    docs = spark.createDataFrame([(i, "w " * (i * 7 % 90), "ab"[i % 3 == 0]) for i in range(60)] + [(90, None, "a")], "doc_id long, text string, source string")
+    scratch = mixing.Scratch(spark)
+    sized, plan = mixing.packed(docs, 1.5, (3, 1, 2), 2.0, 16, 5, scratch)
+    slots = collections.defaultdict(list)
+    for r in mixing.mixture(plan, 5).collect():
+        slots[r["turn"], r["index"]].append(r["shard"])
+    turn = {r["source"]: r["turn"] for r in plan.collect()}
+    got = {r["doc_id"]: r for r in mixing.mix(docs, block=16, seed=5).collect()}
+    for source in ("a", "b"):
+        at = 0
+        for r in sorted((r for r in sized.collect() if r["source"] == source), key=lambda r: (r["bucket"], r["doc_id"], r["size"], r["tie"])):
+            blocks = range(at // 16, (at + r["size"] - 1) // 16 + 1) if r["size"] else []
+            held = [s for b in blocks for s in slots[turn[source], b]]
+            words = sum(len(slots[turn[source], w // 16]) for w in range(at, at + r["size"]))
+            mine = got[r["doc_id"]]
+            assert (mine["taken"], mine["n_slots"], mine["first_shard"]) == (words, len(held), min(held, default=None))
+            at += r["size"]
+
+
 def test_mixing(spark, docs, empty):
     rows = mixing.mix(docs, block=16).collect()
     size = collections.Counter()
