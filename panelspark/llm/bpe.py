@@ -7,7 +7,12 @@ agreed on). Sets of configurations become states of a deterministic machine, bui
 a transition writes the output that all configurations share. An entry has at most as many bytes as
 the longest one, so a token leaves after bounded lookahead.
 
-Edge cases: null and empty texts have no ids. Other columns pass through unchanged.
+Decoding. The bytes of a document's tokens go through an incremental UTF-8 machine, PORTION at a time,
+whatever the document's length; digests are of the text that it gives, not of the bytes.
+
+Edge cases: null and empty texts have no ids. Very long texts are encoded whole, a piece at a time;
+repeated rows are encoded each; an empty table gives an empty result. Other columns pass through unchanged;
+one with the name of a result is refused.
 """
 
 from __future__ import annotations
@@ -26,6 +31,9 @@ from pyspark.sql import types as T
 from panelspark.llm.pretokens import Memo
 from panelspark.llm.text import gather, pieces
 
+#: Bytes that the UTF-8 machine is fed at once.
+PORTION = 1 << 14
+
 
 class Transducer:
     """Maps bytes to ids by ranks. States are built when first reached, at most `most` of them are kept."""
@@ -167,41 +175,58 @@ class Utf8:
         self.due, self.low, self.high, self.held = 0, 0x80, 0xBF, b""
 
     def feed(self, data: bytes) -> str:
-        if not self.due:
-            try:
-                return data.decode()
-            except UnicodeDecodeError:
-                pass
+        """The text of what is complete. Between characters, whole ones are taken at once; the rest goes byte by byte."""
         out: list[str] = []
-        for byte in data:
-            if self.due:
-                if self.low <= byte <= self.high:
-                    self.held += bytes((byte,))
-                    self.due -= 1
-                    self.low, self.high = 0x80, 0xBF
-                    if not self.due:
-                        out.append(self.held.decode())
-                        self.held = b""
-                    continue
-                out.append("�")
-                self.due, self.low, self.high, self.held = 0, 0x80, 0xBF, b""
-            if byte < 0x80:
-                out.append(chr(byte))
-            elif 0xC2 <= byte <= 0xF4:
-                self.due = 1 + (byte >= 0xE0) + (byte >= 0xF0)
-                self.low = {0xE0: 0xA0, 0xF0: 0x90}.get(byte, 0x80)
-                self.high = {0xED: 0x9F, 0xF4: 0x8F}.get(byte, 0xBF)
-                self.held = bytes((byte,))
-            else:
-                out.append("�")
+        at = 0
+        while at < len(data):
+            if not self.due:
+                try:
+                    return "".join(out) + data[at:].decode()
+                except UnicodeDecodeError as e:
+                    out.append(data[at : at + e.start].decode())
+                    at += e.start
+            out.append(self._step(data[at]))
+            at += 1
+            while self.due and at < len(data):
+                out.append(self._step(data[at]))
+                at += 1
         return "".join(out)
 
+    def _step(self, byte: int) -> str:
+        lost = ""
+        if self.due:
+            if self.low <= byte <= self.high:
+                self.held += bytes((byte,))
+                self.due -= 1
+                self.low, self.high = 0x80, 0xBF
+                whole, self.held = (self.held.decode(), b"") if not self.due else ("", self.held)
+                return whole
+            lost = "�"
+            self.due, self.low, self.high, self.held = 0, 0x80, 0xBF, b""
+        if byte < 0x80:
+            return lost + chr(byte)
+        if not 0xC2 <= byte <= 0xF4:
+            return lost + "�"
+        self.due = 1 + (byte >= 0xE0) + (byte >= 0xF0)
+        self.low = {0xE0: 0xA0, 0xF0: 0x90}.get(byte, 0x80)
+        self.high = {0xED: 0x9F, 0xF4: 0x8F}.get(byte, 0xBF)
+        self.held = bytes((byte,))
+        return lost
+
     def end(self) -> str:
         out = "�" if self.due else ""
         self.__init__()
         return out
 
 
+def streamed(data: bytes | memoryview) -> Iterator[str]:
+    """The text of some bytes through the machine, PORTION bytes at a time."""
+    machine = Utf8()
+    for at in range(0, len(data), PORTION):
+        yield machine.feed(bytes(data[at : at + PORTION]))
+    yield machine.end()
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -244,12 +269,11 @@ def decode_batches(batches: Iterator[pa.RecordBatch], path: str, column: str, ou
         data = gather(flat, at[ids], size[ids]).tobytes()
         edge = np.concatenate([[0], np.cumsum(size[ids])])[np.concatenate([[0], np.cumsum(n)])].tolist()
         whole = [data[a:b] for a, b in zip(edge, edge[1:])]
-        machine = Utf8()
         arrays, names = list(batch.columns), list(batch.schema.names)
         if raw:
             arrays, names = [*arrays, pa.array(whole, pa.binary())], [*names, raw]
         if out:
-            arrays, names = [*arrays, pa.array([machine.feed(w) + machine.end() for w in whole], pa.string())], [*names, out]
+            arrays, names = [*arrays, pa.array(["".join(streamed(w)) for w in whole], pa.string())], [*names, out]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
 
@@ -277,8 +301,15 @@ def round_trip(docs: DataFrame, path: str, pattern: str, column: str = "text", o
     return docs.mapInArrow(lambda it: decode_batches(encode_batches(it, path, pattern, column, out), path, out, decoded), schema)
 
 
+def _digest(texts: Iterator[str]) -> str:
+    h = hashlib.sha256()
+    for t in texts:
+        h.update(t.encode())
+    return h.hexdigest()
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Per document: count and SHA-256 of its ids, SHA-256 of the bytes decoded from them."""
+    """Per document: count and SHA-256 of its ids, SHA-256 (in UTF-8) of the text that the machine gives from their bytes."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoded = encode_batches(it, path, pattern, "text", "ids")
@@ -292,7 +323,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     b.column(b.schema.get_field_index("doc_id")),
                     pa.array(np.diff(edge) // 4, pa.int64()),
                     pa.array([hashlib.sha256(ids[x:y]).hexdigest() for x, y in zip(edge, edge[1:])], pa.string()),
-                    pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in raw], pa.string()),
+                    pa.array([_digest(streamed(memoryview(x.as_buffer()))) for x in raw], pa.string()),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )

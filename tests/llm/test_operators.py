@@ -89,6 +89,20 @@ def test_utf8_machine_equals_python_in_any_portions():
         assert out + machine.end() == raw.decode("utf-8", "replace")
 
 
+def test_decoded_text_comes_from_the_machine(monkeypatch):
+    """In portions that cut characters; and what the machine changes, text and digest change with it."""
+    texts = ["日本語 ñandú 🙂 " * 9, "", "plain", "é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    run = lambda: list(bpe.decode_batches(bpe.encode_batches(iter([batch]), RANKS, PATTERN, "text", "ids"), RANKS, "ids", "decoded"))[0].column(2).to_pylist()
+    for portion in (1, 2, 5, 1 << 14):
+        monkeypatch.setattr(bpe, "PORTION", portion)
+        assert run() == texts
+        assert [bpe._digest(bpe.streamed(t.encode())) for t in texts] == [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+    fed = bpe.Utf8.feed
+    monkeypatch.setattr(bpe.Utf8, "feed", lambda self, data: fed(self, data).replace("p", "q"))
+    assert run()[2] == "qlain" and bpe._digest(bpe.streamed(b"plain")) == hashlib.sha256(b"qlain").hexdigest()
+
+
 def test_transducer_on_small_vocabulary():
     ranks = {bytes([c]): c for c in range(256)}
     for i, t in enumerate([b"ab", b"bc", b"abc", b"aa", b"aaa", b"ca", b"bca"]):
