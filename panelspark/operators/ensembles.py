@@ -41,6 +41,21 @@ def seed_ensemble(preds: DataFrame) -> DataFrame:
     return preds.groupBy(*ROW).agg(F.avg("y_score").alias("y_score"), F.stddev_pop("y_score").alias("dispersion"), F.count(F.lit(1)).alias("n_runs"))
 
 
+def seed_summary(preds: DataFrame) -> DataFrame:
+    """One row: runs, mean and largest dispersion of a row's scores, the smallest correlation of two runs over the rows both score.
+
+    Runs (model) that give the same scores throughout have collapsed, which is an error. All pairs come from one aggregate.
+    """
+    runs = sorted(r["model"] for r in preds.select("model").distinct().collect())  # a row a run
+    pairs = [(a, b) for i, a in enumerate(runs) for b in runs[i + 1 :]]
+    spread = preds.groupBy(*ROW).agg(F.stddev_pop("y_score").alias("d")).agg(F.avg("d").alias("dispersion_mean"), F.max("d").alias("dispersion_max"))
+    both = wide(preds, runs).agg(*[safe_corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)], F.count(F.lit(1)).alias("n_rows"))
+    least = F.array_min(F.array(*[F.col(f"c{i}") for i in range(len(pairs))]).cast("array<double>"))
+    out = both.crossJoin(spread).select(F.lit(len(runs)).alias("n_runs"), "n_rows", "dispersion_mean", "dispersion_max", least.alias("min_pairwise_correlation"))  # one row each
+    collapsed = F.lit(len(runs) > 1) & (F.col("dispersion_max") <= 1e-12)
+    return out.withColumn("dispersion_max", F.when(collapsed, F.raise_error(F.lit("runs with different seeds gave the same scores")).cast("double")).otherwise(F.col("dispersion_max")))
+
+
 def wide(preds: DataFrame, models: list[str]) -> DataFrame:
     return preds.groupBy(*ROW).pivot("model", models).agg(F.first("y_score"))
 

@@ -109,3 +109,63 @@ def sample_manifest(sample: DataFrame, keys: Sequence[str], target: str) -> Data
     """Per group: rows, positive rate, symbols, dates, and a digest of its keys: the sum of their hashes, whatever the order."""
     h = F.conv(F.substring(F.md5(F.concat_ws("|", "symbol", "date")), 1, 8), 16, 10).cast("long")
     return sample.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(F.col(target).cast("double")).alias("positive_rate"), F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("date").alias("n_dates"), F.sum(h).alias("key_digest"))
+
+
+def role_seed(seed: int) -> Column:
+    """A seed for each split and role: seed + 1,000 a split, + 10,000 for other roles than train."""
+    return F.lit(seed) + F.col("split_id") * 1000 + F.when(F.col("role") == "train", 0).otherwise(10_000)
+
+
+def sample_roles(df: DataFrame, target: str, seed: int, n_symbols: int | None = None, n_dates: int | None = None, caps: dict[str, int] | None = None, balanced: bool = True) -> DataFrame:
+    """Symbols, then dates, then balanced classes, then a cap on rows, each split and role with a seed of its own.
+
+    Classes are balanced where the group's targets are exactly 0 and 1: as many rows of each as of the rarer
+    one, and half the cap at most; other groups are sampled whole. Roles that caps doesn't name have train's.
+    """
+    caps = caps or {}
+    if any(c < 2 for c in caps.values()):
+        raise ValueError("a cap is two rows at least")
+    keys, own = ["split_id", "role"], role_seed(seed)
+    rows = df if n_symbols is None else df.join(df.select("symbol").distinct().orderBy(hash_key(F.lit(seed), "symbol"), "symbol").limit(n_symbols), "symbol", "left_semi")
+    if n_dates is not None:
+        drawn = Window.partitionBy(*keys).orderBy(hash_key(own, "date"), "date")
+        days = rows.select(*keys, "date").distinct().withColumn("_n", F.row_number().over(drawn)).where(F.col("_n") <= n_dates).drop("_n")
+        rows = rows.join(days, [*keys, "date"], "left_semi")
+    known = F.col(target).isNotNull()
+    ones, noughts = (F.count_if(F.col(target) == c) for c in (1, 0))
+    groups = rows.groupBy(*keys).agg(F.least(ones, noughts).alias("_class"), (F.lit(balanced) & (ones > 0) & (noughts > 0) & (F.count_if(known) == ones + noughts)).alias("_even"))
+    cap = F.coalesce(*[F.when(F.col("role") == r, c) for r, c in caps.items()], F.lit(caps.get("train")).cast("int"), F.lit((1 << 31) - 1))
+    groups = groups.withColumn("_cap", cap.cast("long"))
+    order = [hash_key(own, "symbol", "date"), F.col("symbol"), F.col("date")]
+    ranked = rows.withColumns({"_in_class": F.row_number().over(Window.partitionBy(*keys, target).orderBy(*order)), "_in_group": F.row_number().over(Window.partitionBy(*keys).orderBy(*order))}).join(groups, keys)
+    per_class = F.least("_class", F.floor(F.col("_cap") / 2))
+    kept = F.when(F.col("_even"), known & (F.col("_in_class") <= per_class)).otherwise(F.col("_in_group") <= F.col("_cap"))
+    return ranked.where(kept).select(*df.columns)
+
+
+def sample_cross_sections(df: DataFrame, target: str, limit: int, most_dates: int, seed: int) -> DataFrame:
+    """`limit` rows of each split and role on evenly spaced dates, so that rows of a date can be compared.
+
+    The budget of a date is limit / dates, one more for the first dates as the remainder has it. A date takes
+    as many rows of each class, then fills its budget with its other rows. A group with as many dates as half
+    its limit (or its rows) takes limit / classes rows of each class from all dates. Orders are by hash.
+    """
+    keys, own = ["split_id", "role"], F.lit(seed) + F.col("split_id") * 100
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.countDistinct("date").alias("_dates"), F.countDistinct(target).alias("_classes"))
+    wide = F.col("_dates") >= F.least(F.lit(limit), F.col("_rows")) / 2
+    sizes = sizes.withColumns({"_wide": wide, "_wanted": F.least(F.lit(most_dates), "_dates", F.lit(max(1, limit // 4)))})
+    by_date = Window.partitionBy(*keys).orderBy("date")
+    days = df.select(*keys, "date").distinct().withColumn("_i", F.row_number().over(by_date) - 1).join(sizes, keys).where(~F.col("_wide"))  # a row a group and date
+    places = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("_wanted") - 1), lambda k: F.bround(k * (F.col("_dates") - 1) / F.greatest(F.col("_wanted") - 1, F.lit(1))).cast("long")))
+    chosen = days.withColumn("_at", F.array_position(places, F.col("_i").cast("long"))).where("_at > 0").withColumn("_m", F.size(places))
+    chosen = chosen.select(*keys, "date", (F.floor(F.lit(limit) / F.col("_m")) + (F.col("_at") <= F.lit(limit) % F.col("_m")).cast("int")).alias("_budget"))
+    order = [hash_key(own, "symbol", "date"), F.col("symbol")]
+    dated = df.join(chosen, [*keys, "date"])
+    dated = dated.join(dated.groupBy(*keys, "date").agg(F.greatest(F.countDistinct(target), F.lit(1)).alias("_k")), [*keys, "date"])
+    each = F.greatest(F.lit(1), F.floor(F.col("_budget") / F.col("_k")))
+    dated = dated.withColumn("_first", F.row_number().over(Window.partitionBy(*keys, "date", target).orderBy(*order)) <= each)
+    place = F.row_number().over(Window.partitionBy(*keys, "date").orderBy(F.col("_first").desc(), *order))
+    dated = dated.withColumn("_n", place).where(F.col("_first") | (F.col("_n") <= F.col("_budget"))).select(*df.columns)
+    rest = df.join(sizes.where("_wide").select(*keys, "_classes"), keys)
+    rest = rest.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, target).orderBy(*order, "date"))).where(F.col("_n") <= F.floor(F.lit(limit) / F.greatest("_classes", F.lit(1))))
+    return dated.unionByName(rest.select(*df.columns))
