@@ -179,3 +179,27 @@ def test_value_ranks_equal_ranks_in_one_window(spark):
     assert whole.where("NOT (r <=> want)").count() == 0 and whole.columns == ["k", "v", "r", "want"]
     empty = metrics.with_value_ranks(df.where("v IS NULL"), "v", "r")
     assert [r["r"] for r in empty.collect()] == [None, None]
+
+
+def test_universe_seed_states_and_coverage(spark):
+    from panelspark.operators import universe
+
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(i)
+    prices = spark.createDataFrame([(s, day(i), 10.0, 100.0) for s in ("a", "b", "spy", "new") for i in range(6) if s != "new" or i >= 4], "symbol string, date date, close double, volume double")
+    states = [("A", day(2), "us_equity", "active", True, "common_stock"), ("B", day(2), "us_equity", "active", True, "fund"), ("a", day(4), "us_equity", "inactive", True, "common_stock"), ("zzz", day(0), "us_equity", "active", True, "common_stock")]
+    assets = spark.createDataFrame(states, "symbol string, effective_date date, asset_class string, status string, tradable boolean, security_type string")
+    rules = universe.PointInTimeRules(5.0, 100.0, 1, 1, 1, 0, 0)
+    members = universe.point_in_time(prices, assets, None, rules, "spy", ["b"])
+    got = {(r["symbol"], (r["date"] - day(0)).days): (r["exclusion_reason"], r["membership_basis"], r["is_member"]) for r in members.collect()}
+    assert len(got) == 24  # all symbols on all dates
+    # an unpriced symbol's snapshot starts nothing: the seed overrides until the first one of a priced symbol, on day 2
+    assert got["B", 0] == got["B", 1] == ("eligible", universe.LEGACY_SEED, True)
+    assert got["B", 2] == ("unsupported_security_type", universe.ASSET_STATE, False)
+    assert [got["A", i][0] for i in range(6)] == ["inactive_or_untradable"] * 2 + ["eligible"] * 2 + ["inactive_or_untradable"] * 2
+    assert got["NEW", 0][0] == "missing_price" and got["SPY", 3] == ("benchmark", universe.ASSET_STATE, False)
+    days = universe.daily_coverage(members, rules)
+    table = {(r["date"] - day(0)).days: r for r in days.collect()}
+    assert (table[0]["member_count"], table[0]["legacy_rows"], table[0]["legacy_row_share"]) == (1, 1, 0.25)
+    assert (table[2]["entries"], table[2]["exits"], table[2]["membership_turnover"], table[2]["asset_state_coverage"]) == (1, 1, 2.0, 0.5)
+    one = universe.coverage_summary(days, members).first()
+    assert one["inactive_or_untradable_exits"] == 1 and one["prospective_start_date"] == day(2) and one["exits"] == 2
