@@ -203,3 +203,20 @@ def test_universe_seed_states_and_coverage(spark):
     assert (table[2]["entries"], table[2]["exits"], table[2]["membership_turnover"], table[2]["asset_state_coverage"]) == (1, 1, 2.0, 0.5)
     one = universe.coverage_summary(days, members).first()
     assert one["inactive_or_untradable_exits"] == 1 and one["prospective_start_date"] == day(2) and one["exits"] == 2
+
+
+def test_filing_fundamentals(spark):
+    from panelspark.operators import fundamentals
+
+    def fact(symbol, year, concept, value, n=0, period="Q1"):
+        return (symbol, 1, "0000000001", year, period, dt.date(year, 5, 1), "10-Q", dt.date(year, 3, 31), f"a{year}{n}", concept, value)
+
+    rows = [fact("a", 2020, "revenue", 100.0), fact("a", 2020, "net_income", 10.0), fact("A", 2020, "net_income", 8.0), fact("a", 2021, "net_income", 5.0), fact("a", 2022, "revenue", 150.0), fact("a", 2022, "net_income", 0.0), fact("a", 2022, "operating_cash_flow", 30.0), fact("a", 2022, "capital_expenditure", 15.0)]
+    rows += [fact("a", 2023, "revenue", float("nan")), fact("a", 2023, "goodwill", 1.0), fact("b", 2022, "revenue", 1.0, period=None), fact("b", 2022, "revenue", None)]
+    schema = "symbol string, cik long, cik_padded string, fiscal_year int, fiscal_period string, filing_date date, form string, end_date date, accession_number string, concept string, value double"
+    got = {r["fiscal_year"]: r for r in fundamentals.filing_fundamentals(spark.createDataFrame(rows, schema)).collect()}
+    assert set(got) == {2020, 2021, 2022} and got[2020]["symbol"] == "A"
+    assert got[2020]["fundamental_net_income"] == 10.0 and got[2020]["net_income_margin"] == 0.1 and got[2020]["revenue_growth"] is None
+    assert got[2021]["revenue_growth"] is None and got[2021]["net_income_growth"] == -0.5
+    assert got[2022]["revenue_growth"] == 0.5 and got[2022]["free_cash_flow_margin"] == 0.1 and got[2022]["cash_flow_quality"] is None
+    assert all(f"fundamental_{c}" in got[2020].asDict() for c in fundamentals.CONCEPTS) and set(fundamentals.RATIOS) < set(got[2020].asDict())
