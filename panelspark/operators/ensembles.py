@@ -72,30 +72,33 @@ def _split_ids(preds: DataFrame) -> list:
     return sorted(r[0] for r in preds.select("split_id").distinct().collect())
 
 
-def _later(preds: DataFrame, splits: list) -> Column:
-    """A row for each of the splits that come after the row's own."""
-    return F.explode(F.filter(F.array(*[F.lit(s).cast(preds.schema["split_id"].dataType) for s in splits]), lambda c: c > F.col("split_id")))
-
-
 def calibration_maps(preds: DataFrame, least: int = 20, rounds: int = 25) -> DataFrame:
     """model, cur, a, b (a row a model and split): the logistic curve of the scores of all splits before `cur`, with a penalty of a * a / 2.
 
     Newton's method for all models and splits at once, an aggregate a round; the driver gets a row a model and
-    split. Where history has fewer than `least` rows or one class alone, there is no map.
+    split. Rows are neither copied nor shuffled: each meets the few curves of the splits after its own and goes
+    into their sums at once. Where history has fewer than `least` rows or one class alone, there is no map.
     """
     spark = preds.sparkSession
-    scores = preds.where("y_score IS NOT NULL AND y_true IS NOT NULL").groupBy("model", "split_id", "y_score").agg(F.sum(F.col("y_true").cast("double")).alias("p"), F.count(F.lit(1)).cast("double").alias("n")).persist()
-    history = scores.withColumn("cur", _later(scores, _split_ids(scores)))
-    kind = preds.select("model", F.col("split_id").alias("cur")).schema.add("a", "double").add("b", "double")
-    have = history.groupBy("model", "cur").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).collect()
-    at = {(r["model"], r["cur"]): (0.0, 0.0) for r in have if r["n"] >= least and 0 < r["p"] < r["n"]}
-    s, n, q = F.col("y_score"), F.col("n"), _logistic(F.col("a") * F.col("y_score") + F.col("b"))
-    gap, weight = n * q - F.col("p"), n * q * (1 - q)
+    scores = preds.where("y_score IS NOT NULL AND y_true IS NOT NULL").select("model", "split_id", "y_score", F.col("y_true").cast("double").alias("p")).persist()
+    kind = preds.select("model", "split_id", F.col("split_id").alias("cur")).schema.add("a", "double").add("b", "double")
+    splits, have = _split_ids(preds), {}
+    for r in scores.groupBy("model", "split_id").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p")).collect():
+        have[r["model"], r["split_id"]] = (r["n"], r["p"])
+    at = {}
+    for model in {m for m, _ in have}:
+        n = p = 0
+        for before, cur in zip(splits, splits[1:]):  # what a split adds to the history of the next
+            n, p = n + have.get((model, before), (0, 0))[0], p + have.get((model, before), (0, 0))[1]
+            if n >= least and 0 < p < n:
+                at[model, cur] = (0.0, 0.0)
+    s, q = F.col("y_score"), _logistic(F.col("a") * F.col("y_score") + F.col("b"))
+    gap, weight = q - F.col("p"), q * (1 - q)
     sums = [F.sum(s * gap).alias("ga"), F.sum(gap).alias("gb"), F.sum(weight * s * s).alias("aa"), F.sum(weight * s).alias("ab"), F.sum(weight).alias("bb")]
     for _ in range(rounds if at else 0):
-        table = spark.createDataFrame([(*k, *v) for k, v in at.items()], kind)
+        table = spark.createDataFrame([(m, old, cur, *v) for (m, cur), v in at.items() for old in splits if old < cur], kind)
         moved = 0.0
-        for r in history.join(F.broadcast(table), ["model", "cur"]).groupBy("model", "cur").agg(*sums).collect():
+        for r in scores.join(F.broadcast(table), ["model", "split_id"]).groupBy("model", "cur").agg(*sums).collect():
             a, b = at[r["model"], r["cur"]]
             ga, aa = r["ga"] + a, r["aa"] + 1
             det = max(aa * r["bb"] - r["ab"] ** 2, 1e-12)
@@ -106,7 +109,7 @@ def calibration_maps(preds: DataFrame, least: int = 20, rounds: int = 25) -> Dat
         if moved < 1e-8:
             break
     scores.unpersist()
-    return spark.createDataFrame([(*k, *v) for k, v in at.items()], kind)
+    return spark.createDataFrame([(*k, *v) for k, v in at.items()], T.StructType([f for f in kind if f.name != "split_id"]))
 
 
 def calibrate(preds: DataFrame, least: int = 20) -> DataFrame:
@@ -152,68 +155,112 @@ def _moves(w: tuple[float, ...], step: float) -> list[tuple[float, ...]]:
     return out
 
 
-def _objectives(history: DataFrame, tried: dict, task: str, turnover: float, dispersion: float) -> dict:
-    """The objective of each weight vector tried for each split: loss, its spread over earlier splits, mean change of a symbol's score."""
-    count, k = (len(x) for x in (next(iter(tried.values())), next(iter(tried.values()))[0]))
-    names = [[f"w{c}_{i}" for i in range(k)] for c in range(count)]
-    kind = history.select("cur").schema
-    for name in (n for each in names for n in each):
-        kind = kind.add(name, "double")
-    table = history.sparkSession.createDataFrame([(cur, *[x for w in ws for x in w]) for cur, ws in tried.items()], kind)
-    rows = history.join(F.broadcast(table), "cur")  # a row a split
-    score = [_dot("x", [F.col(n) for n in each]) for each in names]
-    change = [F.sum(F.abs(_dot("d", [F.col(n) for n in each]))).alias(f"t{c}") for c, each in enumerate(names)]
-    losses = [F.lit(None).cast("double").alias(f"l{c}") for c in range(count)]
-    if task == "classification":
-        y = F.col("y_true").cast("int")
-        losses = [F.sum(-F.when(y == 1, F.ln(_clipped(s))).otherwise(F.ln(1 - _clipped(s)))).alias(f"l{c}") for c, s in enumerate(score)]
-    sums = rows.groupBy("cur", "split_id").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("nd"), *change, *losses).collect()
-    changes = {}
-    for cur in tried:
-        own = [r for r in sums if r["cur"] == cur]
-        changes[cur] = [sum(r[f"t{c}"] or 0.0 for r in own) / max(sum(r["nd"] for r in own), 1) for c in range(count)]
-    if task == "classification":
-        folds = [(r["cur"], r["n"], [r[f"l{c}"] / r["n"] for c in range(count)]) for r in sums]
+def _with_before(rows: DataFrame, splits: list) -> DataFrame:
+    """Adds before: the rows (date, split_id, x) of the symbol that some later split sees as the one just before; where splits follow each other in time, one."""
+    past = Window.partitionBy("symbol").orderBy("date", "split_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.struct("date", "split_id", "x")
+    last = F.array_compact(F.array(*[F.last(F.when(F.col("split_id") == s, own), ignorenulls=True).over(past) for s in splits or [None]]))
+
+    def hidden(e: Column) -> Column:  # from every later split, by a newer row
+        return F.exists("_last", lambda f: (f > e) & (f["split_id"] <= F.greatest("split_id", e["split_id"])))
+
+    return rows.withColumn("_last", last).withColumn("before", F.filter("_last", lambda e: ~hidden(e))).drop("_last")
+
+
+def _candidates(history: DataFrame, splits: list, tried: dict, curves: dict, models: list[str]) -> DataFrame:
+    """split_id, cur, w (weight vectors), curves (a, b of each model): a row a pair of splits."""
+    kind = history.select("split_id", F.col("split_id").alias("cur")).schema
+    kind = kind.add("w", T.ArrayType(T.ArrayType(T.DoubleType()))).add("curves", T.ArrayType(T.ArrayType(T.DoubleType())))
+    found = {cur: [curves.get((m, cur)) for m in models] for cur in tried}
+    return history.sparkSession.createDataFrame([(old, cur, [list(w) for w in ws], found[cur]) for cur, ws in tried.items() for old in splits if old < cur], kind)
+
+
+def _on_curve(x: Column, i: int) -> Column:
+    """A score of the i-th model on its curve, clipped where it has none."""
+    curve = F.col("curves")[i]
+    return F.when(curve.isNotNull(), _logistic(curve[0] * x + curve[1])).otherwise(_clipped(x))
+
+
+def _rank_ics(ranked: DataFrame, wanted: set, known: dict) -> None:
+    """Adds to `known` the rank correlation with excess returns of each wanted (split, weights); it is the same for every later split."""
+    new = sorted(wanted - known.keys())
+    if not new:
+        return
+    kind = ranked.select("split_id").schema.add("c", T.IntegerType()).add("w", T.ArrayType(T.DoubleType()))
+    table = ranked.sparkSession.createDataFrame([(s, c, list(w)) for c, (s, w) in enumerate(new)], kind)
+    count = len(new[0][1])
+    scored = ranked.join(F.broadcast(table), "split_id").select("c", "_b", _dot("x", [F.col("w")[i] for i in range(count)]).alias("s"))
+    found = {r["c"]: r["ic"] for r in scored.withColumn("_a", average_rank("s", ["c"])).groupBy("c").agg(safe_corr("_a", "_b").alias("ic")).collect()}
+    known.update({key: found.get(c) for c, key in enumerate(new)})
+
+
+def _objectives(history: DataFrame, ranked: DataFrame | None, ics: dict, splits: list, tried: dict, curves: dict, models: list[str], turnover: float, dispersion: float) -> dict:
+    """The objective of each weight vector tried for each split: loss, its spread over earlier splits, mean change of a symbol's score.
+
+    Sums are taken by pairs of splits where the rows are and put together over the earlier splits in the driver.
+    """
+    k = len(models)
+    rows = history.join(F.broadcast(_candidates(history, splits, tried, curves, models)), "split_id")  # a row a pair of splits
+    rows = rows.withColumn("_p", F.array_max(F.filter("before", lambda e: e["split_id"] < F.col("cur")))["x"])
+    at = (lambda x, i: F.col(x)[i]) if ranked is not None else (lambda x, i: _on_curve(F.col(x)[i], i))
+    rows = rows.withColumns({**{f"_now{i}": at("x", i) for i in range(k)}, **{f"_then{i}": F.when(F.col("_p").isNotNull(), at("_p", i)) for i in range(k)}})
+    rows = rows.select("cur", "split_id", "y_true", "_p", *[f"_now{i}" for i in range(k)], *[(F.col(f"_now{i}") - F.col(f"_then{i}")).alias(f"_d{i}") for i in range(k)], F.posexplode("w").alias("c", "v"))
+
+    def dot(x: str) -> Column:
+        return reduce(lambda a, b: a + b, [F.col(f"{x}{i}") * F.col("v")[i] for i in range(k)])
+
+    sums = [F.count(F.lit(1)).alias("n"), F.count("_p").alias("nd"), F.sum(F.abs(dot("_d"))).alias("t")]
+    if ranked is None:
+        s = _clipped(dot("_now"))
+        sums.append(F.sum(-F.ln(F.when(F.col("y_true").cast("int") == 1, s).otherwise(1 - s))).alias("l"))
     else:
-        long = rows.where("forward_excess_return IS NOT NULL").select("cur", "split_id", "forward_excess_return", F.posexplode(F.array(*score)).alias("c", "s"))
-        keys = ["cur", "split_id", "c"]
-        ranked = long.withColumns({"_a": average_rank("s", keys), "_b": average_rank("forward_excess_return", keys)})
-        each = ranked.groupBy("cur", "split_id").pivot("c", list(range(count))).agg(safe_corr("_a", "_b")).collect()
-        folds = [(r["cur"], 1, [None if r[str(c)] is None else -r[str(c)] for c in range(count)]) for r in each]
-    out = {}
-    for cur in tried:
+        _rank_ics(ranked, {(old, w) for cur, ws in tried.items() for w in ws for old in splits if old < cur}, ics)
+    found = {(r["cur"], r["c"], r["split_id"]): r for r in rows.groupBy("cur", "c", "split_id").agg(*sums).collect()}
+    out: dict = {}
+    for cur, ws in tried.items():
         out[cur] = []
-        for c in range(count):
-            values = [(n, f[c]) for at, n, f in folds if at == cur and f[c] is not None]
+        for c, w in enumerate(ws):
+            own = [found[cur, c, old] for old in splits if (cur, c, old) in found]
+            if ranked is None:
+                values = [(r["n"], r["l"] / r["n"]) for r in own]
+            else:
+                values = [(1, -ics[old, w]) for old in splits if old < cur and ics[old, w] is not None]
             base = sum(n * v for n, v in values) / sum(n for n, _ in values) if values else 0.0
             mean = sum(v for _, v in values) / len(values) if values else 0.0
             spread = (sum((v - mean) ** 2 for _, v in values) / len(values)) ** 0.5 if values else 0.0
-            out[cur].append(base + dispersion * spread + turnover * changes[cur][c])
+            change = sum(r["t"] or 0.0 for r in own) / max(sum(r["nd"] for r in own), 1)
+            out[cur].append(base + dispersion * spread + turnover * change)
     return out
 
 
-def _learn(rows: DataFrame, maps: DataFrame | None, models: list[str], splits: list, task: str, least: int, turnover: float, dispersion: float, finest: float = 1 / 64) -> dict:
-    """split -> (weights, source), learnt on the splits before it; the search for all of them runs in step.
+def _learn(rows: DataFrame, maps: DataFrame | None, models: list[str], splits: list, every: list, task: str, least: int, turnover: float, dispersion: float, finest: float = 1 / 64) -> dict:
+    """split -> (weights, source) for each of `splits`, learnt on those of `every` before it; the search for all of them runs in step.
 
     From equal weights, the best shift of weight between two models is taken as long as one helps, else shifts
-    get smaller, down to a quarter of `finest`. The driver gets sums by split alone.
+    get smaller, down to a quarter of `finest`. The rows are kept once, whatever the number of splits; the
+    driver gets sums by pairs of splits alone.
     """
     equal = tuple(1 / len(models) for _ in models)
+    curves = {(r["model"], r["cur"]): [r["a"], r["b"]] for r in maps.collect()} if maps is not None else {}
     known = rows.where("y_true IS NOT NULL AND NOT exists(x, v -> v IS NULL)")
-    history = _scaled(known.withColumn("cur", _later(known, splits)), maps, models, "cur")
-    before = F.lag("x").over(Window.partitionBy("cur", "symbol").orderBy("date", "split_id"))
-    history = history.withColumn("d", F.zip_with("x", before, lambda a, b: a - b)).select("cur", "split_id", "y_true", "forward_excess_return", "x", "d").persist()
-    enough = {r["cur"] for r in history.groupBy("cur").count().where(F.col("count") >= least).collect()}
-    weights, step = dict.fromkeys(enough, equal), dict.fromkeys(enough, 0.25)
+    history = _with_before(known, every).select("split_id", "y_true", "forward_excess_return", "x", "before").persist()
+    ranked = None
+    if task != "classification":
+        ranked = history.where("forward_excess_return IS NOT NULL").select("split_id", "x", average_rank("forward_excess_return", ["split_id"]).alias("_b")).persist()
+    counts = {r["split_id"]: r["count"] for r in history.groupBy("split_id").count().collect()}
+    enough = [s for s in splits if sum(n for old, n in counts.items() if old < s) >= least]
+    weights, step, ics = dict.fromkeys(enough, equal), dict.fromkeys(enough, 0.25), {}
     while running := [c for c in enough if step[c] >= finest]:
         tried = {c: _moves(weights[c], step[c]) for c in running}
-        for c, values in _objectives(history, tried, task, turnover, dispersion).items():
+        for c, values in _objectives(history, ranked, ics, sorted(counts), tried, curves, models, turnover, dispersion).items():
             best = min(range(len(values)), key=values.__getitem__)
             if values[best] < values[0] - 1e-9:
                 weights[c] = tried[c][best]
             else:
                 step[c] /= 16
     history.unpersist()
+    if ranked is not None:
+        ranked.unpersist()
     return {s: (weights[s], "chronological_constrained") if s in enough else (equal, "equal_weight_insufficient_history") for s in splits}
 
 
@@ -224,7 +271,8 @@ def stack_weights(preds: DataFrame, models: list[str], task: str = "classificati
     standard deviation over splits, plus `turnover` times the mean absolute change of a symbol's score. Classifiers are calibrated first.
     """
     maps = calibration_maps(preds, least) if task == "classification" else None
-    learned = _learn(_scores(preds, models), maps, models, _split_ids(preds), task, least, turnover, dispersion)
+    every = _split_ids(preds)
+    learned = _learn(_scores(preds, models), maps, models, every, every, task, least, turnover, dispersion)
     kind = preds.select("split_id", "model").schema.add("weight", "double").add("weight_source", "string")
     return preds.sparkSession.createDataFrame([(s, m, x, source) for s, (w, source) in learned.items() for m, x in zip(models, w)], kind)
 
@@ -267,7 +315,7 @@ def chronological(preds: DataFrame, least: int = 20, turnover: float = 0.01, dis
 def _combined(preds: DataFrame, maps: DataFrame | None, models: list[str], splits: list, task: str, least: int, turnover: float, dispersion: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     spark, rows = preds.sparkSession, _scores(preds, models)
     every = sorted(splits)
-    learned = _learn(rows, maps, models, every, task, least, turnover, dispersion)
+    learned = _learn(rows, maps, models, every, _split_ids(preds), task, least, turnover, dispersion)
     kind = preds.select("split_id", "model").schema.add("weight", "double").add("weight_source", "string")
     weights = spark.createDataFrame([(s, m, x, source) for s, (w, source) in learned.items() for m, x in zip(models, w)], kind).withColumn("task", F.lit(task))
     by_split = spark.createDataFrame([(s, list(w)) for s, (w, _) in learned.items()], preds.select("split_id").schema.add("w", T.ArrayType(T.DoubleType())))

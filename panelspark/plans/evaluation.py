@@ -234,7 +234,17 @@ def e8_seed_ensemble(spark, d):
     return ensembles.seed_ensemble(v.preds(spark, d))
 
 
-@query("model split_id:i calibrated:r")
+CURVES = v.BINARY + """, splits AS (SELECT DISTINCT split_id AS cur FROM binary_preds),
+history AS (SELECT model, cur, y_score AS s, y_true::DOUBLE AS p FROM binary_preds JOIN splits ON split_id < cur),
+fit AS (SELECT model, cur, 0 AS i, 0::DOUBLE AS a, 0::DOUBLE AS b FROM history GROUP BY 1, 2 HAVING count(*) >= 20 AND sum(p) BETWEEN 1 AND count(*) - 1
+        UNION ALL SELECT model, cur, i + 1, a - da * least(1, 10 / greatest(abs(da), abs(db), 1e-12)), b - db * least(1, 10 / greatest(abs(da), abs(db), 1e-12))
+        FROM (SELECT *, (bb * ga - ab * gb) / (aa * bb - ab * ab) AS da, (aa * gb - ab * ga) / (aa * bb - ab * ab) AS db
+              FROM (SELECT model, cur, i, a, b, sum(s * (q - p)) + a AS ga, sum(q - p) AS gb, sum(q * (1 - q) * s * s) + 1 AS aa, sum(q * (1 - q) * s) AS ab, sum(q * (1 - q)) AS bb
+                    FROM (SELECT *, 1 / (1 + exp(-(a * s + b))) AS q FROM fit JOIN history USING (model, cur) WHERE i < 12) GROUP BY model, cur, i, a, b))),
+curve AS (SELECT model, cur AS split_id, a, b FROM fit WHERE i = 12)"""
+
+
+@query("model split_id:i calibrated:r", "RECURSIVE " + CURVES, "SELECT model, split_id, avg(CASE WHEN a IS NULL THEN greatest(1e-6, least(1 - 1e-6, y_score)) ELSE 1 / (1 + exp(-(a * y_score + b))) END) AS calibrated FROM binary_preds LEFT JOIN curve USING (model, split_id) GROUP BY 1, 2")
 def e3_calibration(spark, d):
     return ensembles.calibrate(v.binary_preds(spark, d)).groupBy("model", "split_id").agg(F.avg("calibrated").alias("calibrated"))
 

@@ -121,3 +121,25 @@ def test_chronological_tasks_and_incomplete_models(spark):
     assert out.sensitivity.where("mean_change < 0 OR abs(rank_corr) > 1 + 1e-9").count() == 0 and out.sensitivity.count() == 14
     with pytest.raises(ValueError):
         ensembles.chronological(spark.createDataFrame([r for r in rows if r[6] == "a"], SCHEMA))
+
+
+def test_rows_just_before_for_every_later_split_also_where_splits_overlap_in_time(spark):
+    r = np.random.default_rng(5)
+    rows = [(i % 2 * 2 + int(r.integers(0, 2)), f"S{int(r.integers(0, 3))}", datetime.date(2020, 1, 1) + datetime.timedelta(days=i // 2), [float(i)]) for i in range(80)]
+    found = ensembles._with_before(spark.createDataFrame(rows, "split_id int, symbol string, date date, x array<double>"), [0, 1, 2, 3]).collect()
+    assert len(found) == len(rows)
+    for row in found:
+        for cur in range(row["split_id"] + 1, 5):
+            older = [(d, s, x) for s, k, d, x in rows if k == row["symbol"] and s < cur and (d, s) < (row["date"], row["split_id"])]
+            seen = [(b["date"], b["split_id"], b["x"]) for b in row["before"] if b["split_id"] < cur]
+            assert (max(seen) if seen else None)[:2] == max(older)[:2] if older else not seen
+
+
+def test_history_is_kept_once_whatever_the_number_of_splits(spark):
+    rows = spark.createDataFrame(rows_of(splits=6), SCHEMA)
+    out = ensembles._with_before(ensembles._scores(rows, ["a", "b"]), list(range(6)))
+    assert out.count() == 6 * 12 * 6 and out.where("size(before) > 1").count() == 0
+
+
+def test_stack_of_an_empty_table_is_empty(spark):
+    assert ensembles.stack_weights(spark.createDataFrame([], SCHEMA), ["a", "b"]).count() == 0
