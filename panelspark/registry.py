@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from panelspark.plans import accounts, catalog, datasets, evaluation, fold_audit, learning, membership, research, sampled, stored
+from panelspark.plans import accounts, catalog, datasets, evaluation, fold_audit, learning, membership, research, sampled, snapshots, stored
 
 FLAGSHIP = "w7_w13_market_signals"
 
 
 def queries() -> dict:
-    return {**catalog.QUERIES, **evaluation.QUERIES, **datasets.QUERIES, **research.QUERIES, **learning.QUERIES, **sampled.QUERIES, **stored.QUERIES, **membership.QUERIES, **accounts.QUERIES, **fold_audit.QUERIES}
+    return {**catalog.QUERIES, **evaluation.QUERIES, **datasets.QUERIES, **research.QUERIES, **learning.QUERIES, **sampled.QUERIES, **stored.QUERIES, **membership.QUERIES, **accounts.QUERIES, **fold_audit.QUERIES, **snapshots.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**catalog.SQL, **evaluation.SQL, **datasets.SQL, **research.SQL, **learning.SQL, **sampled.SQL, **stored.SQL, **membership.SQL, **accounts.SQL, **fold_audit.SQL}
+    return {**catalog.SQL, **evaluation.SQL, **datasets.SQL, **research.SQL, **learning.SQL, **sampled.SQL, **stored.SQL, **membership.SQL, **accounts.SQL, **fold_audit.SQL, **snapshots.SQL}
