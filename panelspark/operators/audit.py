@@ -57,7 +57,8 @@ def predictive(df: DataFrame, features: Sequence[str], ret: str, target: str) ->
     long = long_features(df, features, ["symbol", "date", ret, target]).withColumn("period", F.year("date")).where(F.col("value").isNotNull() & F.col(ret).isNotNull())
     daily = long.withColumns({"_a": average_rank("value", ["feature", "date"]), "_b": average_rank(ret, ["feature", "date"])})
     daily = daily.groupBy("feature", "period", "date").agg(safe_corr("_a", "_b", 3).alias("ic"))
-    pooled = long.withColumns({"_a": average_rank("value", ["feature", "period"]), "_b": average_rank(target, ["feature", "period"])})
+    keys = ["feature", "period"]  # a period is a year of the whole panel: ranks of counted values, range by range
+    pooled = with_value_ranks(with_value_ranks(long, "value", "_a", keys), target, "_b", keys)
     pooled = pooled.groupBy("feature", "period").agg(safe_corr("_a", "_b", 3).alias("class_association"), F.count(F.lit(1)).alias("n_pairs"))
     return daily.groupBy("feature", "period").agg(F.avg("ic").alias("rank_ic")).join(pooled, ["feature", "period"])
 

@@ -67,9 +67,14 @@ def regime_leaders(metrics: DataFrame, value: str) -> DataFrame:
     return metrics.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def slice_differences(metrics: DataFrame, model: str, keys: Sequence[str], value: str) -> DataFrame:
-    """Every other model against one in the same slice."""
-    return pair_metrics(metrics, model, keys, value)
+def slice_differences(metrics: DataFrame, model: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """One model against every other in the same slice: other, and for each value its own, the other's and own minus other.
+
+    Slices that only one side has give no row; a null on either side gives a null difference.
+    """
+    own = metrics.where(F.col("model") == model).select(*keys, *[F.col(v).alias(f"{v}_own") for v in values])
+    others = metrics.where(F.col("model") != model).select(*keys, F.col("model").alias("other"), *[F.col(v).alias(f"{v}_other") for v in values])
+    return own.join(others, list(keys)).withColumns({f"{v}_difference": F.col(f"{v}_own") - F.col(f"{v}_other") for v in values})
 
 
 def pivot_metrics(long: DataFrame, metrics: Sequence[str]) -> DataFrame:

@@ -83,6 +83,11 @@ def candidates(assets: DataFrame, exchanges: Sequence[str], n: int, benchmark: s
     return chosen.unionByName(assets.sparkSession.createDataFrame([(benchmark,)], "symbol string")).distinct()
 
 
+def with_legacy(symbols: DataFrame, legacy: DataFrame) -> DataFrame:
+    """Symbols of the latest pool and of the legacy list, each once; null and blank ones are left out."""
+    return symbols.select("symbol").unionByName(legacy.select("symbol")).where("trim(symbol) <> ''").distinct()
+
+
 def latest_signals(scored: DataFrame, benchmark: str | None = None) -> DataFrame:
     """The last date's rows per model, ranked by score, the benchmark flagged."""
     last = scored.groupBy("model").agg(F.max("date").alias("date"))

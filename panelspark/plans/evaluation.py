@@ -615,6 +615,22 @@ def v6_regime_leaders(spark, d):
     return evidence.regime_leaders(m.withColumn("accuracy", F.round("accuracy", 9)), "accuracy")
 
 
+SLICES = ["accuracy", "brier", "log_loss"]
+
+
+@query("regime_type regime other " + " ".join(f"{m}_own:r {m}_other:r {m}_difference:r" for m in SLICES), SQL["m9_metrics_by_regime"].split("\nSELECT ", 1)[0].removeprefix("WITH ") + f", sl AS (SELECT regime_type, regime, model, {CLASSIFY} FROM rg2 GROUP BY 1, 2, 3 HAVING count(*) >= 50)",
+       "SELECT a.regime_type, a.regime, b.model AS other, " + ", ".join(f"a.{m} AS {m}_own, b.{m} AS {m}_other, a.{m} - b.{m} AS {m}_difference" for m in SLICES) + " FROM sl a JOIN sl b ON a.model = 'mF' AND b.model <> 'mF' AND a.regime_type = b.regime_type AND a.regime = b.regime")
+def j16_slice_differences(spark, d):
+    m = metrics.by_regime(v.binary_preds(spark, d), regimes(spark, d), ["volatility_regime", "rate_regime", "curve_regime"])
+    return evidence.slice_differences(m, "mF", ["regime_type", "regime"], SLICES)
+
+
+@query("symbol", v.FILINGS, "SELECT symbol FROM (SELECT c_name AS symbol FROM customer WHERE c_acctbal > 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY') ORDER BY sha256(c_name), c_name LIMIT 40) UNION SELECT 'BENCH' UNION SELECT symbol FROM filings")
+def d7s_with_legacy(spark, d):
+    """The latest candidates and the nations that ever filed."""
+    return sampling.with_legacy(k7_candidates(spark, d), v.filings(spark, d))
+
+
 # --- upserts
 
 

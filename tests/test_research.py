@@ -220,3 +220,9 @@ def test_filing_fundamentals(spark):
     assert got[2021]["revenue_growth"] is None and got[2021]["net_income_growth"] == -0.5
     assert got[2022]["revenue_growth"] == 0.5 and got[2022]["free_cash_flow_margin"] == 0.1 and got[2022]["cash_flow_quality"] is None
     assert all(f"fundamental_{c}" in got[2020].asDict() for c in fundamentals.CONCEPTS) and set(fundamentals.RATIOS) < set(got[2020].asDict())
+
+
+def test_slice_differences_need_both_sides(spark):
+    rows = spark.createDataFrame([("a", "up", "m", 0.5), ("a", "up", "n", 0.2), ("a", "up", "o", None), ("a", "down", "m", 0.1), ("a", "flat", "n", 0.4)], "regime_type string, regime string, model string, x double")
+    out = evidence.slice_differences(rows, "m", ["regime_type", "regime"], ["x"]).collect()
+    assert sorted((r["regime"], r["other"], r["x_difference"]) for r in out if r["x_difference"] is not None) == [("up", "n", 0.3)] and len(out) == 2
