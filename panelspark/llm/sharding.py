@@ -10,7 +10,8 @@ A cut through a group of equal texts leaves its rows in two or more shards.
 
 Edge cases: a null text counts as empty; repeated rows each get a slot of their own; an empty table
 gives an empty result. Columns other than doc_id and the text's aren't read, whatever their names; only
-those named below are returned.
+those named below are returned. Very long texts count by their bytes and may fill ranges alone. Shards depend on the
+rows alone, not on settings of the session, so that reruns agree.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES_PER_SHARD = 16
+#: Rows of a range on average: what one task sorts, without texts.
+ROWS_PER_RANGE = 1_000_000
 #: Samples of a shard: the standard deviation of a range is about one in 200 of its size.
 SAMPLES_PER_SHARD = 40_000
 OVERFULL = 1.02
@@ -29,16 +32,21 @@ OVERFULL = 1.02
 def splitters(keyed: DataFrame, ranges: int, samples: int, seed: int = 7) -> list[int]:
     """ranges - 1 boundaries of `key`, from about `samples` draws that take rows in proportion to `size`.
 
-    A row is drawn as often as its share says, the fraction by a hash of the row: the same on any rerun.
+    A row is drawn as often as its share says, the fraction by a hash of the row, and the quantiles of the sample
+    are exact: the same on any rerun, whatever the order in which tasks end.
     """
     total = keyed.agg(F.sum("size")).first()[0]
     if not total:
         return []
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    copies = F.floor(F.col("size") * F.lit(samples / total) + draw).cast("int")
-    sample = keyed.select("key", copies.alias("copies")).where("copies > 0").select("key", F.explode(F.sequence(F.lit(1), "copies")))
-    found = sample.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    return [int(x) for x in found or []]
+    copies = F.floor(F.col("size") * F.lit(samples / total) + draw).cast("long")
+    drawn = keyed.select("key", copies.alias("copies")).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("n"))
+    # keys of the sample alone, `samples` and a few at most: one task may order them
+    upto = F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    ordered = drawn.select("key", "n", upto.alias("upto"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    before, last = (F.floor(x * ranges / F.col("all")) for x in (F.col("upto") - F.col("n"), F.col("upto")))
+    cut = ordered.select("key", (before + 1).alias("a"), F.least(last, F.lit(ranges - 1)).alias("b")).where("a <= b")
+    return [r["key"] for r in cut.select("key", F.explode(F.sequence("a", "b")).alias("i")).orderBy("i").collect()]
 
 
 def joined_shards(sizes: list[int], shared: list[bool]) -> list[tuple[int, int]]:
@@ -74,9 +82,10 @@ def shard(docs: DataFrame, shards: int, column: str = "text", samples_per_shard:
         "doc_id",
         (F.octet_length(text).cast("long") + 8).alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
-        F.shiftrightunsigned(F.xxhash64(text), 12).alias("key"),  # 52 bits: percentile_approx works in doubles
+        F.shiftrightunsigned(F.xxhash64(text), 12).alias("key"),
     )
-    per = max(RANGES_PER_SHARD, -(-int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    rows = keyed.select("doc_id").count()
+    per = max(RANGES_PER_SHARD, -(-rows // (shards * ROWS_PER_RANGE)))  # by the table, not by the session
     ranges = shards * per
     bounds = splitters(keyed, ranges, shards * samples_per_shard)
     counted = Counter(bounds)

@@ -444,6 +444,21 @@ def test_shard_boundaries_are_the_sampled_quantiles(spark):
     assert sharding.joined_shards([100, 100, 100, 100], [True, False, False]) == [(0, 2), (2, 1), (3, 1)]
 
 
+def test_shards_are_the_same_under_other_settings(spark, docs):
+    """Neither partitions of shuffles nor those of the input change a shard; boundaries are exact quantiles of the sample."""
+    rows = [(i, f"text {i} " * (1 + i % 50)) for i in range(5000)] + [(i, "hot") for i in range(5000, 7000)] + [(None, None), (1, "text 1 ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    first = sorted(map(str, sharding.shard(table.repartition(3), 5, samples_per_shard=300).collect()))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        assert sorted(map(str, sharding.shard(table.repartition(11), 5, samples_per_shard=300).collect())) == first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    keyed = spark.createDataFrame([(i, i // 3, 1) for i in range(1000)], "doc_id long, key long, size long")
+    assert sharding.splitters(keyed, 10, 1000) == [sorted(i // 3 for i in range(1000))[100 * b - 1] for b in range(1, 10)]
+
+
 def test_another_seed_draws_another_mix(spark, docs):
     """Counts of shards are drawn, not dealt; they change with the seed, and totals meet the targets all the same."""
     plan = spark.createDataFrame([(1, 60_000, 40_000), (2, 20_000, 15_000), (3, 9, 5), (4, 0, 7)], "turn int, slots long, blocks long")
