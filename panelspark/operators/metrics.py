@@ -192,7 +192,7 @@ def _gram_sums(batches: Iterator[pa.RecordBatch], d: int, low: int, high: int) -
     labels: dict[str, np.ndarray] = {}
 
     def rows(part: str, sums: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part] * len(sums)), pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "key", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(sums), pa.string()), pa.array(list(sums), pa.string()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "key", "sums"])
 
     for batch in batches:
         for at in range(0, batch.num_rows, GRAM_ROWS):

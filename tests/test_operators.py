@@ -328,6 +328,21 @@ def test_gram_diagnostics_of_all_vectors(spark, monkeypatch):
     assert np.allclose(tuple(got), want, rtol=1e-9)
 
 
+def test_gram_diagnostics_with_tasks_without_rows_or_labels(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(metrics, "GRAM_LABELS", 1)  # labels sent early: none may be left at the end
+    x = np.random.default_rng(4).normal(size=(6, 3))
+    label = [None, 1, 1, 2, None, 2]
+    rows = spark.sparkContext.parallelize([(i, x[i].tolist(), label[i]) for i in range(6)], 9)  # three parts are empty
+    got = metrics.gram_diagnostics(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).first()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    k = (u @ u.T) ** 2
+    agree = np.array([[a is not None and a == b for b in label] for a in label])
+    off = k[~np.eye(6, dtype=bool)]
+    assert np.allclose(tuple(got), (36, off.mean(), off.std(), 36 / (k * k).sum(), (k * agree).sum() / np.sqrt((k * k).sum() * agree.sum())), rtol=1e-9)
+
+
 def test_walk_forward_predicts_each_later_year(spark):
     from panelspark.plans import evaluation
 
