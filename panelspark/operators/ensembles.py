@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions.expr import average_rank, percent_rank, safe_corr
+from panelspark.sources import tables
 
 ROW = ["split_id", "symbol", "date"]
 
@@ -270,6 +271,7 @@ def stack_weights(preds: DataFrame, models: list[str], task: str = "classificati
     They minimise log loss (ranking: the negated mean rank correlation with excess returns), plus `dispersion` times its
     standard deviation over splits, plus `turnover` times the mean absolute change of a symbol's score. Classifiers are calibrated first.
     """
+    preds = tables.written(preds, "stacked")  # some dozen jobs read it
     maps = calibration_maps(preds, least) if task == "classification" else None
     every = _split_ids(preds)
     learned = _learn(_scores(preds, models), maps, models, every, every, task, least, turnover, dispersion)
@@ -291,7 +293,7 @@ def chronological(preds: DataFrame, least: int = 20, turnover: float = 0.01, dis
     Models whose y_true is 0 or 1 throughout are classifiers, others rankers; names with "ensemble" are left
     out. A split combines the models that score all its rows, if there are two or more.
     """
-    base = preds.where(~F.col("model").contains("ensemble"))
+    base = tables.written(preds.where(~F.col("model").contains("ensemble")), "combined")  # some dozen jobs read it
     binary = F.bool_and(F.col("y_true").isNull() | F.col("y_true").isin(0, 1))
     tasks: dict[str, list[str]] = {"classification": [], "ranking": []}
     for r in base.groupBy("model").agg(binary.alias("binary")).orderBy("model").collect():

@@ -21,12 +21,12 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_extendedprice", "l_quantity")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     raw = line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("p_brand").alias("symbol"), F.date_trunc("week", "l_shipdate").cast("date").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("px"), F.col("l_quantity").alias("q"))
-    measures = [F.avg("px").alias("_avg"), F.max("px").alias("high"), F.min("px").alias("low"), F.sum("q").alias("volume"), F.count(F.lit(1)).alias("_n")]
+    measures = [F.max("px").alias("high"), F.min("px").alias("low"), F.sum("q").alias("volume"), F.count("px").alias("_n")]
     brands = raw.groupBy("symbol", "date").agg(F.sum("px").alias("_sum"), *measures)
-    # the benchmark from the brands' partial sums: no second pass over the lines
-    bench = brands.groupBy("date").agg((F.sum("_sum") / F.sum("_n")).alias("_avg"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume")).withColumn("symbol", F.lit(BENCH))
+    # the benchmark from the brands' partial sums, both means from the same columns: one exchange serves both, no second pass over the lines
+    bench = brands.groupBy("date").agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("_avg"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume")).withColumn("symbol", F.lit(BENCH))
     columns = ["symbol", "date", F.round("_avg", 9).alias("close"), F.round("high", 9).alias("high"), F.round("low", 9).alias("low"), "volume"]
-    return brands.select(*columns).unionByName(bench.select(*columns))
+    return brands.withColumn("_avg", F.try_divide(F.col("_sum"), F.col("_n"))).select(*columns).unionByName(bench.select(*columns))
 
 
 PANEL = """raw AS (SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, l_extendedprice / l_quantity AS px, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey),

@@ -143,3 +143,16 @@ def test_history_is_kept_once_whatever_the_number_of_splits(spark):
 
 def test_stack_of_an_empty_table_is_empty(spark):
     assert ensembles.stack_weights(spark.createDataFrame([], SCHEMA), ["a", "b"]).count() == 0
+
+
+@pytest.mark.parametrize("run", [lambda p: ensembles.stack_weights(p, ["a", "b"]), lambda p: ensembles.chronological(p).predictions])
+def test_predictions_are_derived_once(spark, run):
+    rows, read = rows_of(), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    run(spark.createDataFrame(rows, SCHEMA).mapInArrow(counted, SCHEMA)).collect()
+    assert read.value == len(rows)
