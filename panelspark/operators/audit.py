@@ -14,6 +14,7 @@ from panelspark.functions.expr import average_rank, finite, percent_rank, safe_c
 from panelspark.functions.quantiles import quantiles
 from panelspark.operators.joins import assign_roles
 from panelspark.operators.metrics import with_value_ranks
+from panelspark.sources import tables
 
 
 def long_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ("symbol", "date")) -> DataFrame:
@@ -146,6 +147,7 @@ def decisions(quality_rows: DataFrame, stable: DataFrame, redundant: DataFrame,
 def audit_features(df: DataFrame, families: dict[str, str], ret: str, target: str, splits: DataFrame, groups: Sequence[str], threshold: float = 0.9) -> DataFrame:
     """The whole audit: quality, predictive power, stability, redundancy, ablation, exposure, and a decision for each feature."""
     names = list(families)
+    df, splits = tables.written(df, "audited"), tables.written(splits, "splits")  # every part of the audit reads both
     return decisions(quality(df, names, splits), stability(predictive(df, names, ret, target)), redundancy(df, names, threshold), family_ablation(df, families, ret, splits), exposure(df, names, groups), families)
 
 

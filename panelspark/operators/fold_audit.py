@@ -16,6 +16,7 @@ from panelspark.functions.expr import average_rank, finite, safe_corr
 from panelspark.operators import audit
 from panelspark.operators.joins import assign_roles
 from panelspark.operators.metrics import with_value_ranks
+from panelspark.sources import tables
 
 PERIOD = ["split_id", "period", "feature"]
 
@@ -103,6 +104,7 @@ def redundancy(df: DataFrame, features: Sequence[str], splits: DataFrame, thresh
 def decisions(df: DataFrame, families: dict[str, str], ret: str, target: str, splits: DataFrame, groups: Sequence[str], threshold: float = 0.9) -> DataFrame:
     """What to do with each feature (`audit.decisions`), on evidence by split; n_redundant counts a pair once in each split."""
     names = list(families)
+    df, splits = tables.written(df, "audited"), tables.written(splits, "splits")  # every part of the audit reads both
     stable = stability(predictive(df, names, ret, target, splits)).withColumnsRenamed({"validation_median_ic": "median_ic", "stable_evidence": "has_evidence"})
     pairs = redundancy(df, names, splits, threshold).withColumnsRenamed({"feature_a": "left", "feature_b": "right"})
     return audit.decisions(quality(df, names, splits), stable, pairs, audit.family_ablation(df, families, ret, splits), audit.exposure(df, names, groups), families)

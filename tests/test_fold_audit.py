@@ -113,3 +113,15 @@ def test_empty_table(spark, frames):
     empty = spark.createDataFrame([], SCHEMA)
     assert fold_audit.predictive(empty, FEATURES, "r", "c", frames[1]).count() == 0
     assert fold_audit.redundancy(empty, FEATURES, frames[1]).count() == 0 and fold_audit.quality(empty, FEATURES, frames[1]).count() == 0
+
+
+def test_decisions_derive_their_table_once(spark, frames, table):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    fold_audit.decisions(frames[0].mapInArrow(counted, SCHEMA), {"f": "one", "g": "two"}, "r", "c", frames[1], ["symbol"]).collect()
+    assert read.value == len(table)
