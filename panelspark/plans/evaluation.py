@@ -590,12 +590,12 @@ def x11_stage_gates(spark, d):
     return orders.gates(portfolio.risk(backtest(spark, d), 13.0, split=False), [("max_drawdown", ">=", -0.5), ("avg_turnover", "<=", 0.6)], ["model"])
 
 
-ORDER_EVENTS = """ev AS (SELECT user_id * 1000 + (CAST(epoch(ts) AS BIGINT) // 21600) % 1000 AS order_id, event_id AS seq, ts, CAST(crc AS INT) AS r FROM (SELECT *, CASE event_type {} END AS crc FROM events)),
-    nm AS (SELECT order_id, seq, ts, r, ['new', 'accepted', 'partially_filled', 'filled', 'canceled'][r + 1] AS status FROM ev)""".format(" ".join(f"WHEN '{t}' THEN {zlib.crc32(t.encode()) % 5}" for t in ("click", "view", "purchase", "signup", "error", "login", "logout", "search", "add_to_cart", "page_view", "scroll", "refund")))
+ORDER_EVENTS = """ev AS (SELECT user_id * 1000 + (CAST(floor(epoch(ts)) AS BIGINT) // 21600) % 1000 AS order_id, event_id AS seq, ts, CAST(crc AS INT) AS r FROM (SELECT *, CASE event_type {} END AS crc FROM events)),
+    nm AS (SELECT order_id, seq, ts, r, ['new', 'accepted', 'partially_filled', 'filled', 'canceled'][r + 1] AS status FROM ev WHERE r IS NOT NULL)""".format(" ".join(f"WHEN '{t}' THEN {zlib.crc32(t.encode()) % 5}" for t in ("click", "view", "purchase", "signup", "error", "login", "logout", "search", "add_to_cart", "page_view", "scroll", "refund")))
 
 
 @query("order_id:i status is_ended n_events:i", ORDER_EVENTS,
-       "SELECT order_id, coalesce(arg_min(CASE WHEN r >= 3 THEN status END, CASE WHEN r >= 3 THEN seq END), arg_max(status, r)) AS status, coalesce(bool_or(r >= 3), false) AS is_ended, count(*) AS n_events FROM nm GROUP BY 1")
+       "SELECT order_id, coalesce(arg_min(status, {'seq': seq, 'status': status}) FILTER (WHERE r >= 3), arg_max(status, r)) AS status, coalesce(bool_or(r >= 3), false) AS is_ended, count(*) AS n_events FROM nm GROUP BY 1")
 def x13_order_states(spark, d):
     return orders.fold_events(v.order_events(spark, d))
 

@@ -343,6 +343,24 @@ def test_gram_diagnostics_with_tasks_without_rows_or_labels(spark, monkeypatch):
     assert np.allclose(tuple(got), (36, off.mean(), off.std(), 36 / (k * k).sum(), (k * agree).sum() / np.sqrt((k * k).sum() * agree.sum())), rtol=1e-9)
 
 
+def test_order_ids_of_the_last_half_second_and_ties_equal_their_sql(spark, tmp_path):
+    import duckdb
+
+    from panelspark.plans import evaluation, sampled
+
+    t = dt.datetime(2024, 1, 1, 5, 59, 59, 700_000)  # rounded to seconds, it would be of the next six hours
+    kinds = [["click", "view", "purchase", "signup", "error", "login", "logout", "search"][i % 8] for i in range(40)]
+    events = [(100 - i, t - dt.timedelta(seconds=i // 4), i % 5, kinds[i]) for i in range(40)] + [(200, t, 9, None)]  # equal times, ids against time
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    c = duckdb.connect()
+    c.execute("SET TimeZone = 'UTC'")
+    c.execute(f"CREATE VIEW events AS SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, user_id, event_type FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name, query in (("x13_order_states", evaluation.x13_order_states), ("t3_t4_stream_order_states", sampled.t3_t4_stream_order_states)):
+        df = query(spark, str(tmp_path))
+        found = c.execute(f"SELECT {', '.join(df.columns)} FROM ({evaluation.SQL[name]})").fetchall()
+        assert sorted(map(tuple, df.collect())) == sorted(found)
+
+
 def test_walk_forward_predicts_each_later_year(spark):
     from panelspark.plans import evaluation
 
