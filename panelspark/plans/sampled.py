@@ -102,15 +102,15 @@ def t5_stream_quality_split(spark, d):
 
 
 @query("order_id:i status is_stale", evaluation.ORDER_EVENTS + """,
-    st AS (SELECT order_id, coalesce(arg_min(CASE WHEN r >= 3 THEN status END, CASE WHEN r >= 3 THEN seq END), arg_max(status, r)) AS status, coalesce(bool_or(r >= 3), false) AS ended, max(r) AS top FROM nm GROUP BY 1),
+    st AS (SELECT order_id, coalesce(arg_min(status, {'ts': ts, 'seq': seq, 'r': r}) FILTER (WHERE r >= 3), arg_max(status, r)) AS status, coalesce(bool_or(r >= 3), false) AS ended, max(r) AS top FROM nm GROUP BY 1),
     sn AS (SELECT order_id, min(ts) AS since FROM nm JOIN st USING (order_id) WHERE r = top GROUP BY 1),
-    wm AS (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM nm)""",
+    wm AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS mark FROM ev)""",
     "SELECT order_id, status, false AS is_stale FROM st UNION ALL SELECT order_id, status, true FROM st JOIN sn USING (order_id), wm WHERE NOT ended AND date_trunc('millisecond', since) + INTERVAL 30 MINUTE < mark")
 def t3_t4_stream_order_states(spark, d):
     """The state of each order after its events, and a stale row for those still open 30 minutes after their last change, by event time."""
     folder = tables.scratch_folder(spark, "orders")
-    v.order_events(spark, d).select("order_id", "status", "ts").write.parquet(f"{folder}/in")
-    events = spark.readStream.schema("order_id long, status string, ts timestamp").parquet(f"{folder}/in")
+    v.order_events(spark, d).write.parquet(f"{folder}/in")
+    events = spark.readStream.schema("order_id long, seq long, status string, ts timestamp").parquet(f"{folder}/in")
     states = streams.order_states(events).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log")
     states.trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out")

@@ -50,8 +50,9 @@ def quality_split(rows: DataFrame, bad: Column, good_table: str, bad_table: str,
 
 
 def order_states(events: DataFrame, stale_minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
-    """A row each time an order's state changes, and one when it stays open past the limit. events: order_id, status, ts.
+    """A row each time an order's state changes, and one when it stays open past the limit. events: order_id, status, ts, and seq if there is one.
 
+    Events count by ts; of those at one time the smaller seq comes first, then the earlier state in STATES.
     A state never goes back and ended ones stay, after the limit too: only orders that are still open are
     told stale, once until their state changes. Unknown states are skipped.
     """
@@ -64,11 +65,17 @@ def order_states(events: DataFrame, stale_minutes: int = 30, delay: str = "10 mi
             state.update((status, since, True))
             yield pd.DataFrame({"order_id": [key[0]], "status": [status], "is_stale": [True]})
             return
-        before = status
+        before, end, furthest = status, None, None
         for rows in batches:
-            for r in rows.sort_values("ts").itertuples():
-                if r.status in rank and status not in ENDED and (status is None or rank[r.status] > rank[status]):
-                    status, since = r.status, int(r.ts.timestamp() * 1000)
+            for at, seq, name in zip(rows["at"].tolist(), rows["seq"].tolist(), rows["status"].tolist()):
+                if name in ENDED:
+                    end = min(end or (at, seq, rank[name]), (at, seq, rank[name]))
+                elif name in rank:
+                    furthest = max(furthest or (rank[name], -at), (rank[name], -at))
+        if status not in ENDED and end:  # the first ended state, as every open one comes before it
+            status, since = STATES[end[2]], end[0] // 1000
+        elif status not in ENDED and furthest and (status is None or furthest[0] > rank[status]):
+            status, since = STATES[furthest[0]], -furthest[1] // 1000
         if status is not None:
             told = told and status == before
             state.update((status, since, told))
@@ -78,5 +85,7 @@ def order_states(events: DataFrame, stale_minutes: int = 30, delay: str = "10 mi
             if status != before:
                 yield pd.DataFrame({"order_id": [key[0]], "status": [status], "is_stale": [False]})
 
-    kept = events.select("order_id", "status", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", delay)
+    ts = F.col("ts").cast("timestamp")
+    seq = F.coalesce(F.col("seq").cast("long") if "seq" in events.columns else F.lit(None).cast("long"), F.lit(0))
+    kept = events.select("order_id", "status", ts.alias("ts"), F.unix_micros(ts).alias("at"), seq.alias("seq")).withWatermark("ts", delay)
     return kept.groupBy("order_id").applyInPandasWithState(step, "order_id long, status string, is_stale boolean", "status string, since long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
