@@ -12,6 +12,7 @@ from panelspark.functions import expr
 from panelspark.operators import audit, contracts, ensembles, evidence, features, ingest, joins, metrics, models, orders, portfolio, quality, sampling, splits, universe
 from panelspark.plans import catalog, views as v
 from panelspark.plans.catalog import prank, query, rank, regimes, scorr
+from panelspark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = catalog.QUERIES
 SQL: dict[str, str] = catalog.SQL
@@ -361,6 +362,7 @@ def r5_r15_walk_forward_models(spark, d):
 
 def walk_forward_scores(rows):
     """Predictions for each year of rows after the first, by the learners of r5_r15 with their own parameters."""
+    rows = tables.written(rows, "walk-forward")  # the folds and every fit read it
     folds = splits.yearly(rows)
     ids = sorted(r["split_id"] for r in folds.select("split_id").collect())
     chosen = {"logistic": models.fit_logistic, "ridge": models.fit_ridge, "elastic_net": models.fit_elastic_net, "huber": models.fit_huber, "forest": models.fit_forest, "boosting": models.fit_boosting}

@@ -368,3 +368,20 @@ def test_walk_forward_predicts_each_later_year(spark):
     out = evaluation.walk_forward_scores(spark.createDataFrame(rows, "symbol string, date date, y_true int, forward_return double, momentum double, sign double, random double"))
     got = {(r["model"], r["y"]): r["n"] for r in out.groupBy("model", F.year("date").alias("y")).agg(F.count("y_score").alias("n")).collect()}
     assert got == {(m, y): 48 for m in ("logistic", "ridge", "elastic_net", "huber", "forest", "boosting") for y in (2011, 2012)}
+
+
+def test_walk_forward_rows_are_derived_once(spark, monkeypatch):
+    from panelspark.operators import models
+    from panelspark.plans import evaluation
+
+    monkeypatch.setattr(models, "walk_forward", lambda rows, *_: rows)  # without the fits
+    read, schema = spark.sparkContext.accumulator(0), "symbol string, date date, y_true int"
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [("A", dt.date(y, m, 1), 1) for y in (2010, 2011, 2012) for m in (1, 2)]
+    assert evaluation.walk_forward_scores(spark.createDataFrame(rows, schema).mapInArrow(counted, schema)).count() == 10  # of two folds: 2 + 2 and 4 + 2
+    assert read.value == len(rows)
