@@ -7,11 +7,12 @@ are found by vectorised rules; any other text goes through the `regex` module.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import regex
 
-from panelspark.llm.text import distinct_spans, gather
+from panelspark.llm.text import SHORT, distinct_spans, first_bytes, gather, join_hashes
 
 #: Code points whose class no Unicode version disputes.
 _PLAIN_TOP = 0x0530
@@ -80,8 +81,22 @@ def starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(at)
 
 
+def _roomy(values: np.ndarray, n: int) -> np.ndarray:
+    """The same values with room for n, so that many additions copy them seldom."""
+    if n <= len(values):
+        return values
+    out = np.empty(max(n, 2 * len(values)), values.dtype)
+    out[: len(values)] = values
+    return out
+
+
 class Memo:
-    """Ids of pieces seen so far, found by the pieces' bytes; memory is bounded by `most` pieces and by `most` times 8 bytes of them."""
+    """Ids of pieces seen so far, found by the pieces' bytes; memory is bounded by `most` pieces and by `most` times 8 bytes of long ones.
+
+    A piece of up to SHORT - 1 bytes is the two numbers that hold its bytes and its length; a table
+    with open addresses tells where its ids are, for all pieces of a text at once. Longer pieces are
+    looked up one by one.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], pattern: str, most: int = 1_600_000):
         self.encode, self.pattern, self.most = encode, regex.compile(pattern), most
@@ -89,34 +104,85 @@ class Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.held = 0
+        self.long: dict[bytes, int] = {}
+        self.held = self.n = self.n_ids = 0
+        self.slots = np.full(1 << 12, -1, np.int32)
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (join_hashes(low, high) & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The number of each short piece, -1 if it is new."""
+        out = np.full(len(low), -1, np.int64)
+        left, slot = np.arange(len(low)), self._slot(low, high)
+        while len(left):
+            got = self.slots[slot]
+            used = np.flatnonzero(got >= 0)
+            left, slot, low, high, got = left[used], slot[used], low[used], high[used], got[used]
+            same = (self.low[got] == low) & (self.high[got] == high)
+            out[left[same]] = got[same]
+            on = np.flatnonzero(~same)
+            left, slot, low, high = left[on], (slot[on] + 1) & (len(self.slots) - 1), low[on], high[on]
+        return out
+
+    def _place(self, numbers: np.ndarray) -> None:
+        """Enters short pieces, no two of them equal, that the table doesn't have."""
+        slot = self._slot(self.low[numbers], self.high[numbers])
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            on = np.flatnonzero(self.slots[slot] != numbers)
+            numbers, slot = numbers[on], (slot[on] + 1) & (len(self.slots) - 1)
+
+    def _learn(self, pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The numbers of new pieces, no two of them equal, after they were encoded."""
+        got = self.encode(pieces)
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        numbers = self.n + np.arange(len(got))
+        n, n_ids = self.n + len(got), self.n_ids + int(size.sum())
+        self.low, self.high, self.at, self.size = (_roomy(x, n) for x in (self.low, self.high, self.at, self.size))
+        self.ids = _roomy(self.ids, n_ids)
+        self.low[numbers], self.high[numbers], self.size[numbers] = low, high, size
+        self.at[numbers] = self.n_ids + np.cumsum(size) - size
+        self.ids[self.n_ids : n_ids] = np.fromiter(chain.from_iterable(got), np.uint32, n_ids - self.n_ids)
+        self.n, self.n_ids = n, n_ids
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        for i in np.flatnonzero(length >= SHORT).tolist():
+            self.long[pieces[i]] = int(numbers[i])
+            self.held += len(pieces[i])
+        short = numbers[length < SHORT]
+        if 2 * n > len(self.slots):
+            self.slots = np.full(1 << (2 * n).bit_length(), -1, np.int32)
+            short = np.flatnonzero(self.high[:n] >> np.uint64(56) < SHORT)
+        self._place(short)
+        return numbers
+
     def lookup(self, buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces buf[lo:hi] in order, and how many each has."""
         if not len(lo):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        codes, found = distinct_spans(buf, lo, hi)
-        found = found.to_pylist()
-        if len(self.place) > self.most or self.held > 8 * self.most:
+        if self.n > self.most or self.held > 8 * self.most:
             self.clear()
-        where = np.array([self.place.get(x, -1) for x in found], np.int64)
-        new = np.flatnonzero(where < 0)
-        if len(new):
-            own = [found[i] for i in new.tolist()]
-            got = self.encode(own)
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            at = len(self.ids) + np.cumsum(size) - size
-            where[new] = first = len(self.at) + np.arange(len(own))
-            self.place.update(zip(own, first.tolist()))
-            self.held += sum(map(len, own))
-            self.ids = np.concatenate([self.ids, np.fromiter((x for g in got for x in g), np.uint32, int(size.sum()))])
-            self.at = np.concatenate([self.at, at])
-            self.size = np.concatenate([self.size, size])
-        where = where[codes]
+        size = hi - lo
+        low, high = first_bytes(buf, lo, size)
+        # the length above the last bytes; no entry has that of a long piece
+        high = np.where(size < SHORT, high, np.uint64(0)) | (np.minimum(size, SHORT).astype(np.uint64) << np.uint64(56))
+        where = self._find(low, high)
+        rest = np.flatnonzero(where < 0)
+        if len(rest):
+            codes, found = distinct_spans(buf, lo[rest], hi[rest])
+            found = found.to_pylist()
+            first = np.empty(len(found), np.int64)
+            first[codes] = rest
+            known = np.fromiter((self.long.get(x, -1) for x in found), np.int64, len(found))
+            new = np.flatnonzero(known < 0)
+            if len(new):
+                known[new] = self._learn([found[i] for i in new.tolist()], low[first[new]], high[first[new]])
+            where[rest] = known[codes]
         size = self.size[where]
         return gather(self.ids, self.at[where], size), size
 

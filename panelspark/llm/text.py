@@ -53,6 +53,13 @@ SHORT = 16
 _MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
+def first_bytes(buf: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 8 bytes of each span and the next 8 as numbers, with zeros after its end."""
+    padded = np.concatenate([buf, np.zeros(SHORT, np.uint8)])
+    at = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
+    return at[starts] & _MASKS[np.minimum(size, 8)], at[np.minimum(starts + 8, len(at) - 1)] & _MASKS[np.clip(size - 8, 0, 8)]
+
+
 def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 1) -> np.ndarray:
     """64 bits of hash for each span (lanes=2: two rows of 64); spans in order, without overlap.
 
@@ -60,10 +67,7 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int
     span they are its keyed BLAKE2 hash.
     """
     size = (ends - starts).astype(np.int64)
-    padded = np.concatenate([buf, np.zeros(SHORT, np.uint8)])
-    at = np.ndarray((len(padded) - 7,), "<u8", padded, 0, (1,))
-    low = at[starts] & _MASKS[np.minimum(size, 8)]
-    high = at[np.minimum(starts + 8, len(at) - 1)] & _MASKS[np.clip(size - 8, 0, 8)]
+    low, high = first_bytes(buf, starts, size)
     long = np.flatnonzero(size > SHORT)
     if len(long):
         codes, found = distinct_spans(buf, starts[long], ends[long])

@@ -63,61 +63,70 @@ def compress(ids: np.ndarray, lengths: np.ndarray) -> dict[str, np.ndarray | int
 
     A round replaces every pair with at least LEAST_USES uses, the more frequent ones first where two
     overlap, until no such pair is left. After the first round only pairs with a new symbol, or
-    frequent before, can be frequent, so only these are counted.
+    frequent before, can be frequent, so only their places are visited; symbols stay where they are,
+    linked to their neighbours, until the last round.
     """
+    n = len(ids)
     symbols = ids.astype(np.int64)
-    terminals = int(symbols.max()) + 1 if len(symbols) else 0
-    ends = np.zeros(len(symbols), bool)
+    terminals = int(symbols.max()) + 1 if n else 0
+    ends = np.zeros(n, bool)
     ends[np.cumsum(lengths)[lengths > 0] - 1] = True
+    following, preceding = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    alive, visit = np.ones(n, bool), np.zeros(n, bool)
     rules: list[np.ndarray] = []
-    top, fresh = terminals, 0
-    again = np.zeros((0, 2), np.int64)
-    while len(symbols) > 1:
-        open_, left, right = ~ends[:-1], symbols[:-1], symbols[1:]
-        if fresh:
-            first, second = np.zeros(top, bool), np.zeros(top, bool)
-            first[again[:, 0]] = second[again[:, 1]] = True
-            open_ &= (left >= fresh) | (right >= fresh) | (first[left] & second[right])
-        at = np.flatnonzero(open_)
-        pair = (left[at] << 32) | right[at]
+    top = terminals
+    at = np.flatnonzero(~ends)
+    while len(at):
+        pair = (symbols[at] << 32) | symbols[following[at]]
         found = np.sort(pair)
-        edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+        edge = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
         uses = np.diff(np.append(edge, len(found)))
-        found, uses = found[edge][uses >= LEAST_USES], uses[uses >= LEAST_USES]
+        found, uses = found[edge[uses >= LEAST_USES]], uses[uses >= LEAST_USES]
         if not len(found):
             break
         none = len(found)
-        rank = np.empty(none, np.int64)
+        rank = np.empty(none, np.int32)
         rank[np.lexsort((found, -uses))] = np.arange(none)
         place = pd.Index(found).get_indexer(pair)
-        match = place >= 0
+        match = np.flatnonzero(place >= 0)
         at, mine = at[match], rank[place[match]]
-        joined = at[1:] == at[:-1] + 1
-        before = np.concatenate([[none], np.where(joined, mine[:-1], none)])
-        after = np.append(np.where(joined, mine[1:], none), none)
+        joined = at[1:] == following[at[:-1]]
+        before, after = np.full((2, len(at)), none, np.int32)
+        np.copyto(before[1:], mine[:-1], where=joined)
+        np.copyto(after[:-1], mine[1:], where=joined)
         # of a run of one pair (a a a a) every second place
-        number = np.arange(len(at))
+        number = np.arange(len(at), dtype=np.int32)
         inside = number - np.maximum.accumulate(np.where(mine != before, number, 0))
         win = (inside % 2 == 0) & ((inside > 0) | (mine < before)) & (mine <= after)
-        real = np.bincount(mine[win], minlength=none)
+        win = np.flatnonzero(win)
+        wins, name = at[win], mine[win]
+        real = np.bincount(name, minlength=none)
         kept = np.flatnonzero(real >= 2)
-        order = np.full(none, -1, np.int64)
+        order = np.full(none, -1, np.int32)
         order[kept] = np.arange(len(kept))
-        win &= order[mine] >= 0
-        wins, name = at[win], order[mine[win]]
+        name = order[name]
+        if len(kept) < none:
+            win = np.flatnonzero(name >= 0)
+            wins, name = wins[win], name[win]
         if not len(wins):
             break
-        symbols = symbols.copy()
+        gone = following[wins]
         symbols[wins] = top + name
-        ends[wins] = ends[wins + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[wins + 1] = False
-        symbols, ends = symbols[keep], ends[keep]
+        ends[wins] = ends[gone]
+        alive[gone] = False
+        following[wins] = following[gone]
+        preceding[following[wins]] = wins
         by_rank = np.empty(none, np.int64)
         by_rank[rank] = found
         rules.append(np.stack([by_rank[kept] >> 32, by_rank[kept] & 0xFFFFFFFF], 1))
-        again = np.stack([found >> 32, found & 0xFFFFFFFF], 1)
-        fresh, top = top, top + len(kept)
+        top += len(kept)
+        left = preceding[wins]
+        visit[at] = visit[wins] = visit[left[left >= 0]] = True
+        visit[gone] = False
+        at = np.flatnonzero(visit)
+        visit[at] = False
+        at = at[~ends[at]]
+    symbols, ends = symbols[alive], ends[alive]
     stops = np.flatnonzero(ends) + 1
     starts = np.zeros(len(lengths) + 1, np.int64)
     starts[1:][lengths > 0] = stops

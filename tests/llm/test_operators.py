@@ -14,7 +14,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from panelspark.llm import audio, bpe, exact_dedup, jaccard_join, mixing, quality, sharding, substring_dedup, token_files, url_filters  # noqa: E402
+from panelspark.llm import audio, bpe, exact_dedup, jaccard_join, mixing, pretokens, quality, sharding, substring_dedup, token_files, url_filters  # noqa: E402
 from panelspark.llm import text as text_module  # noqa: E402
 
 RANKS, JSON, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -296,6 +296,31 @@ def test_token_files_read_back(spark, docs, empty, tmp_path):
     assert token_files.read(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_short_pieces_are_encoded_once():
+    """Their bytes don't count against the memo, whose numbers they are; before, more than 8 bytes a piece cleared it."""
+    asked = []
+    memo = pretokens.Memo(lambda found: [asked.append(x) or list(x) for x in found], PATTERN, most=1000)
+    texts_ = [" ".join(f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]}andmore" for i in range(k, k + 300)) for k in (0, 300, 600)] * 2
+    for t in texts_:
+        ids, n = memo.texts([t])
+        assert bytes(ids.tolist()).decode() == t and n.tolist() == [len(t)]
+    assert len(asked) == len(set(asked))
+
+
+def test_memo_tells_pieces_apart_by_all_bytes():
+    """Bytes of 0, lengths about the bound of short pieces, long pieces that differ at their end, a memo that is cleared."""
+    r = random.Random(4)
+    spans = [bytes(r.choice(b"\x00ab") for _ in range(r.choice((1, 2, 7, 8, 9, 14, 15, 16, 17, 30)))) for _ in range(6000)]
+    spans += [b"\x00" * i for i in range(1, 20)] + [b"x" * 20 + bytes([i]) for i in range(50)]
+    for most in (200, 1_000_000):
+        memo = pretokens.Memo(lambda found: [[len(x), zlib.crc32(x)] for x in found], PATTERN, most)
+        for k in range(0, 2 * len(spans), 500):
+            part = [spans[i % len(spans)] for i in range(k, k + 500)]
+            hi = np.cumsum([len(x) for x in part])
+            ids, n = memo.lookup(np.frombuffer(b"".join(part), np.uint8), hi - [len(x) for x in part], hi)
+            assert (n == 2).all() and ids.reshape(-1, 2).tolist() == [[len(x), zlib.crc32(x)] for x in part]
+
+
 def test_grammar_decodes_each_document_alone():
     r = np.random.default_rng(1)
     for _ in range(200):
