@@ -12,6 +12,9 @@ Edge cases: a null text counts as empty; repeated rows each get a slot of their
 gives an empty result. Columns other than doc_id and the text's aren't read, whatever their names; only
 those named below are returned. Very long texts count by their bytes and may fill ranges alone. Shards depend on the
 rows alone, not on settings of the session, so that reruns agree.
+
+Texts are read once. Keys, ranges and shards are written between the steps (a few numbers a row): joined in one plan, the
+search for a row's range is a lambda that Spark may infer as a filter of the join's other side, where its key is missing.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.llm.storage import materialise
+
 RANGES_PER_SHARD = 16
 #: Rows of a range on average: what one task sorts, without texts.
 ROWS_PER_RANGE = 1_000_000
@@ -84,6 +89,7 @@ def shard(docs: DataFrame, shards: int, column: str = "text", samples_per_shard:
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text), 12).alias("key"),
     )
+    keyed = materialise(keyed, "keys")
     rows = keyed.select("doc_id").count()
     per = max(RANGES_PER_SHARD, -(-rows // (shards * ROWS_PER_RANGE)))  # by the table, not by the session
     ranges = shards * per
@@ -100,7 +106,7 @@ def shard(docs: DataFrame, shards: int, column: str = "text", samples_per_shard:
         placed = placed.withColumn("range", F.when(equal & (spread > 1), F.col("below") + F.pmod(F.xxhash64("doc_id"), spread).cast("int")).otherwise(F.col("below")))
     else:
         placed = placed.withColumnRenamed("below", "range")
-    placed = placed.select("range", "key", "doc_id", "size", "text_crc32")
+    placed = materialise(placed.select("range", "key", "doc_id", "size", "text_crc32"), "ranges")
     # exact sums of the ranges: `ranges` rows at most
     sums = placed.groupBy("range").agg(F.sum("size").alias("range_size"), F.count(F.lit(1)).alias("range_rows"))
     measured = {r["at"]: r["size"] for r in sums.groupBy(F.floor(F.col("range") / per).cast("int").alias("at")).agg(F.sum("range_size").alias("size")).collect()}  # a row a shard
@@ -120,5 +126,6 @@ def shard(docs: DataFrame, shards: int, column: str = "text", samples_per_shard:
         .withColumn("row", F.col("rows_before") + F.col("nth") - 1)
         .select("doc_id", "size", "text_crc32", "shard", "row")
     )
+    out = materialise(out, "shards")
     firsts = out.groupBy("shard").agg(F.min("row").alias("first"))
     return out.join(F.broadcast(firsts), "shard").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

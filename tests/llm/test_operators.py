@@ -6,6 +6,8 @@ import collections
 import hashlib
 import random
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -469,6 +471,35 @@ def test_shard_boundaries_are_the_sampled_quantiles(spark):
     assert sharding.joined_shards([100, 100, 100, 100], [True, False, False]) == [(0, 2), (2, 1), (3, 1)]
 
 
+def test_shards_are_the_first_query_of_a_session(tmp_path):
+    """As such, the search for a row's range became a filter of the measured ranges, which have no key."""
+    code = f"""
+from pyspark.sql import SparkSession, functions as F
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+text = F.concat(F.lit("text number "), F.col("id").cast("string"))
+spark.range(3000).select(F.col("id").alias("doc_id"), text.alias("text")).write.parquet({str(tmp_path / "docs")!r})
+from panelspark.llm import sharding
+print("rows:", len(sharding.shard(spark.read.parquet({str(tmp_path / "docs")!r}), 6, samples_per_shard=500).collect()))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "rows: 3000" in done.stdout, done.stderr[-2000:]
+
+
+def test_shards_read_texts_once(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    assert sharding.shard(rows.mapInArrow(counted, "doc_id long, text string"), 4, samples_per_shard=100).count() == 2000
+    assert read.value == 2000
+
+
 def test_shards_are_the_same_under_other_settings(spark, docs):
     """Neither partitions of shuffles nor those of the input change a shard; boundaries are exact quantiles of the sample."""
     rows = [(i, f"text {i} " * (1 + i % 50)) for i in range(5000)] + [(i, "hot") for i in range(5000, 7000)] + [(None, None), (1, "text 1 ")]
