@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -49,43 +50,65 @@ def quality_split(rows: DataFrame, bad: Column, good_table: str, bad_table: str,
     return rows.writeStream.foreachBatch(split).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Orders of ids from a multiple of this up to the next have one state together: at most so many, however many orders there are.
+BLOCK = 8192
+#: An order in that state: its place in the block, index of its state, whether told stale, ms of its last change and of its limit.
+ORDER = np.dtype([("place", "<i4"), ("rank", "i1"), ("told", "?"), ("since", "<i8"), ("until", "<i8")])
+NEVER = np.iinfo(np.int64).max
+
+
+def _ended(rank: np.ndarray) -> np.ndarray:
+    return np.isin(rank, [STATES.index(s) for s in ENDED])
+
+
+def _deciding(events: np.ndarray) -> np.ndarray:
+    """Of rows (place, at, seq, rank), one an order: its first ended event, as every open state comes before it, else the first of its furthest state."""
+    place, at, seq, rank = events.T
+    end = _ended(rank)
+    events = events[np.lexsort((np.where(end, rank, 0), np.where(end, seq, at), np.where(end, at, -rank), ~end, place))]
+    return events[np.append(True, events[1:, 0] != events[:-1, 0])] if len(events) else events
+
+
 def order_states(events: DataFrame, stale_minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
     """A row each time an order's state changes, and one when it stays open past the limit. events: order_id, status, ts, and seq if there is one.
 
     Events count by ts; of those at one time the smaller seq comes first, then the earlier state in STATES.
     A state never goes back and ended ones stay, after the limit too: only orders that are still open are
-    told stale, once until their state changes. Unknown states are skipped.
+    told stale, once until their state changes. Unknown states and events without a time are skipped.
+
+    Python is called for a block of ids, not for an order: calls cost far more than events. The timer of a
+    block is that of its next order, and orders past their limit are told in any call.
     """
-    rank = {s: i for i, s in enumerate(STATES)}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.getOption
-        status, since, told = now if now else (None, 0, False)
-        if state.hasTimedOut:
-            state.update((status, since, True))
-            yield pd.DataFrame({"order_id": [key[0]], "status": [status], "is_stale": [True]})
-            return
-        before, end, furthest = status, None, None
+        now, last = state.getCurrentWatermarkMs(), np.empty((0, 4), np.int64)
         for rows in batches:
-            for at, seq, name in zip(rows["at"].tolist(), rows["seq"].tolist(), rows["status"].tolist()):
-                if name in ENDED:
-                    end = min(end or (at, seq, rank[name]), (at, seq, rank[name]))
-                elif name in rank:
-                    furthest = max(furthest or (rank[name], -at), (rank[name], -at))
-        if status not in ENDED and end:  # the first ended state, as every open one comes before it
-            status, since = STATES[end[2]], end[0] // 1000
-        elif status not in ENDED and furthest and (status is None or furthest[0] > rank[status]):
-            status, since = STATES[furthest[0]], -furthest[1] // 1000
-        if status is not None:
-            told = told and status == before
-            state.update((status, since, told))
-            if status not in ENDED and not told:
-                limit = since + stale_minutes * 60_000
-                state.setTimeoutTimestamp(max(limit, state.getCurrentWatermarkMs() + 1))
-            if status != before:
-                yield pd.DataFrame({"order_id": [key[0]], "status": [status], "is_stale": [False]})
-
-    ts = F.col("ts").cast("timestamp")
+            part = rows.loc[rows["rank"] >= 0, ["place", "at", "seq", "rank"]]
+            last = _deciding(np.concatenate([last, part.to_numpy(np.int64)]))
+        held = np.frombuffer(state.get[0], ORDER) if state.exists else np.empty(0, ORDER)
+        new = np.zeros(len(fresh := np.setdiff1d(last[:, 0], held["place"])), ORDER)
+        new["place"], new["rank"] = fresh, -1
+        held = np.sort(np.concatenate([held, new]), order="place")
+        nth, rank = np.searchsorted(held["place"], last[:, 0]), last[:, 3]
+        change = ~_ended(held["rank"][nth]) & (rank > held["rank"][nth])
+        moved = nth[change]
+        held["rank"][moved], held["since"][moved], held["told"][moved] = rank[change], last[change, 1] // 1000, False
+        waits = ~_ended(held["rank"][nth]) & ~held["told"][nth]
+        held["until"][nth] = np.where(waits, np.maximum(held["since"][nth] + stale_minutes * 60_000, now + 1), NEVER)
+        due = np.flatnonzero(held["until"] < now)
+        held["told"][due], held["until"][due] = True, NEVER
+        if len(held):
+            state.update((held.tobytes(),))
+            if (until := int(held["until"].min())) < NEVER:
+                state.setTimeoutTimestamp(until)
+        told = np.concatenate([moved, due])
+        if len(told):
+            ids = [None] * len(told) if key[0] is None else key[0] + held["place"][told].astype(np.int64)
+            yield pd.DataFrame({"order_id": ids, "status": np.array(STATES, object)[held["rank"][told]], "is_stale": np.arange(len(told)) >= len(moved)})
+
+    ts, order = F.col("ts").cast("timestamp"), F.col("order_id").cast("long")
     seq = F.coalesce(F.col("seq").cast("long") if "seq" in events.columns else F.lit(None).cast("long"), F.lit(0))
-    kept = events.select("order_id", "status", ts.alias("ts"), F.unix_micros(ts).alias("at"), seq.alias("seq")).withWatermark("ts", delay)
-    return kept.groupBy("order_id").applyInPandasWithState(step, "order_id long, status string, is_stale boolean", "status string, since long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    place = F.pmod(order, F.lit(BLOCK).cast("long"))
+    rank = F.coalesce(*[F.when((F.col("status") == s) & ts.isNotNull(), i) for i, s in enumerate(STATES)], F.lit(-1))
+    kept = events.select((order - place).alias("block"), F.coalesce(place, F.lit(0)).alias("place"), rank.alias("rank"), ts.alias("ts"), F.coalesce(F.unix_micros(ts), F.lit(0)).alias("at"), seq.alias("seq")).withWatermark("ts", delay)
+    return kept.groupBy("block").applyInPandasWithState(step, "order_id long, status string, is_stale boolean", "orders binary", "append", GroupStateTimeout.EventTimeTimeout)

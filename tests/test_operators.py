@@ -300,6 +300,47 @@ def test_order_state_stream(spark, tmp_path):
     assert more == sorted([*got, (2, "filled", False), (9, "new", True)])
 
 
+def test_order_states_of_a_block_share_a_state(spark, tmp_path):
+    """Of ten orders one by one: the states after each batch, told stale once their limit passes, whichever neighbour has events then."""
+    import random
+
+    r, t, size = random.Random(3), dt.datetime(2024, 1, 1, 12), streams.BLOCK
+    ids = [None, -1, 0, 1, 2, size - 1, size, size + 7, 5 * size, 9]
+    batches = [[(r.choice(ids), r.choice(["new", "accepted", "partially_filled", "filled", "odd", None]), t + dt.timedelta(minutes=9 * n + r.randrange(9)), r.randrange(3)) for _ in range(12)] for n in range(8)]
+    schema, limit, delay = "order_id long, status string, ts timestamp, seq long", dt.timedelta(minutes=20), dt.timedelta(minutes=10)
+    rank, held, mark, want = {s: i for i, s in enumerate(orders.STATES)}, {}, None, []
+    seen = set()
+
+    def tell(skip):
+        for k, (status, until, told) in held.items():
+            if k not in skip and status not in orders.ENDED and not told and mark and until < mark:
+                held[k] = (status, until, True)
+                want.append((k, status, True))
+
+    for events in batches:
+        for k, status, at, seq in sorted(events, key=lambda e: (e[2], e[3], rank.get(e[1], -1))):
+            before = held.get(k, (None,))[0]
+            if status in rank and before not in orders.ENDED and (before is None or rank[status] > rank[before]):
+                held[k] = (status, at + limit, False)
+        known = {k for k, status, *_ in events if status in rank}
+        want += [(k, held[k][0], False) for k in known if (k, held[k][0]) not in seen]
+        seen |= {(k, held[k][0]) for k in known}
+        for k in known & set(held):
+            if mark and not held[k][2]:
+                held[k] = (held[k][0], max(held[k][1], mark + dt.timedelta(milliseconds=1)), False)
+        tell(known)
+        mark = max([mark or t, max(e[2] for e in events) - delay])
+        tell(set())  # the batch without data that follows
+    src = str(tmp_path / "in")
+    stream = lambda: streams.order_states(spark.readStream.schema(schema).parquet(src), 20, "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+    for events in batches:
+        spark.createDataFrame(events, schema).coalesce(1).write.mode("append").parquet(src)
+        (q := stream().start()).awaitTermination()
+    key = lambda x: str(tuple(x))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=key) == sorted(want, key=key)
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 5  # blocks, not orders
+
+
 def test_splits(spark):
     p = prices(spark, 60)
     f = splits.walk_forward(p, 20, 10, 10, 2).orderBy("split_id").collect()
