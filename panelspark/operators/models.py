@@ -99,7 +99,7 @@ def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist()), key=lambda x: (-x[1], x[0]))
 
 
-def fit_boosting(train: DataFrame, features: Sequence[str], target: str, classify: bool = True, rounds: int = 50, leaf: int = 20, depth: int = 5, weight: str | None = None, holdout: str | None = None, seed: int = 42, rate: float = 0.1) -> PipelineModel:
+def fit_boosting(train: DataFrame, features: Sequence[str], target: str, classify: bool = True, rounds: int = 300, leaf: int = 20, depth: int = 5, weight: str | None = None, holdout: str | None = None, seed: int = 42, rate: float = 0.1) -> PipelineModel:
     """weight: a column of row weights; holdout: a boolean column whose rows stop training early."""
     kind = GBTClassifier if classify else GBTRegressor
     learner = kind(labelCol=target, maxIter=rounds, minInstancesPerNode=leaf, maxDepth=depth, seed=seed, stepSize=rate)
@@ -165,7 +165,8 @@ def grouped_pca(train: DataFrame, df: DataFrame, groups: dict[str, Sequence[str]
 def walk_forward(rows: DataFrame, features: Sequence[str], target: str, models: dict, splits: Sequence[int], parallelism: int = 8) -> DataFrame:
     """Predictions of each model on each split's validation rows. rows: split_id, role and the columns; models: name -> fit(train, features, target).
 
-    Fits of different splits and models don't depend on each other: `parallelism` of them run at once, as jobs of one session.
+    Fits of different splits and models don't depend on each other: `parallelism` of them run at once, as jobs of one session,
+    the first models' before the others' (so name the slow ones first) and the later splits', which learn from more, before the earlier.
     """
     from functools import reduce
     from multiprocessing.pool import ThreadPool
@@ -181,5 +182,5 @@ def walk_forward(rows: DataFrame, features: Sequence[str], target: str, models:
         return predict(models[name](train, features, target), test).withColumn("model", F.lit(name))
 
     with ThreadPool(parallelism) as pool:
-        out = pool.map(inheritable_thread_target(rows.sparkSession)(one), [(s, name) for s in splits for name in models], chunksize=1)
+        out = pool.map(inheritable_thread_target(rows.sparkSession)(one), [(s, name) for name in models for s in sorted(splits, reverse=True)], chunksize=1)
     return reduce(lambda a, b: a.unionByName(b), out)

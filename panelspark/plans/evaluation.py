@@ -365,7 +365,7 @@ def walk_forward_scores(rows):
     rows = tables.written(rows, "walk-forward")  # the folds and every fit read it
     folds = splits.yearly(rows)
     ids = sorted(r["split_id"] for r in folds.select("split_id").collect())
-    chosen = {"logistic": models.fit_logistic, "ridge": models.fit_ridge, "elastic_net": models.fit_elastic_net, "huber": models.fit_huber, "forest": models.fit_forest, "boosting": models.fit_boosting}
+    chosen = {"boosting": models.fit_boosting, "forest": models.fit_forest, "logistic": models.fit_logistic, "ridge": models.fit_ridge, "elastic_net": models.fit_elastic_net, "huber": models.fit_huber}
     return models.walk_forward(joins.assign_roles(rows, folds), ["momentum", "sign", "random"], "y_true", chosen, ids)
 
 

@@ -411,6 +411,24 @@ def test_walk_forward_predicts_each_later_year(spark):
     assert got == {(m, y): 48 for m in ("logistic", "ridge", "elastic_net", "huber", "forest", "boosting") for y in (2011, 2012)}
 
 
+def test_walk_forward_boosts_the_whole_number_of_rounds(spark, monkeypatch):
+    from panelspark.operators import models
+    from panelspark.plans import evaluation
+
+    class Unfitted:  # the stages as they are, without the fits
+        def __init__(self, stages):
+            self.stages = stages
+
+        def fit(self, train):
+            return self.stages[-1]
+
+    monkeypatch.setattr(models, "Pipeline", Unfitted)
+    monkeypatch.setattr(models, "walk_forward", lambda rows, features, target, chosen, ids: {name: fit(rows, features, target) for name, fit in chosen.items()})
+    rows = [("A", dt.date(y, m, 1), m % 2) for y in (2010, 2011, 2012) for m in (1, 2)]
+    got = evaluation.walk_forward_scores(spark.createDataFrame(rows, "symbol string, date date, y_true int"))
+    assert got["boosting"].getMaxIter() == 300 and got["forest"].getNumTrees() == 300  # as the reference's learners
+
+
 def test_walk_forward_rows_are_derived_once(spark, monkeypatch):
     from panelspark.operators import models
     from panelspark.plans import evaluation
